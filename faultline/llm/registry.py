@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import packing, quality_rules, wavelet
+from faultline.llm import media_chunks, mixing, packing, personal_data, quality_rules, recurrent_lm, toxicity, wavelet
 
-QUERIES = {f.__name__: f for f in (packing.op4_packing, wavelet.op6_wavelet, quality_rules.op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (toxicity.op1_toxicity, packing.op4_packing, personal_data.op5_personal_data, wavelet.op6_wavelet, quality_rules.op7_quality_rules, mixing.op8_mixing, recurrent_lm.op9_recurrent_lm, media_chunks.op10_media_chunks)}
 ORACLES = {"op7_quality_rules": quality_rules.OP7_SQL}
