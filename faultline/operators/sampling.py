@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.seeded import md5_bucket, u
 from faultline.functions.text import failure_weight
+from faultline.sources.shared import materialize
 
 MODEL_LIMITATION = "model_limitation"
 
@@ -19,6 +20,7 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "row_number")
     """Adds the place of each row (from 1) in an order of unique keys: range partitions, then numbers within each."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "numbered")  # ranges are drawn from a sample: both readings below need the same ones
     part, place = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r.p: r.n for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each partition
     starts, before = [], 0

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from faultline.plans import failure_queries
+from faultline.plans.failure_queries import flagship
+
+MODULES = (failure_queries,)
+
+__all__ = ["flagship", "oracles", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
