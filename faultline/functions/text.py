@@ -184,10 +184,10 @@ def parse_answer(text: Column) -> Column:
 def parse_options(text: Column) -> Column:
     """a JSON list, else ``Option n:``, ``A:`` or ``1.`` lines, else all lines with text."""
     listed = F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit("")), "array<string>")
-    out = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    out = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     for pattern in (r"(?m)^\s*\d+\.\s*([^\n]+)$", r"(?m)^\s*[A-H]\s*[:.]\s*([^\n]+)$", r"(?mi)^\s*option\s*\d+\s*[:：]\s*([^\n]+)$"):
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        out = F.when(F.size(found) > 0, F.transform(found, F.trim)).otherwise(out)
+        out = F.when(F.size(found) > 0, F.transform(found, lambda x: F.trim(x))).otherwise(out)
     return F.coalesce(listed, out)
 
 
@@ -241,7 +241,7 @@ def safe_name(text: Column) -> Column:
 
 def selection_part(text: Column, tag: str) -> Column:
     """F32: the contents of all <tag>...</tag> of a selection."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def selection_format_ok(text: Column) -> Column:
