@@ -32,7 +32,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.75, blocks: int | Non
     low, high = F.least("block", "other"), F.greatest("block", "other")
     spread = spread.select("id", "v", "block", low.alias("lo"), high.alias("hi"))
 
-    def edges(key, table: pa.Table) -> pa.Table:
+    def edges(key, table):
         lo, hi = (k.as_py() for k in key)
         ids, block = np.array(table["id"].to_numpy()), table["block"].to_numpy()
         v = np.stack(table["v"].to_pylist()).astype(np.float64) if len(ids) else np.zeros((0, 1))
