@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions.media import decode_base64
 from faultline.functions.seeded import u
 from faultline.functions.text import clean_text
+from faultline.sources.shared import materialize
 
 RESULT = (
     "image_id string, image_path string, total_claims long, failed_claims long, success_rate double, failure_breakdown map<string,long>, failed_claim_ids array<string>, "
@@ -94,7 +95,7 @@ def read_rank_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
     if not _files(spark, pattern):
         pattern = f"{root}/failures/*.json"
     rows = spark.read.schema(RESULT + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
+    rows = materialize(rows.withColumn("file", F.col("_metadata.file_path")), "results")  # parsed once for both parts
     return rows.where("_corrupt_record is null").drop("_corrupt_record").orderBy("file"), rows.where("_corrupt_record is not null").select("file")
 
 
