@@ -2,7 +2,7 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all thresholds and theta_1 < theta_2 < ... . The
 output is the expected grade, the sum of P(grade >= k), with the probability of a grade above zero. x marks the distinct
-words of a text that are in the model's vocabulary.
+words of a text, and beginnings of its longer words, that are in the model's vocabulary.
 
 Fitting uses a bounded sample of labelled rows, ``sample_rows`` with the lowest hash of their id (the documented
 bound; it takes all rows while there are fewer). Vocabulary: of the words of the sample, those whose presence departs
@@ -33,12 +33,15 @@ LEAST_DOCS = 5
 #: Likelihood ratio that a word must reach, far in the tail of chance for any vocabulary's size.
 LEAST_RATIO = 30.0
 N_GRADES = 3
+STEM = 5
 
 _word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 def features(text: bytes) -> set[str]:
-    return set(_word.findall(text.decode("utf-8", "replace").lower()))
+    """The distinct words, and the beginnings (marked by a star) of longer ones, which word endings don't hide."""
+    words = set(_word.findall(text.decode("utf-8", "replace").lower()))
+    return words.union([w[:STEM] + "*" for w in words if len(w) > STEM])
 
 
 @dataclass
@@ -52,12 +55,15 @@ class Model:
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """doc_id and severity: 0 if not toxic, 1 if toxic, 2 if toxic and of low quality."""
-    grade = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.coalesce("quality", F.lit(1)) == 0), 2).when(F.col("toxic") == 1, 1)
+    """doc_id and severity: 0 if not toxic, 1 if toxic in a text of low quality, 2 if toxic in a fluent text.
+
+    The top grade is open above, so texts with much evidence don't hold the weights of single words down.
+    """
+    grade = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.coalesce("quality", F.lit(1)) == 0), 1).when(F.col("toxic") == 1, 2)
     return labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
 
-def optimise(starts: np.ndarray, words: np.ndarray, y: np.ndarray, n_words: int, n_grades: int, rounds: int = 400, l2: float = 1e-3, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def optimise(starts: np.ndarray, words: np.ndarray, y: np.ndarray, n_words: int, n_grades: int, rounds: int = 500, l2: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over rows in compressed form: words[starts[i]:starts[i + 1]] are row i's features."""
     n = len(y)
     row = np.repeat(np.arange(n), np.diff(starts))

@@ -72,7 +72,7 @@ def test_toxicity_cases(spark, docs, none):
     assert toxicity.score(docs, model).where("rejected").count() == 0 and toxicity.score(docs, model).count() == len(CASES)
     assert toxicity.score(none, model).count() == 0
     odd = spark.createDataFrame([(None, 1, 1), (3, None, 1), (3, 1, 0), (4, 1, None)], "doc_id long, quality int, toxic int")
-    assert [tuple(r) for r in toxicity.grades(odd).collect()] == [(3, 1)]
+    assert [tuple(r) for r in toxicity.grades(odd).collect()] == [(3, 2)]
 
 
 # --- 2
