@@ -185,3 +185,18 @@ def read_criteria(spark: SparkSession, path: str) -> DataFrame:
     """Criteria of each question pipeline."""
     rows = spark.read.schema("pipelines map<string,struct<name:string,description:string,question:string,criteria:array<string>>>").option("multiLine", True).json(path)
     return rows.select(F.explode("pipelines").alias("key", "p")).select("key", "p.name", F.posexplode("p.criteria").alias("pos", "criterion"))
+
+
+def collected_report(rows: DataFrame, bad: DataFrame, images: DataFrame) -> DataFrame:
+    """Results and images that were collected, the rank folders seen, and the number of files that can't be read.
+
+    rows and bad are those of read_rank_results; images: path.
+    """
+    rank = F.regexp_extract("file", r"rank_?(\d+)/", 1)
+    found = rows.agg(F.count(F.lit(1)).alias("results"), F.array_sort(F.collect_set(F.nullif(rank, F.lit("")))).alias("ranks"))
+    return found.crossJoin(bad.agg(F.count(F.lit(1)).alias("bad_files"))).crossJoin(images.agg(F.count(F.lit(1)).alias("images")))
+
+
+def ordered_by_file(rows: DataFrame) -> DataFrame:
+    """T5: files in order of their paths, rows in order within a file."""
+    return rows.orderBy("_file", "_row")

@@ -170,3 +170,75 @@ def test_stream_stops_like_the_batch_rule(spark, tmp_path):
     intake.collect_until(stream, F.col("id") % 2 == 0, str(tmp_path / "out"), str(tmp_path / "state"), target=12, most_empty=3)
     n = spark.read.schema("id long").parquet(str(tmp_path / "out") + "/batch=*").count()
     assert n == 15  # whole batches of five until twelve are reached
+
+
+def test_config_scans(spark, tmp_path):
+    def put(name, what):
+        (tmp_path / name).write_text(json.dumps(what))
+        return str(tmp_path / name)
+
+    claims = put("claims.json", {"claim_schemas": [], "templates": [{"claim_id": "a", "claim_template": "x [Y]"}, "plain"]})
+    assert [(r.claim_id, r.claim_template) for r in tables.read_claims(spark, claims).orderBy("pos").collect()] == [("a", "x [Y]"), (None, "plain")]
+    reasons = tables.read_failures(spark, put("f.json", {"failure_reasons": [{"failure_id": "A", "suggested_filtering_factors": ["p", "q"]}]}))
+    assert {r.factor_id for r in X.all_factors(reasons).collect()} == {"A__0", "A__1"}
+    pipes = tables.read_pipelines(spark, put("p.json", {"pipelines": [{"failure_key": "A", "pipeline_type": "t", "pipeline_name": "n"}]}))
+    assert tuple(pipes.first()) == ("A", "t", "n")
+    q = tables.read_question_pipelines(spark, put("q.json", {"pipelines": {"k": {"name": "n", "required_slots": ["object"]}}}))
+    assert q.first().key == "k" and q.first().required_slots == ["object"]
+    assert {tuple(r) for r in tables.read_triggers(spark, put("t.json", {"triggers": {"A": ["x", "y"]}})).collect()} == {("A", "x"), ("A", "y")}
+    assert [tuple(r) for r in tables.read_factors(spark, put("l.json", ["a", "b"])).collect()] == [(0, "a"), (1, "b")]
+    c = tables.read_criteria(spark, put("c.json", {"pipelines": {"k": {"name": "n", "criteria": ["a", "b [optional]"]}}}))
+    assert [(r.pos, r.criterion) for r in c.orderBy("pos").collect()] == [(0, "a"), (1, "b [optional]")]
+
+
+def test_result_and_question_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"results": [{"image_id": "a"}, {"image_id": "b"}]}))
+    (tmp_path / "l.json").write_text(json.dumps([{"image_id": "c"}]))
+    assert {r.image_id for f in ("r", "l") for r in tables.read_results(spark, str(tmp_path / f"{f}.json")).collect()} == {"a", "b", "c"}
+    qa = tmp_path / "qa"
+    qa.mkdir()
+    (qa / "object_counting_1.json").write_text(json.dumps([{"id": 1, "pipeline_name": None}, {"id": 2, "pipeline_name": "own"}]))
+    (qa / "all_1.json").write_text(json.dumps([{"id": 3}]))
+    rows = tables.read_qa_files(spark, str(qa), "id long, pipeline_name string")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "object_counting"), (2, "own")]
+    (qa / "meta.json").write_text(json.dumps({"files": ["object_counting_1.json", "gone.json"]}))
+    assert tables.read_manifest(spark, str(qa / "meta.json"), "id long").count() == 2
+
+
+def test_media_files(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps({"conversations": [{"from": "human", "value": "q"}]}))
+    (tmp_path / "x.jpg").write_bytes(b"\xff\xd8\xffdata")
+    row = tables.read_conversations(spark, str(tmp_path)).first()
+    assert bytes(row.content) == b"\xff\xd8\xffdata" and row.conversations[0].value == "q"
+    tables.folder_to_table(spark, str(tmp_path), str(tmp_path / "table"))
+    images = tables.read_images(spark, str(tmp_path / "table"))
+    assert images.first().image_id == "x" and tables.ordered_by_file(images).count() == 1
+    files = spark.createDataFrame([("rank_0/failures/a.json",), ("rank_3/failures/b.json",)], "file string")
+    r = tables.collected_report(files, files.limit(1), images).first()
+    assert (r.results, r.ranks, r.bad_files, r.images) == (2, ["0", "3"], 1, 1)
+
+
+def test_stream_outputs_and_progress(spark, tmp_path):
+    spark.range(20).repartition(2).write.parquet(str(tmp_path / "in"))
+    seen = intake.Progress()
+    spark.streams.addListener(seen)
+    stream = intake.once_each(intake.read_files(spark, str(tmp_path / "in"), "id long", 1), "id")
+    intake.run(stream, intake.write_both(str(tmp_path / "out"), F.col("id") < 5), str(tmp_path / "state"))
+    spark.streams.removeListener(seen)
+    assert spark.read.schema("id long").parquet(str(tmp_path / "out/failures/batch=*")).count() == 5
+    assert spark.read.schema("id long").parquet(str(tmp_path / "out/rest/batch=*")).count() == 15
+
+
+def test_more_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", True, "x", ["f"], "s"), ("b", False, None, ["g", "f"], "s")], "image_id string, skipped boolean, skip_reason string, filter_factor_texts array<string>, stage string")
+    sinks.results(rows, rows.agg(F.count("*").alias("n")), str(tmp_path / "r"))
+    sinks.quarantine(rows, str(tmp_path / "q"))
+    sinks.annotations(rows, str(tmp_path / "a"))
+    sinks.calls(rows, str(tmp_path / "c"))
+    sinks.records(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "q")).count() == 1 and [r.text for r in spark.read.json(str(tmp_path / "a/factors")).collect()] == ["f", "g"]
+    assert sinks.intermediate(rows, str(tmp_path / "i")).count() == 2
+    tar.register(spark)
+    spark.createDataFrame([("k", [bytearray(b"1")], "{}")], "key string, media array<binary>, json string").write.format("tar_samples").option("path", str(tmp_path / "t")).mode("append").save()
+    sinks.tar_report(spark, str(tmp_path / "t"), str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).count() == 2
