@@ -65,7 +65,7 @@ def p6_p7_p8_check_turns(spark, sf):
     return t.select("conv_id", V.shape_reason(F.col("t")).alias("shape"), V.turns_ok(F.col("t")).alias("turns_ok"), V.media_ok(F.col("t"), F.col("media")).alias("media_ok"))
 
 
-@query()
+@query("select item_id, '0_image:' || strlen(text) || ',1_image:1' media from benchmark")
 def p9_media_list(spark, sf):
     d = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.array(F.struct(F.encode("text", "UTF-8").alias("bytes")), F.struct(F.encode(F.lit("x"), "UTF-8").alias("bytes"))).alias("m"))
     return V.media_list(d, "m").select("item_id", F.array_join(F.transform("media", lambda x: F.concat_ws(":", x["name"], F.octet_length(x["bytes"]).cast("string"))), ",").alias("media"))
@@ -438,7 +438,7 @@ def k13_call_log(spark, sf):
     return r.select("request_key", "doc_id").join(log, "request_key").select("doc_id", F.col("stage").alias("stage_"), "prompt", "prompt_length", "response", "response_length")
 
 
-@query()
+@query("select item_id image_id, case when item_id % 10 = 0 then 2 when item_id % 2 = 0 then 0 else 1 end rounds, item_id % 10 > 0 accepted from benchmark")
 def m13_regenerate(spark, sf):
     """Rounds of question and check: ids that end in 0 never pass, odd ones pass in the second round."""
     rows = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("image_id"))

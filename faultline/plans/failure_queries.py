@@ -290,7 +290,7 @@ def r7_shuffled_places(spark, sf):
     return S.numbered(o.withColumn("x", u(8, "o_orderkey")), ["x", "o_orderkey"], "place").drop("x")
 
 
-@query()
+@query(f"with i as (select unnest(range((select count(*) from customer))) id), n as (select id, floor({U.format(chr(39) + '2' + chr(39) + ', id')} * 5) + 1 n from i), f as (select id, n, 'factor ' || k f, {U.format(chr(39) + '3' + chr(39) + ', id, ' + chr(39) + 'factor ' + chr(39) + ' || k')} x from n, range(12) t(k)), r as (select *, row_number() over (partition by id order by x, f) rk from f) select 'img_' || id image_id, string_agg(f, ',' order by rk) factors from r where rk <= n group by id")
 def r9_synthetic_annotations(spark, sf):
     n = spark.read.parquet(f"{sf}/customer.parquet").count()
     return S.synthetic_annotations(spark, n, [f"factor {i}" for i in range(12)], seed=2).select("image_id", F.array_join("filter_factor_texts", ",").alias("factors"))
