@@ -162,8 +162,9 @@ def write_shards(docs: DataFrame, mixed: DataFrame, path: str) -> None:
 def copies_of(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken (a part taken counts from one half), with their columns."""
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    drawn = mixed.select("doc_id", times.alias("_times")).where("_times > 0").dropDuplicates(["doc_id"])
-    return docs.join(drawn, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    drawn = mixed.select(F.col("doc_id").alias("_d"), times.alias("_times")).groupBy("_d").agg(F.max("_times").alias("_times")).where("_times > 0")
+    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
