@@ -6,7 +6,7 @@ follows its count, so every word, seen or not, has a probability above zero and
 log P(class | state) + log P(word | class, state).
 
 ``train`` goes once over all training texts, in ``ROUNDS`` rounds over disjoint parts of them. In a round each task
-starts from the same weights, runs truncated backpropagation over the windows of its texts, and hands over its weights;
+starts from the same weights, runs truncated backpropagation over the windows of its texts (long ones in segments, none is left out), and hands over its weights.
 Spark averages them by tokens in blocks of the parameter vector, so neither the driver nor a task holds more than one
 model at a time. ``score`` runs complete texts through the model: lanes of many texts advance side by side, a text's
 state is carried from window to window and starts anew with each text.
@@ -38,8 +38,10 @@ from faultline.llm.shared import materialize, only, raw_texts, small_batches
 N_FREQUENT, N_CLASSES, HIDDEN = 1200, 30, 16
 N_LISTED = 1 << 17
 ROUNDS, LANES, STEPS = 2, 256, 16
-HELD_TOKENS = 400_000
+HELD_TOKENS = 4_000_000  # texts of so many tokens run side by side, so that a long one doesn't leave lanes idle
+SEGMENT = 2048  # in training, the state starts anew after so many tokens of a text
 BLOCKS = 32
+LARGEST = np.float32(60)  # of a logit
 END = b" "  # no word contains a space
 
 
@@ -120,6 +122,8 @@ class Network:
         k, c = lex.frequent, len(lex.bounds) + 1
         shapes = {"inputs": (k + 2, 3 * hidden), "update": (hidden, 3 * hidden), "out_class": (hidden, c), "bias_class": (c,), "out_word": (hidden, k), "bias_word": (k,)}
         size = sum(int(np.prod(s)) for s in shapes.values())
+        self.ones = np.ones(max(k, c), np.float32)
+        self.cls_of = np.append(lex.classes, len(lex.bounds)).astype(np.uint8 if len(lex.bounds) < 255 else np.uint16)
         self.all = np.zeros(size, np.float32) if weights is None else weights
         self.grad = np.zeros(size, np.float32)
         self.w, self.g, at = {}, {}, 0
@@ -143,14 +147,24 @@ class Network:
         x, u = self.w["inputs"][inputs], self.w["update"]
         states, kept = np.empty((n, inputs.shape[1], hid), np.float32), []
         for t in range(n):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            if fresh[t].any():
+                h = h.copy()
+                h[fresh[t]] = 0
             a = h @ u
-            zr = 1 / (1 + np.exp(-(x[t, :, : 2 * hid] + a[:, : 2 * hid])))
-            z, r = zr[:, :hid], zr[:, hid:]
-            new = np.tanh(x[t, :, 2 * hid :] + r * a[:, 2 * hid :])
-            kept.append((h, a[:, 2 * hid :], z, r, new))
-            h = new + z * (h - new)
-            states[t] = h
+            zr = x[t, :, : 2 * hid]
+            zr += a[:, : 2 * hid]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r, a = zr[:, :hid], zr[:, hid:], a[:, 2 * hid :]
+            new = r * a
+            new += x[t, :, 2 * hid :]
+            np.tanh(new, out=new)
+            kept.append((h, a, z, r, new))
+            h = np.subtract(h, new, out=states[t])
+            h *= z
+            h += new
         return states, kept
 
     def outputs(self, s: np.ndarray, target: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -159,41 +173,51 @@ class Network:
         With learn, also the gradient of the mean loss by s, and the output weights' gradients in self.g.
         """
         k, last = self.lex.frequent, len(self.lex.bounds)
-        cls = np.append(self.lex.classes, last)[np.minimum(target, k)]
-        i, n = np.arange(len(s)), max(1, len(s))
-        logits = s @ self.w["out_class"] + self.w["bias_class"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        out = logits[i, cls] - np.log(total)
+        cls = self.cls_of[target]
+        share = np.float32(1 / max(1, len(s)))
+        i = np.arange(len(s))
+        logits = s @ self.w["out_class"]
+        logits += self.w["bias_class"]
+        np.minimum(logits, LARGEST, out=logits)  # exp() stays in range without taking out each row's largest logit
+        out = logits[i, cls]
+        e = np.exp(logits, out=logits)
+        total = e @ self.ones[: e.shape[1]]  # a product is faster than a sum over short rows
+        out -= np.log(total)
         ds = None
         if learn:
-            e /= total[:, None]
-            e[i, cls] -= 1
-            e /= n
-            self.g["out_class"][:] = s.T @ e
-            self.g["bias_class"][:] = e.sum(axis=0)
+            e *= (share / total)[:, None]
+            e[i, cls] -= share
+            np.matmul(s.T, e, out=self.g["out_class"])
+            self.g["bias_class"][:] = np.ones(len(e), np.float32) @ e
             ds = e @ self.w["out_class"].T
             self.g["out_word"][:] = 0
             self.g["bias_word"][:] = 0
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls, kind="stable")  # short keys: a radix sort
         ends = np.searchsorted(cls[order], np.arange(last + 1))
+        sorted_s, sorted_t, gain = s[order[: ends[last]]], target[order[: ends[last]]], np.zeros(int(ends[last]), np.float32)
+        back = np.empty_like(sorted_s) if learn else None
         for c, (a, b) in enumerate(self.lex.bounds):
-            own = order[ends[c] : ends[c + 1]]
-            if not len(own):
+            lo, hi = int(ends[c]), int(ends[c + 1])
+            if lo == hi:
                 continue
-            logits = s[own] @ self.w["out_word"][:, a:b] + self.w["bias_word"][a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total, j, at = e.sum(axis=1), np.arange(len(own)), target[own] - a
-            out[own] += logits[j, at] - np.log(total)
+            part, w = sorted_s[lo:hi], self.w["out_word"][:, a:b]
+            logits = part @ w
+            logits += self.w["bias_word"][a:b]
+            np.minimum(logits, LARGEST, out=logits)
+            j, at = np.arange(hi - lo), sorted_t[lo:hi] - a
+            gain[lo:hi] = logits[j, at]
+            e = np.exp(logits, out=logits)
+            total = e @ self.ones[: b - a]
+            gain[lo:hi] -= np.log(total)
             if learn:
-                e /= total[:, None]
-                e[j, at] -= 1
-                e /= n
-                self.g["out_word"][:, a:b] = s[own].T @ e
-                self.g["bias_word"][a:b] = e.sum(axis=0)
-                ds[own] += e @ self.w["out_word"][:, a:b].T
+                e *= (share / total)[:, None]
+                e[j, at] -= share
+                self.g["out_word"][:, a:b] = part.T @ e
+                self.g["bias_word"][a:b] = np.ones(hi - lo, np.float32) @ e
+                np.matmul(e, w.T, out=back[lo:hi])
+        out[order[: ends[last]]] += gain
+        if learn:
+            ds[order[: ends[last]]] += back
         return out, ds
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, ds: np.ndarray) -> None:
@@ -201,22 +225,29 @@ class Network:
         hid, u = self.hidden, self.w["update"]
         gx = np.empty((*inputs.shape, 3 * hid), np.float32)
         gu, dh = np.zeros_like(u), np.zeros_like(ds[0])
+        ut = np.ascontiguousarray(u.T)
         for t in range(len(inputs) - 1, -1, -1):
             h, a, z, r, new = kept[t]
-            dh = dh + ds[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            gx[t, :, :hid] = dh * (h - new) * z * (1 - z)
-            gx[t, :, hid : 2 * hid] = dn * a * r * (1 - r)
-            gx[t, :, 2 * hid :] = dn
-            ga = np.concatenate([gx[t, :, : 2 * hid], dn * r], axis=1)
+            dh += ds[t]
+            g = gx[t]
+            dn = (1 - z) * dh
+            dn *= 1 - new * new
+            g[:, :hid] = dh * (h - new) * (z - z * z)
+            g[:, hid : 2 * hid] = dn * a * (r - r * r)
+            g[:, 2 * hid :] = dn
+            ga = g.copy()
+            ga[:, 2 * hid :] *= r
             gu += h.T @ ga
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + ga @ u.T)
+            dh *= z
+            dh += ga @ ut
+            dh[fresh[t]] = 0
         self.g["update"][:] = gu
-        flat = inputs.ravel()
+        flat = inputs.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
-        ids, begins = np.unique(flat[order], return_index=True)
+        flat = flat[order]
+        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         self.g["inputs"][:] = 0
-        self.g["inputs"][ids] = np.add.reduceat(gx.reshape(-1, 3 * hid)[order], begins, axis=0)
+        self.g["inputs"][flat[begins]] = np.add.reduceat(gx.reshape(-1, 3 * hid)[order], begins, axis=0)
 
 
 class Adam:
@@ -225,10 +256,16 @@ class Adam:
 
     def step(self, weights: np.ndarray, grad: np.ndarray) -> None:
         self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
-        scale = self.rate / (1 - 0.9**self.t)
-        weights -= scale * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * grad
+        self.v *= np.float32(0.99)
+        self.v += np.float32(0.01) * (grad * grad)
+        step = np.sqrt(self.v)
+        step *= np.float32((1 - 0.99**self.t) ** -0.5)
+        step += np.float32(1e-6)
+        np.divide(self.m, step, out=step)
+        step *= np.float32(self.rate / (1 - 0.9**self.t))
+        weights -= step
 
 
 def lanes(texts: list[np.ndarray], n_lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
@@ -323,8 +360,9 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HID
                 for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
                     key = fold(doc_id)
                     if key % 10 and key // 10 % rounds == number:
-                        held.append(neural(lex, reader(tokens(text))))
-                        size += len(held[-1])
+                        ids = neural(lex, reader(tokens(text)))
+                        held += [ids[at : at + SEGMENT] for at in range(0, len(ids), SEGMENT)]
+                        size += len(ids)
                 if size >= HELD_TOKENS:
                     run(net, held, adam)
                     held, size, seen = [], 0, seen + size
