@@ -39,6 +39,7 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.merges = self.whole.model
         self.signs = byte_signs()
+        self.coded = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         #: Ids of pieces that follow a space, by the piece without it; and of those used before the last emptying.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -46,7 +47,7 @@ class Encoder:
     def _merged(self, part: str) -> bytes:
         """Ids of a part that the pattern doesn't split."""
         found = self.merges.tokenize(part.encode().decode("latin-1").translate(self.signs))
-        return b"".join([t.id.to_bytes(4, "little") for t in found])
+        return b"".join([self.coded[t.id] for t in found])
 
     def _ids(self, piece: str) -> bytes:
         if _known_signs.fullmatch(piece):
@@ -56,7 +57,13 @@ class Encoder:
     def _after_space(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self._merged(" " + piece) if piece.isalpha() else self._ids(" " + piece)
+            if piece.isalpha():
+                ids = self._merged(" " + piece)
+            elif piece[-1:] in (",", ".") and piece[:-1].isalpha():  # the pattern splits letters from such a sign
+                word = piece[:-1]
+                ids = (self.known.get(word) or self.older.get(word) or self._merged(" " + word)) + self._merged(piece[-1])
+            else:
+                ids = self._ids(" " + piece)
         if len(piece) <= LONGEST_PIECE:
             self.known[piece] = ids
         return ids
