@@ -47,9 +47,12 @@ def build(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     out = [HEAD.pack(MAGIC, bits, len(lengths), len(ids)), _pack(np.cumsum(lengths, dtype="<u8").tobytes())]
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for level in range(bits - 1, -1, -1):
-        plane = (now >> level) & 1 == 1
+        plane = (now & now.dtype.type(1 << level)).astype(bool)
         out.append(_pack(np.packbits(plane, bitorder="little").tobytes()))
-        now = np.concatenate([now[~plane], now[plane]])
+        up, zeros = np.empty_like(now), len(now) - int(np.count_nonzero(plane))
+        np.compress(~plane, now, out=up[:zeros])
+        np.compress(plane, now, out=up[zeros:])
+        now = up
     return b"".join(out)
 
 
@@ -135,15 +138,16 @@ class Wavelet:
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the lowest plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             plane = self._plane(k)
             zeros = self.n - int(plane.sum())
             up = np.empty_like(now)
             up[~plane] = now[:zeros]
-            up[plane] = now[zeros:] | np.uint32(1 << (self.bits - 1 - k))
+            up[plane] = now[zeros:] | kind(1 << (self.bits - 1 - k))
             now = up
-        return now
+        return now.astype(np.uint32)
 
 
 SHARDS = "part long, shard long, n_tokens long, doc_ids binary, no_id binary, image binary"
