@@ -13,10 +13,12 @@ of the other's.
    each part is a signature. Empty pairs don't sign; a set that has too few parts with two filled cells for the bound to
    hold without them signs with its ``n // 4 + 1`` first elements in hash order as well. If both sets of a linked pair are
    such sets, these share an element; if one isn't, the parts do.
-4. ``groups``: nodes that share a signature; groups of equal members are kept once.
+4. ``groups``: nodes that share a signature; groups of equal members are kept once. A signature of more than ``HELD``
+   members is one group all the same, written as its rows come.
 5. ``links``: every member of a group is compared with the group's first one, and links join components; large groups
    of copies end here, at one comparison for each member. In groups that still hold several components, members of
-   different ones are compared, after ``ROUNDS`` more of such first members in groups above ``SMALL``. A pair is compared
+   different ones are compared, after ``ROUNDS`` more of such first members in groups above ``SMALL``. Groups
+   above ``BLOCK`` are dealt by hash into blocks, and each pair of blocks is a unit of its own. A pair is compared
    by sketches first: counts of the elements in about half as many cells as elements. Their distance is at most that of
    the sets, so a pair beyond the bound goes without its sets being moved. What is left is intersected exactly.
 6. ``components``: smallest labels along the links, with shortcuts.
@@ -44,6 +46,10 @@ from faultline.llm.shared import materialize, n_shuffle, only, raw_texts, small_
 SHINGLE = 5
 SMALL = 512
 ROUNDS = 4
+#: Members of one signature that a task holds; more are written as they come.
+HELD = 200_000
+#: Members in a block of a large group, all pairs of whose blocks are compared.
+BLOCK = 4096
 #: Expected elements in a cell for the largest sets of a band.
 CELL = 1.75
 
@@ -255,7 +261,7 @@ def full_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
 
 def groups(whole: DataFrame) -> DataFrame:
     """gid, node: nodes that share a signature, groups of equal members once."""
-    spark = whole.sparkSession
+    spark, most = whole.sparkSession, HELD
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,6 +274,7 @@ def groups(whole: DataFrame) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         held_key, held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the open run
+        streamed = np.zeros(0, np.int64)  # its key, once it is written as it comes
 
         def out(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
             begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -282,18 +289,25 @@ def groups(whole: DataFrame) -> DataFrame:
             take = np.repeat(fresh, sizes)
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, sizes)[take]), pa.array(node[take])], ["gid", "node"]) if take.any() else None
 
+        def long(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(mix(key.view(np.uint64) + TURNS[0]).view(np.int64)), pa.array(node)], ["gid", "node"])
+
         for key, node, before, after in runs(batches):
             use = before | after
-            key, node = np.concatenate([held_key, key[use]]), np.concatenate([held, node[use]])
+            key, node = key[use], node[use]
+            if len(streamed) and (more := int((key == streamed[0]).sum())):
+                yield long(key[:more], node[:more])
+                key, node = key[more:], node[more:]
+            key, node = np.concatenate([held_key, key]), np.concatenate([held, node])
             if not len(key):
                 continue
             last = len(key) - int((key[::-1] != key[-1]).argmax()) if key[0] != key[-1] else 0
             if last and (got := out(key[:last], node[:last])) is not None:
                 yield got
             held_key, held = key[last:], node[last:]
-            if len(held) > 200_000:  # a longer run goes on in parts that share the first member
-                yield out(held_key, held)
-                held_key, held = held_key[:1], held[:1]
+            if len(held) > most:  # one gid for the whole run, whose other members are not known yet
+                yield long(held_key, held)
+                streamed, held_key, held = held_key[:1], held_key[:0], held[:0]
         if len(held) > 1 and (got := out(held_key, held)) is not None:
             yield got
 
@@ -345,21 +359,22 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 def crossed(group: DataFrame) -> DataFrame:
     """Pairs a < b of one group and different components that may link by their sizes and sketches.
 
-    The sketches travel with the members of a group, so that only pairs which pass leave the task.
-    group: gid, node, label, n, sketch.
+    The sketches travel with the members of a group, so that only pairs which pass leave the task. A group above BLOCK
+    is dealt into blocks by hash; each member goes to the units of its block with every block, and a unit compares the
+    members of its two blocks (or of its one). group: gid, size, node, label, n, sketch.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, object)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, object)]
 
-        def pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> Iterator[np.ndarray]:
+        def pairs(side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> Iterator[np.ndarray]:
             if len(np.unique(label)) < 2:
                 return
             cells = folded(list(sketches))
             most = max(1, 4_000_000 // cells.shape[1])
             for at in range(0, len(node), 256):
                 mine = slice(at, at + 256)
-                i, j = np.nonzero((label[mine, None] != label[None, :]) & (node[mine, None] < node[None, :]) & (4 * np.minimum(n[mine, None], n[None, :]) >= 3 * np.maximum(n[mine, None], n[None, :])))
+                i, j = np.nonzero(((side[mine, None] != side[None, :]) | (side[mine, None] == 0)) & (label[mine, None] != label[None, :]) & (node[mine, None] < node[None, :]) & (4 * np.minimum(n[mine, None], n[None, :]) >= 3 * np.maximum(n[mine, None], n[None, :])))
                 i += at
                 for k in range(0, len(i), most):
                     x, y = i[k : k + most], j[k : k + most]
@@ -384,8 +399,8 @@ def crossed(group: DataFrame) -> DataFrame:
 
         for batch in batches:
             last = np.empty(batch.num_rows, object)
-            last[:] = batch.column(4).to_pylist()
-            own = [*[c.to_numpy() for c in batch.columns[:4]], last]
+            last[:] = batch.column(5).to_pylist()
+            own = [*[c.to_numpy() for c in batch.columns[:5]], last]
             now = [np.concatenate([h, c]) for h, c in zip(held, own, strict=True)]
             if not len(now[0]):
                 continue
@@ -398,7 +413,12 @@ def crossed(group: DataFrame) -> DataFrame:
 
     spark = group.sparkSession
     small_batches(spark, 5000)
-    dealt = group.select("gid", "node", "label", "n", "sketch").repartition(n_shuffle(spark), "gid").sortWithinPartitions("gid")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    units = group.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    unit = F.when(blocks == 1, F.col("gid")).otherwise(F.xxhash64("gid", lo, hi))
+    side = F.when(lo == hi, 0).when(F.col("block") == lo, 1).otherwise(2).cast("long")
+    dealt = units.select(unit.alias("unit"), side.alias("side"), "node", "label", "n", "sketch").repartition(n_shuffle(spark), "unit").sortWithinPartitions("unit")
     found = materialize(dealt.mapInArrow(rows, "a long, b long").distinct(), "crossed")
     small_batches(spark)
     return found
@@ -414,15 +434,15 @@ def links(whole: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = exact(near(rows.distinct(), whole), whole)
         found = new if found is None else materialize(found.unionByName(new).distinct(), "links")
         labels = components(found)
-        open_ = group.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = group.drop("label", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         many = open_.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("gid", "size")
         open_ = materialize(open_.join(many, "gid").select("gid", "node", "n", "label", "size"), "open")
         if number == 0:
             few = open_.where(F.col("size") <= SMALL)
-        group = open_.where(F.col("size") > SMALL).drop("size")
+        group = open_.where(F.col("size") > SMALL)
         if group.isEmpty():
             break
-    rest = few.select("gid", "node", "n", "label").unionByName(group.select("gid", "node", "n", "label"))
+    rest = few.unionByName(group)
     rest = rest.join(whole.select("node", "sketch"), "node")
     new = exact(crossed(rest), whole)
     if new.isEmpty():

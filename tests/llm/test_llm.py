@@ -154,6 +154,22 @@ def test_jaccard_families_match_brute_force(spark):
     assert kept == {c for _, _, c in got}
 
 
+def test_jaccard_hot_signature_is_one_group(spark, monkeypatch):
+    rng, rows = np.random.default_rng(4), []
+    shared = [f"s{k}" for k in range(9)]  # one passage in all texts, and pairs of near copies around it
+    for i in range(24):
+        own = [*shared, *[f"p{i}w{k}" for k in range(5)]]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, f"x{i}"]))]
+    docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "HELD", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "small_batches", lambda spark, rows=0: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4))
+    # one signature alone, so that no other one brings a pair together
+    monkeypatch.setattr(jaccard_join, "sign", lambda e: np.array([7], np.uint64))
+    assert sorted(tuple(r) for r in jaccard_join.join(docs).drop("node").collect()) == brute_components(rows)
+
+
 def test_partenum_signs_every_similar_pair():
     rng = np.random.default_rng(5)
     for n in (1, 3, 4, 7, 20, 63, 150, 700):
