@@ -2,9 +2,10 @@
 
 Base spans are the four kinds of PATTERNS. They seed a graph: an instance is a surface form, a pattern the two words
 before it. A pattern's score for a kind is the share of its distinct instances known for that kind, with at least
-``support`` of them; an unknown instance takes the best score of its patterns; after ``rounds`` such rounds, mentions of
-identifier-like words whose instance reaches ``confidence`` and whose shape suits the kind become spans too. Distinct
-instances count, so copies of a text lend no support.
+``support`` of them; an unknown instance takes the best score of its patterns; once a round adds no instance, mentions of
+identifier-like words and runs of digit groups whose instance reaches ``confidence`` and whose shape suits the kind
+become spans too. Distinct instances count, so copies of a text lend no support. A run that begins with an
+identifier-like word is found like one, but only the word counts as an instance of their pattern.
 
 A match's place comes from splitting the text by the same pattern: pieces and matches alternate, so each start is the
 length of all that stands before it. Patterns are written so that Java matches them without recursion and without
@@ -32,6 +33,11 @@ PATTERNS = {
 IP_PARTS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 #: Identifier-like words: an @ or four digits.
 CANDIDATE = rf"(?<!{WORD})(?={WORD}*?@|(?:[^\x20\x09-\x0D0-9]*+[0-9]){{4}}){WORD}++"
+#: Digit groups with single spaces between them.
+RUN = rf"(?<!{WORD})[+(]?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)++"
+#: The longest beginning of such a run, up to a space or its end, that may be a card or a phone.
+FITS = {2: r"^[0-9](?:-*\x20?[0-9]){11,18}-*(?=\x20|$)", 3: r"^[+(]?[0-9](?:[().-]*\x20?\(?[0-9]){5,14}[().-]*(?=\x20|$)"}
+#: Spans by pattern have a kind, identifier-like words -1, runs -1 or, where such a word begins them, -2.
 SPAN = "array<struct<kind:int,start:long,stop:long,form:string,context:string>>"
 
 
@@ -73,10 +79,13 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
 
 
 def context(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case; empty if there aren't two within 80 signs."""
+    """The two words before a place, in lower case; empty if there aren't two."""
     begin = F.greatest(F.lit(0).cast("long"), start - 80)
     before = F.substring(text, (begin + 1).cast("int"), (start - begin).cast("int"))
-    return F.lower(F.regexp_replace(F.regexp_extract(before, rf"{WORD}+{GAP}+{WORD}+{GAP}*$", 0), rf"{GAP}+", " "))
+    close = F.regexp_extract(before, rf"{GAP}({WORD}+{GAP}+{WORD}+{GAP}*)$", 1)
+    # the words begin further ahead, or with the text: from the place backwards
+    far = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start.cast("int"))), rf"^{GAP}*+{WORD}++{GAP}++{WORD}++", 0))
+    return F.lower(F.regexp_replace(F.when(close != "", close).otherwise(far), rf"{GAP}+", " "))
 
 
 def with_context(text: Column, spans: Column) -> Column:
@@ -95,11 +104,20 @@ def mentions(docs: DataFrame) -> DataFrame:
     parts = [spans(i, kind) for i, kind in enumerate(KINDS)]
     found = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), F.concat(*parts).alias("base"))
     words = F.when(F.col("text").rlike("[0-9@]"), matches(F.col("text"), CANDIDATE, -1)).otherwise(nothing)
-    found = found.withColumn("other", words)
+    runs = F.when(F.col("text").rlike(r"[0-9][().-]*\x20\(?[0-9]"), F.filter(matches(F.col("text"), RUN, -1), lambda s: F.length(digits(s["form"])) >= 6)).otherwise(nothing)
+    starts = F.transform("words", lambda w: w["start"])
+    marked = F.transform("runs", lambda s: F.struct(F.when(F.array_contains(starts, s["start"]), -2).otherwise(-1).alias("kind"), s["start"], s["stop"], s["form"], s["context"]))
+    found = found.withColumn("words", words).withColumn("runs", runs).withColumn("other", F.concat("words", marked))
     free = F.filter("other", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
     return found.select("doc_id", "th", with_context(F.col("text"), F.col("base")).alias("base"), with_context(F.col("text"), free).alias("other"))
 
 
+def fitted(kind: Column, form: Column) -> Column:
+    """The part of a form that has the shape of a kind: a word, or the beginning of a run; empty if there is none."""
+    run = F.coalesce(*[F.when(kind == k, F.regexp_extract(form, pattern, 0)) for k, pattern in FITS.items()], F.lit(""))
+    return F.when(F.contains(form, F.lit(" ")), run).otherwise(F.when(suits(kind, form), form).otherwise(""))
+
+
 def suits(kind: Column, form: Column) -> Column:
     """Whether a word has the shape of a kind."""
     n = F.length(digits(form))
@@ -111,25 +129,32 @@ def suits(kind: Column, form: Column) -> Column:
     )
 
 
-def discover(found: DataFrame, rounds: int = 2, support: int = 3, confidence: float = 0.8) -> DataFrame:
+def discover(found: DataFrame, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """doc_id, th, more: the spans that the graph of contexts and instances adds."""
     each = lambda c: found.select("doc_id", "th", F.explode(c).alias("s")).select("doc_id", "th", "s.*").where("context <> ''")
     edges = each("base").unionByName(each("other")).groupBy("context", F.lower("form").alias("form")).agg(F.max("kind").alias("kind"))
     edges = materialize(edges, "contexts")
     # known: score of an instance for a kind; the seeds have 1
     known = edges.where("kind >= 0").select("form", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
-    size = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-    best = None
-    for _ in range(rounds):
-        hits = edges.join(known, "form").groupBy("context", "k").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("seeds"))
+    counted = edges.where("kind >= -1")
+    size = counted.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+    number = before = 0
+    while True:
+        hits = counted.join(known, "form").groupBy("context", "k").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("seeds"))
         patterns = hits.where(F.col("seeds") >= support).join(size, "context").select("context", "k", (F.col("mass") / F.col("n")).alias("p")).where("p >= 0.5")
-        unknown = edges.where("kind < 0").join(patterns, "context").where(suits(F.col("k"), F.col("form")))
+        unknown = edges.where("kind < 0").join(patterns, "context").where(fitted(F.col("k"), F.col("form")) != "")
         best = materialize(unknown.groupBy("form", "k").agg(F.max("p").alias("score")), "instances")
         known = edges.where("kind >= 0").select("form", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct().unionByName(best)
+        number, added, before = number + 1, best.count() - before, best.count()
+        if not before or (number > 1 and not added):  # scores only rise, so instances never go again
+            break
     sure = best.where(F.col("score") >= confidence).groupBy("form").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"))
     new = found.where(F.size("other") > 0).select("doc_id", "th", F.explode("other").alias("s")).withColumn("form", F.lower("s.form")).join(sure, "form")
-    span = F.struct(F.col("k").alias("kind"), F.col("s.start"), F.col("s.stop"), F.col("s.form"), F.col("s.context"))
-    return materialize(new.select("doc_id", "th", span.alias("s")).distinct().groupBy("doc_id", "th").agg(F.collect_list("s").alias("more")), "discovered")
+    form = fitted(F.col("k"), F.col("s.form"))
+    span = F.struct(F.col("k").alias("kind"), F.col("s.start"), (F.col("s.start") + F.length(form)).alias("stop"), form.alias("form"), F.col("s.context"))
+    within = lambda a, b: (b["start"] <= a["start"]) & (a["stop"] <= b["stop"]) & (b["stop"] - b["start"] > a["stop"] - a["start"])
+    outer = F.filter("more", lambda a: ~F.exists("more", lambda b: within(a, b)))
+    return materialize(new.select("doc_id", "th", span.alias("s")).distinct().groupBy("doc_id", "th").agg(F.collect_list("s").alias("more")).withColumn("more", outer), "discovered")
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -264,6 +264,20 @@ def test_personal_data_contexts_discover(spark):
     assert clean[50] == "please call now <PHONE> or leave" and clean[51] == rows[21][1] and clean[52] is None and len(clean) == len(rows)
 
 
+def test_personal_data_spaced_far_and_chained(spark):
+    far = "x" * 90
+    rows = [(i, f"please call me +1 (202) 555-{1000 + i} or leave") for i in range(20)] + [(100 + i, f"ring {far} +1 (202) 555-{2000 + i}") for i in range(20)]
+    rows += [(50, "please call me 020 7946 0958 or leave"), (51, "please call me 5551234 567 now"), (52, f"ring {far} 202-555-1234"), (53, "the year 020 7946 0999 was fine")]
+    # each context is reached only by the instances of the one before it
+    rows += [(1000 + i, f"please ask for +1 (303) 555-{1000 + i} so") for i in range(100)]
+    for number, (before, own, n) in enumerate([("please ask for", "hop one", 20), ("hop one", "hop two", 4), ("hop two", "hop three", 1)]):
+        rows += [(2000 + 100 * number + i, f"{w} {7000000 + 1000 * number + i} so") for i in range(n) for w in (before, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.text) for r in personal_data.redact(docs).collect()}
+    assert {(50, "please call me <PHONE> or leave"), (51, "please call me <PHONE> now"), (52, f"ring {far} <PHONE>"), (53, rows[43][1])} <= found
+    assert (2200, "hop two <PHONE> so") in found
+
+
 # --- 6
 
 
