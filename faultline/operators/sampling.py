@@ -14,6 +14,8 @@ from faultline.functions.text import failure_weight
 from faultline.sources.shared import materialize
 
 MODEL_LIMITATION = "model_limitation"
+#: Ranges of a hash by which the rows of a group are counted.
+RANGES = 1 << 14
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "row_number") -> DataFrame:
@@ -99,15 +101,31 @@ def quotas(counts: DataFrame, ratios: dict[str, float], total: int | None, group
 def mix_groups(df: DataFrame, ratios: dict[str, float], total: int | None, key: str, group: str = "pipeline_name", seed: int = 0) -> DataFrame:
     """R2: the quota of each group by seeded order.
 
-    A group may be large, so a row's place is not counted within the group: the quota's share of the group, with a
-    margin, is cut by the hash first, and only that remainder is ranked.
+    A group may be large, so a row's place is not counted within the group: rows are counted by ranges of the hash, then
+    by key in the range where the quota ends. Only rows of the one key where it ends are numbered, by partition.
     """
     q = quotas(df.groupBy(group).agg(F.count(F.lit(1)).alias("available")), ratios, total, group)
-    rows = df.join(F.broadcast(q), group).withColumn("_u", u(seed, key))
-    margin = F.col("quota") / F.col("available") + 6 * F.sqrt(F.col("quota") + 1) / F.col("available") + 20 / F.col("available")
-    near = rows.where((F.col("quota") >= F.col("available")) | (F.col("_u") <= margin))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_u", key))
-    return near.withColumn("_place", place).where(F.col("_place") <= F.col("quota")).drop("_u", "_place", "quota", "available")
+    rows = df.join(F.broadcast(q.withColumnRenamed("quota", "_left").drop("available")), group).withColumn("_u", u(seed, key))
+    rows = rows.withColumn("_range", F.floor(F.col("_u") * RANGES)).withColumn("_key", F.struct("_u", key))
+
+    def split(t: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+        """Rows before the value of ``by`` at which a group's quota ends, and rows at it with what is left of the quota."""
+        n = t.groupBy(group, "_left", by).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(group).orderBy(by))
+        ends = n.withColumn("_upto", upto).where(F.col("_upto") > F.col("_left")).groupBy(group).agg(F.min(F.struct(F.col(by).alias("at"), (F.col("_left") - F.col("_upto") + F.col("n")).alias("left"))).alias("_end"))
+        both = t.join(F.broadcast(ends), group, "left")  # one row for each group
+        at = both.where(F.col(by) == F.col("_end.at")).withColumn("_left", F.col("_end.left")).drop("_end")
+        return both.where(F.col("_end").isNull() | (F.col(by) < F.col("_end.at"))).drop("_end"), at
+
+    whole, edge = split(rows, "_range")
+    more, tied = split(edge, "_key")
+    tied = materialize(tied.withColumn("_id", F.monotonically_increasing_id()), "tied")  # numbered twice alike
+    part = F.shiftrightunsigned("_id", 33)
+    sizes = tied.groupBy(group, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_id")) + F.col("_before")
+    tied = tied.withColumn("_part", part).join(F.broadcast(sizes), [group, "_part"]).withColumn("_place", place).where("_place <= _left")
+    return whole.select(*df.columns).unionByName(more.select(*df.columns)).unionByName(tied.select(*df.columns))
 
 
 def question_type(df: DataFrame, key: str, multiple_choice: float = 0.7, fill_in_blank: float = 0.3, seed: int = 0) -> DataFrame:

@@ -60,6 +60,15 @@ def test_quotas_sum_up(spark):
     assert sum(found.values()) == 1000 and found["c"] > found["a"] > found["b"]
 
 
+def test_mix_fills_quotas_from_hot_keys(spark):
+    hot = spark.range(3000).select(F.lit("a").alias("pipeline_name"), F.when(F.col("id") < 1000, 5).otherwise(F.col("id")).alias("key"), F.col("id").alias("row"))
+    for seed in range(3):
+        got = S.mix_groups(hot, {"a": 1.0}, 1500, "key", seed=seed)
+        order = {r.row: (r.u, r.key) for r in hot.select("row", "key", S.u(seed, "key").alias("u")).collect()}
+        rows = [r.row for r in got.collect()]
+        assert len(set(rows)) == len(rows) == 1500 and sorted(order[r] for r in rows) == sorted(order.values())[:1500]
+
+
 def test_ratios():
     assert S.parse_ratios("a:0.5, b:1") == {"a": 0.5, "b": 1.0}
     with pytest.raises(ValueError):
