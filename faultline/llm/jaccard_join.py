@@ -6,21 +6,21 @@ of the other's.
 
 1. ``sets``: one row per document with its node and set size.
 2. ``survivors``: of a fixed two fifths of the feature domain, count the elements of each set that another set has
-   too. A node that lacks more than a fourth of its set cannot link, and most nodes end here.
+   too. A node that lacks more than a fourth of its set cannot link, and most nodes end here. Elements that a batch of
+   texts holds twice are counted in place and leave it once, so a passage of many texts doesn't gather in one task.
 3. ``signatures``: PartEnum. Bands of set sizes grow by 4/3, so linked sets lie in one band or in neighbouring ones, and
    each set signs for its own band and the next. For a band, the domain is split into first-level parts of three cells.
    If k elements differ, some part has at most one differing element, so two of its cells agree: each pair of cells of
    each part is a signature. Empty pairs don't sign; a set that has too few parts with two filled cells for the bound to
    hold without them signs with its ``n // 4 + 1`` first elements in hash order as well. If both sets of a linked pair are
    such sets, these share an element; if one isn't, the parts do.
-4. ``groups``: nodes that share a signature; groups of equal members are kept once. A signature of more than ``HELD``
-   members is one group all the same, written as its rows come.
-5. ``links``: every member of a group is compared with the group's first one, and links join components; large groups
-   of copies end here, at one comparison for each member. In groups that still hold several components, members of
-   different ones are compared, after ``ROUNDS`` more of such first members in groups above ``SMALL``. Groups
-   above ``BLOCK`` are dealt by hash into blocks, and each pair of blocks is a unit of its own. A pair is compared
-   by sketches first: counts of the elements in about half as many cells as elements. Their distance is at most that of
-   the sets, so a pair beyond the bound goes without its sets being moved. What is left is intersected exactly.
+4. ``families``: the first member of a signature is the one that lacks the least by step 2, ties by hash. A node's
+   families are the distinct first members of its signatures: nodes that share a signature share a family, and copies
+   of one text have it as their first member in nearly all signatures, so there are few families for each node.
+5. ``links``: a family's sets meet in one task, or, above ``BLOCK`` members or ``BLOCK_BYTES``, in one task for each
+   pair of its blocks, always with the first member. There all pairs of different components are compared, the first
+   member's first: by parity sketches, whose distance is at most that of the sets, then exactly. Only links that join
+   components leave the task, fewer than it has members.
 6. ``components``: smallest labels along the links, with shortcuts.
 
 Rows go through tasks sorted by element or signature, so a task holds one batch and what it hands on.
@@ -41,17 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import materialize, n_shuffle, only, raw_texts, small_batches
+from faultline.llm.shared import materialize, n_shuffle, only, raw_texts, small_batches, unused
 
 SHINGLE = 5
-SMALL = 512
-ROUNDS = 4
-#: Members of one signature that a task holds; more are written as they come.
-HELD = 200_000
-#: Members in a block of a large group, all pairs of whose blocks are compared.
-BLOCK = 4096
+#: Members and bytes of a block of a family.
+BLOCK, BLOCK_BYTES = 4096, 1 << 25
 #: Expected elements in a cell for the largest sets of a band.
-CELL = 1.75
+CELL = 2.0
+#: Pairs that a task gathers before it hands on the distinct ones.
+HELD = 1_000_000
 
 _words: dict[bytes, int] = {}
 U64 = np.uint64
@@ -132,67 +130,80 @@ def sampled(e: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), m (elements of the sampled part), node; one row per document."""
+    """doc_id, th (hash of the text), n (set size), m (elements of the sampled part), node; one row per document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(e), len(sampled(e)), node_of(e)) for e in all_elements(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in found], pa.int64()) for k in range(3)]], ["doc_id", "n", "m", "node"])
+            found = [(len(e), len(sampled(e)), node_of(e)) for e in all_elements(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[k] for x in found], pa.int64()) for k in range(3)]], ["doc_id", "th", "n", "m", "node"])
 
-    return materialize(only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, n long, m long, node long"), "sets")
+    texts = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return materialize(texts.mapInArrow(rows, "doc_id long, th long, n long, m long, node long"), "sets")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Over rows sorted by key and node: keys, nodes, same key as the row before, same key as the row after.
+    """Over rows (key, node, count) sorted by them: node, count, same key as the row before, same key as the row after.
 
-    Equal rows come once. A batch's last row waits for the next batch.
+    Of rows with equal key and node the first comes. A batch's last row waits for the next batch.
     """
-    last_key, last_node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    held, before = [np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
     for batch in batches:
-        key = np.concatenate([last_key, batch.column(0).to_numpy()])
-        node = np.concatenate([last_node, batch.column(1).to_numpy()])
-        same = np.concatenate([before[:1], key[1:] == key[:-1]]) if len(before) else np.concatenate([[False], key[1:] == key[:-1]])
+        key, node, count = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+        if not len(key):
+            continue
+        same = np.concatenate([before if len(before) else [False], key[1:] == key[:-1]])
         keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node, same = key[keep], node[keep], same[keep]
+        key, node, count, same = key[keep], node[keep], count[keep], same[keep]
         if len(key) > 1:
-            yield key[:-1], node[:-1], same[:-1], key[1:] == key[:-1]
-        last_key, last_node, before = key[-1:], node[-1:], same[-1:]
-    if len(last_key):
-        yield last_key, last_node, before, np.array([False])
+            yield node[:-1], count[:-1], same[:-1], key[1:] == key[:-1]
+        held, before = [key[-1:], node[-1:], count[-1:]], same[-1:]
+    if len(held[0]):
+        yield held[1], held[2], before, np.array([False])
 
 
 def survivors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes of which all but a fourth may be in another set: node, n, doc."""
+    """The nodes of which all but a fourth may be in another set: node, n, doc, lacks (64ths of the sampled part)."""
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["e", "node", "c"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # c: 0 for an element that the batch has once, -1 for one that it has counted, else the node's counted elements
         seen: set[int] = set()
         for batch in batches:
-            parts, owners = [], []
+            own: dict[int, np.ndarray] = {}
             for e in all_elements(batch.column(0)):
                 part = sampled(e)
                 if len(part) and (node := node_of(e)) not in seen:  # copies come once from each task
                     if len(seen) < 1_000_000:
                         seen.add(node)
-                    parts.append(part)
-                    owners.append(node)
-            if parts:
-                sizes = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), sizes))], ["e", "node"])
+                    own[node] = part
+            if not own:
+                continue
+            e, node = np.concatenate(list(own.values())), np.repeat(np.array(list(own), np.int64), [len(p) for p in own.values()])
+            order = np.argsort(e)
+            e, node = e[order], node[order]
+            same = np.concatenate([[False], e[1:] == e[:-1], [False]])
+            twice = same[1:] | same[:-1]
+            counted, n = np.unique(node[twice], return_counts=True)
+            first = ~same[:-1]
+            yield out([e[first].view(np.int64), node[first], -twice[first].astype(np.int64)])
+            yield out([counted, counted, n])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, before, after in runs(batches):
-            own, n = np.unique(node[before | after], return_counts=True)
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], ["node", "n"])
+        for node, count, before, after in runs(batches):
+            more = count > 0
+            own, n = np.unique(node[(before | after) & (count == 0)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, node[more]])), pa.array(np.concatenate([n, count[more]]))], ["node", "n"])
 
     spark = docs.sparkSession
-    found = only(docs, "text").mapInArrow(rows, "e long, node long").repartition(n_shuffle(spark), "e").sortWithinPartitions("e", "node")
-    small_batches(spark, 50_000)  # rows of two numbers
+    found = only(docs, "text").mapInArrow(rows, "e long, node long, c long").repartition(n_shuffle(spark), "e").sortWithinPartitions("e", "node", "c")
+    small_batches(spark, 50_000)  # rows of three numbers
     counts = found.mapInArrow(shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("shared"))
-    joined = nodes.join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("m") - F.expr("n div 4"))
-    out = materialize(joined.select("node", "n", "doc"), "survivors")
+    joined = nodes.join(counts, "node", "left").withColumn("shared", F.least(F.col("m"), F.coalesce("shared", F.lit(0)))).where("shared >= m - n div 4")
+    found = materialize(joined.select("node", "n", "doc", F.expr("64 * (m - shared) div greatest(m, 1)").alias("lacks")), "survivors")
     small_batches(spark)
-    return out
+    return found
 
 
 def bands(most: int) -> np.ndarray:
@@ -230,225 +241,142 @@ def sign(e: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(e: np.ndarray) -> bytes:
-    """Counts of the elements in a power of two of cells, at least half as many as elements."""
-    cells = 1 << max(0, (len(e) // 2 - 1).bit_length())
-    return np.minimum(np.bincount((mix(e ^ U64(0x8EBC6AF09C88C6E3)) & U64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
-
-
-def sketch_distance(x: bytes, y: bytes) -> tuple[int, int]:
-    """A lower bound of the number of differing elements, and the bound that it must not exceed."""
-    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
-    if len(a) < len(b):
-        a, b = b, a
-    a = a.reshape(-1, len(b)).sum(axis=0)
-    return int(np.abs(a - b).sum()), int(a.sum() + b.sum()) // 7
-
-
 def full_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """node, elements, sketch of the surviving nodes, each from the document of its lowest id."""
+    """node, lacks, elements of the surviving nodes, each from the document of its lowest id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(all_elements(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(e) for e in found], pa.int64()), pa.array([e.tobytes() for e in found], pa.binary()), pa.array([sketch(e) for e in found], pa.binary())], ["node", "elements", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(e) for e in found], pa.int64()), pa.array([e.tobytes() for e in found], pa.binary())], ["node", "elements"])
 
     ids = alive.select(F.col("doc").alias("d")).distinct()
     texts = only(docs, "doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("text")
-    found = texts.mapInArrow(rows, "node long, elements binary, sketch binary").join(alive.select("node"), "node", "left_semi")
+    found = texts.mapInArrow(rows, "node long, elements binary").join(alive.select("node", "lacks"), "node")
     return materialize(found.dropDuplicates(["node"]), "elements")
 
 
-def groups(whole: DataFrame) -> DataFrame:
-    """gid, node: nodes that share a signature, groups of equal members once."""
+def families(whole: DataFrame) -> DataFrame:
+    """first, node: the families of each node that shares a signature; a first member is in its own."""
     spark, most = whole.sparkSession, HELD
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            found = [sign(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+            nodes, lacks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = [sign(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
             for at in range(0, len(found), 200):
                 part = found[at : at + 200]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(nodes[at : at + 200], [len(s) for s in part]))], ["sig", "node"])
+                sizes = [len(s) for s in part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(lacks[at : at + 200], sizes)), pa.array(np.repeat(nodes[at : at + 200], sizes))], ["sig", "lacks", "node"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        held_key, held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the open run
-        streamed = np.zeros(0, np.int64)  # its key, once it is written as it comes
-
-        def out(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
-            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(begins, len(key)))
-            gid = mix(np.add.reduceat(mix(node.view(np.uint64)), begins) + sizes.astype(np.uint64)).view(np.int64)
-            fresh = np.zeros(len(begins), bool)
-            for i in np.flatnonzero(sizes > 1).tolist():
-                if (g := int(gid[i])) not in known:
-                    fresh[i] = True
-                    if len(known) < 1_000_000:
-                        known.add(g)
-            take = np.repeat(fresh, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, sizes)[take]), pa.array(node[take])], ["gid", "node"]) if take.any() else None
-
-        def long(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(mix(key.view(np.uint64) + TURNS[0]).view(np.int64)), pa.array(node)], ["gid", "node"])
-
-        for key, node, before, after in runs(batches):
-            use = before | after
-            key, node = key[use], node[use]
-            if len(streamed) and (more := int((key == streamed[0]).sum())):
-                yield long(key[:more], node[:more])
-                key, node = key[more:], node[more:]
-            key, node = np.concatenate([held_key, key]), np.concatenate([held, node])
-            if not len(key):
-                continue
-            last = len(key) - int((key[::-1] != key[-1]).argmax()) if key[0] != key[-1] else 0
-            if last and (got := out(key[:last], node[:last])) is not None:
-                yield got
-            held_key, held = key[last:], node[last:]
-            if len(held) > most:  # one gid for the whole run, whose other members are not known yet
-                yield long(held_key, held)
-                streamed, held_key, held = held_key[:1], held_key[:0], held[:0]
-        if len(held) > 1 and (got := out(held_key, held)) is not None:
-            yield got
-
-    signed = whole.select("node", "elements").mapInArrow(rows, "sig long, node long").repartition(n_shuffle(spark), "sig").sortWithinPartitions("sig", "node")
-    small_batches(spark, 50_000)
-    found = materialize(signed.mapInArrow(gather, "gid long, node long").dropDuplicates(["gid", "node"]), "groups")
-    small_batches(spark)
-    return found
-
+        key, first = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the run that may go on
+        parts, size = [], 0
 
-def near(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs a, b that their sketches don't rule out."""
+        def out() -> pa.RecordBatch:
+            pairs = np.concatenate([*parts, np.zeros((0, 2), np.int64)])
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["first", "node"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch_distance(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            keep = pa.array([d <= most for d, most in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            now, node = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([first, batch.column(2).to_numpy()])
+            begins = np.concatenate([[True], now[1:] != now[:-1]])
+            lead = node[np.flatnonzero(begins)][np.cumsum(begins) - 1]
+            key, first = now[-1:], lead[-1:]
+            use = node != lead
+            parts.append(np.stack([lead[use], node[use]], axis=1))
+            size += len(parts[-1])
+            if size > most:
+                yield out()
+                parts, size = [], 0
+        yield out()
+
+    signed = whole.select("node", "lacks", "elements").mapInArrow(rows, "sig long, lacks long, node long").repartition(n_shuffle(spark), "sig").sortWithinPartitions("sig", "lacks", F.xxhash64("node"), "node")
+    small_batches(spark, 50_000)
+    found = materialize(signed.mapInArrow(gather, "first long, node long").distinct(), "families")
+    small_batches(spark)
+    return found.unionByName(found.select("first", F.col("first").alias("node")).distinct())
 
-    left = pairs.join(whole.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-    both = left.join(whole.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(rows, "a long, b long"), "near")
 
+def parities(sets_: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set: parities of the numbers of its elements in cells, 16 for each element of the largest set.
 
-def exact(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs a, b that link."""
+    Two rows differ in at most as many bits as the sets in elements.
+    """
+    cells = max(64, 1 << (16 * max(map(len, sets_)) - 1).bit_length())
+    out, step = [], max(1, (1 << 22) // cells)
+    for at in range(0, len(sets_), step):
+        part = sets_[at : at + step]
+        place = np.repeat(np.arange(len(part)) * cells, [len(e) for e in part])
+        place += (mix(np.concatenate(part) ^ U64(0x8EBC6AF09C88C6E3)) & U64(cells - 1)).astype(np.int64)
+        bits = np.bincount(place, minlength=len(part) * cells).astype(np.uint8) & 1
+        out.append(np.packbits(bits).view(np.uint64).reshape(len(part), -1))
+    return np.concatenate(out)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= 75 * (len(both) - inter))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    left = pairs.join(whole.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(whole.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(rows, "a long, b long"), "links")
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= 75 * (len(both) - inter)
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches of a group as rows, each folded to the cells of the smallest one."""
-    cells = min(map(len, sketches))
-    return np.stack([np.minimum(np.frombuffer(x, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32), 32_000).astype(np.int16) for x in sketches])
+def forest(side: np.ndarray, sets_: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of some sets; pairs within side 1 and pairs within side 2 are left out.
 
+    Side 0, the first member, is compared with all, and so are sets of side 3 with each other.
+    """
+    k, n = len(sets_), np.array([len(e) for e in sets_])
+    label, found, bits = np.arange(k), [], parities(sets_) if k > 3 else None
+    for i in range(k - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        j = j[((side[i] != side[j]) | (side[i] == 3)) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))]
+        if bits is not None and len(j):
+            step = max(1, (1 << 21) // bits.shape[1])
+            far = [np.bitwise_count(bits[j[at : at + step]] ^ bits[i]).sum(axis=1, dtype=np.int64) for at in range(0, len(j), step)]
+            j = j[np.concatenate(far) <= (n[i] + n[j]) // 7]
+        for at in j.tolist():
+            if label[at] != label[i] and similar(sets_[i], sets_[at]):
+                found.append((i, at))
+                label[label == label[at]] = label[i]
+    return found
 
-def crossed(group: DataFrame) -> DataFrame:
-    """Pairs a < b of one group and different components that may link by their sizes and sketches.
 
-    The sketches travel with the members of a group, so that only pairs which pass leave the task. A group above BLOCK
-    is dealt into blocks by hash; each member goes to the units of its block with every block, and a unit compares the
-    members of its two blocks (or of its one). group: gid, size, node, label, n, sketch.
-    """
+def links(family: DataFrame, whole: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b: links that connect the same nodes as all links do. sizes: node, n."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, object)]
-
-        def pairs(side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> Iterator[np.ndarray]:
-            if len(np.unique(label)) < 2:
-                return
-            cells = folded(list(sketches))
-            most = max(1, 4_000_000 // cells.shape[1])
-            for at in range(0, len(node), 256):
-                mine = slice(at, at + 256)
-                i, j = np.nonzero(((side[mine, None] != side[None, :]) | (side[mine, None] == 0)) & (label[mine, None] != label[None, :]) & (node[mine, None] < node[None, :]) & (4 * np.minimum(n[mine, None], n[None, :]) >= 3 * np.maximum(n[mine, None], n[None, :])))
-                i += at
-                for k in range(0, len(i), most):
-                    x, y = i[k : k + most], j[k : k + most]
-                    near_ = np.abs(cells[x] - cells[y]).sum(axis=1, dtype=np.int64) <= (n[x] + n[y]) // 7
-                    yield np.stack([node[x[near_]], node[y[near_]]], axis=1)
-
-        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-            found = np.unique(np.concatenate([*parts, np.zeros((0, 2), np.int64)]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-        def whole_groups(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            begins = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]])).tolist()
-            parts, size = [], 0
-            for a, b in zip(begins, [*begins[1:], len(columns[0])], strict=True):
-                for x in pairs(*[c[a:b] for c in columns[1:]]):
-                    parts.append(x)
-                    size += len(x)
-                    if size > 2_000_000:
-                        yield out(parts)
-                        parts, size = [], 0
-            yield out(parts)
-
-        for batch in batches:
-            last = np.empty(batch.num_rows, object)
-            last[:] = batch.column(5).to_pylist()
-            own = [*[c.to_numpy() for c in batch.columns[:5]], last]
-            now = [np.concatenate([h, c]) for h, c in zip(held, own, strict=True)]
-            if not len(now[0]):
-                continue
-            open_ = int(np.argmax(now[0] == now[0][-1]))  # the last group may go on
-            if open_:
-                yield from whole_groups([c[:open_] for c in now])
-            held = [c[open_:] for c in now]
-        if len(held[0]):
-            yield from whole_groups(held)
-
-    spark = group.sparkSession
-    small_batches(spark, 5000)
-    blocks = F.ceil(F.col("size") / BLOCK)
-    units = group.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    unit = F.when(blocks == 1, F.col("gid")).otherwise(F.xxhash64("gid", lo, hi))
-    side = F.when(lo == hi, 0).when(F.col("block") == lo, 1).otherwise(2).cast("long")
-    dealt = units.select(unit.alias("unit"), side.alias("side"), "node", "label", "n", "sketch").repartition(n_shuffle(spark), "unit").sortWithinPartitions("unit")
-    found = materialize(dealt.mapInArrow(rows, "a long, b long").distinct(), "crossed")
-    small_batches(spark)
-    return found
+        held: list[tuple[int, int, bytes]] = []
+        unit = None
 
+        def out() -> pa.RecordBatch:
+            found = forest(np.array([x[0] for x in held]), [np.frombuffer(x[2], np.uint64) for x in held]) if len(held) > 1 else []
+            names = [(held[i][1], held[j][1]) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in names], pa.int64()), pa.array([max(x) for x in names], pa.int64())], ["a", "b"])
 
-def links(whole: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links that connect the same nodes as all links do, and the labels of their components. sizes: node, n."""
-    group = materialize(groups(whole).join(sizes, "node"), "sized")
-    found = labels = None
-    for number in range(1 + ROUNDS):
-        first = group.groupBy("gid").agg(F.min_by("node", F.xxhash64("node", F.lit(number))).alias("first"))
-        rows = group.join(first, "gid").where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
-        new = exact(near(rows.distinct(), whole), whole)
-        found = new if found is None else materialize(found.unionByName(new).distinct(), "links")
-        labels = components(found)
-        open_ = group.drop("label", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        many = open_.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("gid", "size")
-        open_ = materialize(open_.join(many, "gid").select("gid", "node", "n", "label", "size"), "open")
-        if number == 0:
-            few = open_.where(F.col("size") <= SMALL)
-        group = open_.where(F.col("size") > SMALL)
-        if group.isEmpty():
-            break
-    rest = few.unionByName(group)
-    rest = rest.join(whole.select("node", "sketch"), "node")
-    new = exact(crossed(rest), whole)
-    if new.isEmpty():
-        return found, labels
-    found = materialize(found.unionByName(new).distinct(), "links")
-    return found, components(found)
+        for batch in batches:
+            for now, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now != unit:
+                    yield out()
+                    unit, held = now, []
+                held.append(row)
+        yield out()
+
+    spark = family.sparkSession
+    family = family.join(sizes, "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("long")
+    dealt = family.join(family.groupBy("first").agg(blocks.alias("blocks")), "first")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    lead = F.col("node") == F.col("first")
+    every = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.transform(F.sequence(x, F.col("blocks") - 1), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    mine = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("x"), F.greatest(x, own).alias("y")))
+    dealt = dealt.select("first", "node", lead.alias("lead"), own.alias("own"), "blocks", F.explode(F.when(lead, every).otherwise(mine)).alias("u"))
+    unit = F.when(F.col("blocks") == 1, F.col("first")).otherwise(F.xxhash64("first", "u.x", "u.y"))
+    side = F.when(F.col("lead"), 0).when(F.col("u.x") == F.col("u.y"), 3).when(F.col("own") == F.col("u.x"), 1).otherwise(2)
+    units = dealt.select(unit.alias("unit"), side.cast("long").alias("side"), "node").join(whole.select("node", "elements"), "node")
+    units = units.select("unit", "side", "node", "elements").repartition(n_shuffle(spark), "unit").sortWithinPartitions("unit", "side", "node")
+    return materialize(units.mapInArrow(rows, "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -465,33 +393,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, node (texts with equal sets have the same); one row per document."""
+    """doc_id, th, n_shingles, component_id, node (texts with equal sets have the same); one row per document."""
     small_batches(docs.sparkSession)
     found = sets(docs)
     nodes = found.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("doc_id").alias("doc"))
     nodes = materialize(nodes, "nodes")
     alive = survivors(docs, nodes)
     whole = full_sets(docs, alive)
-    _, labels = links(whole, alive.select("node", "n"))
+    labels = components(links(families(whole), whole, alive.select("node", "n")))
     named = labels.join(nodes.select("node", "doc"), "node")
     lowest = named.groupBy("label").agg(F.min("doc").alias("component"))
-    to = materialize(named.join(lowest, "label").select("node", "component"), "components")
+    to = named.join(lowest, "label").select("node", "component")
     own = nodes.join(to, "node", "left").select(F.col("node").alias("k"), F.coalesce("component", "doc").alias("component"))
     own = materialize(own, "classes")
     out = found.join(own, (F.col("node") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of the lowest id of each component, and all documents without a shingle; all columns kept."""
-    found = join(docs)
-    keep = found.where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).dropDuplicates(["_d"])
-    keep = materialize(keep.select("_d"), "kept")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The document of the lowest id of each component, and all documents without a shingle; all columns kept.
+
+    Of rows that are equal in id and text one stays; a row whose id stays with another text goes by its own component.
+    """
+    d, t, keep, n = unused(docs, "_d", "_t", "_keep", "_n")
+    stays = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    each = join(docs).groupBy(F.col("doc_id").alias(d), F.col("th").alias(t)).agg(F.first(stays).alias(keep), F.count(F.lit(1)).alias(n))
+    odd = materialize(each.where(~F.col(keep) | (F.col(n) > 1)), "odd")  # the rows that go, and those that stand more than once
+    at = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
+    once = docs.join(odd, at, "left_anti")
+    again = odd.where(keep)
+    return once if again.isEmpty() else once.unionByName(docs.join(again, at, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "th")
 
 
 #: DuckDB SQL for the rows of op3_jaccard_join, by brute force.

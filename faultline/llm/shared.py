@@ -14,20 +14,34 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 
 
+#: Spark drops a query's shuffle files once the query has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one where none is set and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-faultline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write a table in the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The query's shuffle files go once the table is written, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,3 +71,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Named columns alone, so extra columns of the caller's table can't clash with ours."""
     return df.select(*[F.col(f"`{x}`") for x in names])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to clash with no column of a table."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for x in names:
+        while x.lower() in taken:
+            x = "_" + x
+        out.append(x)
+    return out
