@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import safe_name
+from faultline.sources.files import write_files
 
 
 def results(rows: DataFrame, summary: DataFrame, path: str) -> None:
@@ -52,26 +50,14 @@ def quarantine(images: DataFrame, path: str) -> None:
 
 
 def export_media(rows: DataFrame, folder: str) -> int:
-    """K9: image_%06d.<format> and its conversation beside it, by one writer for each partition; returns the count.
+    """K9: image_%06d.<format> and its conversation beside it; returns the number of files.
 
-    rows: idx, format, image_bytes, conversation (JSON). The folder is one that all executors share. Files are put in
-    place by renaming, so a task that runs again leaves the same files.
+    rows: idx, format, image_bytes, conversation (JSON). Files get their names when they are whole, so a task that runs
+    again leaves the same files.
     """
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for f in frames:
-            for idx, kind, data, text in zip(f["idx"], f["format"], f["image_bytes"], f["conversation"], strict=True):
-                for name, body in ((f"image_{idx:06d}.{kind}", bytes(data)), (f"image_{idx:06d}.json", text.encode())):
-                    part = f"{folder}/.{name}.{os.getpid()}"
-                    with open(part, "wb") as out:
-                        out.write(body)
-                    os.replace(part, f"{folder}/{name}")
-            yield pd.DataFrame({"n": [len(f)]})
-
-    return rows.select("idx", "format", "image_bytes", "conversation").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+    stem = F.format_string("image_%06d", "idx")
+    both = F.array(F.struct(F.concat_ws(".", stem, "format").alias("name"), F.col("image_bytes").alias("data")), F.struct(F.concat(stem, F.lit(".json")).alias("name"), F.encode("conversation", "UTF-8").alias("data")))
+    return write_files(rows.select(F.explode(both).alias("x")).select("x.*"), folder)
 
 
 def annotations(rows: DataFrame, path: str) -> None:

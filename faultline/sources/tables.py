@@ -66,14 +66,23 @@ def sample_files(spark: SparkSession, folder: str, k: int, seed: int = 0) -> Dat
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, a JSON array, or {"data": [...]}, told apart by the file's head; blank lines don't count."""
+    """JSON lines, a JSON array, or {"data": [...]}, told apart by the file's head; blank lines don't count.
+
+    A head that is a whole object with a list under "data" is the third form, any other whole object is JSON lines.
+    """
+    wrapped = f"data array<struct<{_fields(schema)}>>"
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    first = head[0].value.strip() if head else "{"
-    if path.endswith(".jsonl") or (first.startswith("{") and first.endswith("}")):
+    first = head[0].value.strip() if head else "{}"
+    try:
+        form = json.loads(first)
+    except ValueError:
+        form = None
+    lines = isinstance(form, dict)
+    if path.endswith(".jsonl") or (lines and not isinstance(form.get("data"), list)):
         return spark.read.schema(schema).json(path)
     if first.startswith("["):
         return spark.read.schema(schema).option("multiLine", True).json(path)
-    return spark.read.schema(f"data array<struct<{_fields(schema)}>>").option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
+    return spark.read.schema(wrapped).option("multiLine", not lines).json(path).select(F.explode("data").alias("d")).select("d.*")
 
 
 def _fields(schema: str) -> str:

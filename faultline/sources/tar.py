@@ -1,22 +1,26 @@
 """Tar shards of samples as a data source of Spark.
 
-Reading: one partition for each tar file; rows are (shard, key, name, size, data). Writing: rows (key, media
-array<binary>, json string); each task writes its own shards, and a shard is closed at ``maxcount`` samples or
-``maxsize`` bytes. Files are named by task and number and get their name when they are complete, so tasks that run again
-leave no half files. The folder is one that all executors share.
+Reading: one partition for each tar file, streamed; rows are (shard, key, name, size, data). Writing: rows (key, media
+array<binary>, json string); each task writes its own shards under passing names, and a shard is closed at ``maxcount``
+samples or ``maxsize`` bytes. Shards get their names, ``subtaskdata-%d.tar``, when the whole job commits: a task that
+runs again, or a job that fails, leaves no shard. Appending numbers on; overwriting removes the shards that were there.
 """
 
 from __future__ import annotations
 
-import glob
 import io
 import os
+import re
 import tarfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from faultline.sources.files import listed, store_of
+
 
 class TarSamples(DataSource):
     @classmethod
@@ -30,7 +34,7 @@ class TarSamples(DataSource):
         return TarReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> "TarWriter":
-        return TarWriter(self.options)
+        return TarWriter(self.options, overwrite)
 
 
 class TarReader(DataSourceReader):
@@ -38,31 +42,40 @@ class TarReader(DataSourceReader):
         self.folder, self.most = options["path"], int(options.get("samples", 0))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(f"{self.folder}/*.tar"))]
+        return [InputPartition(name) for name in listed(self.folder, ".tar")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        store, path = store_of(self.folder)
         keys: list[str] = []
-        with tarfile.open(partition.value) as tar:
+        with store.open_input_stream(f"{path}/{partition.value}") as source, tarfile.open(fileobj=source, mode="r|") as tar:
             for member in tar:
                 key, _, name = os.path.basename(member.name).partition(".")
                 if key not in keys[-1:]:
                     keys.append(key)
                     if self.most and len(keys) > self.most:
                         return
-                yield os.path.basename(partition.value), key, name, member.size, tar.extractfile(member).read()
+                yield partition.value, key, name, member.size, tar.extractfile(member).read()
+
+
+@dataclass
+class Shards(WriterCommitMessage):
+    task: int
+    names: list[str]
 
 
 class TarWriter(DataSourceWriter):
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, overwrite: bool) -> None:
         self.folder, self.most, self.size = options["path"], int(options.get("maxcount", 128)), float(options.get("maxsize", 3e9))
+        self.overwrite, self.passing = overwrite, f"_passing-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
-        task, shard, tar, part, count, size = TaskContext.get().partitionId(), 0, None, "", 0, 0
+    def write(self, rows: Iterator) -> Shards:
+        store, path = store_of(self.folder)
+        store.create_dir(f"{path}/{self.passing}", recursive=True)
+        out, tar, names, count, size = None, None, [], 0, 0
 
         def close() -> None:
             tar.close()
-            os.replace(part, f"{self.folder}/subtaskdata-{task}-{shard}.tar")
+            out.close()
 
         def add(name: str, data: bytes) -> None:
             info = tarfile.TarInfo(name)
@@ -71,20 +84,41 @@ class TarWriter(DataSourceWriter):
 
         for row in rows:
             media = [bytes(m) for m in row.media or []]
-            own = sum(map(len, media)) + len(row.json)
+            text = row.json.encode()
+            own = sum(map(len, media)) + len(text)
             if tar and (count >= self.most or size + own > self.size):
                 close()
-                tar, shard = None, shard + 1
+                tar = None
             if not tar:
-                part = f"{self.folder}/.{task}-{shard}-{os.getpid()}.part"
-                tar, count, size = tarfile.open(part, "w"), 0, 0
+                names.append(f"{self.passing}/{uuid.uuid4().hex}")
+                out = store.open_output_stream(f"{path}/{names[-1]}")
+                tar, count, size = tarfile.open(fileobj=out, mode="w|"), 0, 0
             for k, data in enumerate(media):
                 add(f"{row.key}.{k}_image", data)
-            add(f"{row.key}.json", row.json.encode())
+            add(f"{row.key}.json", text)
             count, size = count + 1, size + own
         if tar:
             close()
-        return WriterCommitMessage()
+        return Shards(TaskContext.get().partitionId(), names)
+
+    def commit(self, messages: list[Shards | None]) -> None:
+        store, path = store_of(self.folder)
+        there = [x for x in listed(self.folder, ".tar") if re.fullmatch(r"subtaskdata-\d+\.tar", x)]
+        if self.overwrite:
+            for x in there:
+                store.delete_file(f"{path}/{x}")
+            there = []
+        number = max([int(re.findall(r"\d+", x)[0]) for x in there], default=-1) + 1
+        for message in sorted((m for m in messages if m), key=lambda m: m.task):
+            for name in message.names:
+                store.move(f"{path}/{name}", f"{path}/subtaskdata-{number}.tar")
+                number += 1
+        self.abort(messages)
+
+    def abort(self, messages: list[Shards | None]) -> None:
+        store, path = store_of(self.folder)
+        store.create_dir(f"{path}/{self.passing}", recursive=True)  # a job without rows made none
+        store.delete_dir(f"{path}/{self.passing}")
 
 
 def register(spark) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -39,19 +40,44 @@ def write_both(path: str, failed) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def collect_until(stream: DataFrame, failed, path: str, checkpoint: str, target: int, most_empty: int) -> None:
-    """Whole batches until so many failures, or so many batches in a row without one."""
-    state = {"found": 0, "empty": 0}
+class Collected(Exception):
+    """Raised in a batch that is not to be taken any more, so that Spark doesn't commit it."""
+
+
+def collect_until(stream: DataFrame, failed, path: str, checkpoint: str, target: int, most_empty: int) -> int:
+    """Whole batches until so many failures, or so many batches in a row without one; the failures found so far.
+
+    Counts of batches are kept beside the output, so a later run goes on where this one ended. The batch after the last
+    one is refused before it is written or committed: its files are read again by the next run that still needs some.
+    """
+    spark = stream.sparkSession
+
+    def so_far(number: int | None = None) -> tuple[int, int]:
+        """Failures and trailing empty batches, of the batches before a number."""
+        rows = spark.read.schema("batch long, n long").option("ignoreMissingFiles", True).json(f"{path}/progress")
+        hits = [r.n for r in rows.orderBy("batch").collect() if number is None or r.batch < number]  # a row for each batch
+        return sum(hits), next((k for k, n in enumerate(reversed(hits)) if n), len(hits))
+
+    def over(found: int, empty: int) -> bool:
+        return found >= target or empty >= most_empty
 
     def sink(batch: DataFrame, number: int) -> None:
-        if state["found"] >= target or state["empty"] >= most_empty:
-            return
-        hits = batch.where(failed)
-        hits.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        n = hits.sparkSession.read.parquet(f"{path}/batch={number}").count()
-        state["found"], state["empty"] = state["found"] + n, 0 if n else state["empty"] + 1
-
-    run(stream, sink, checkpoint)
+        if over(*so_far(number)):
+            raise Collected
+        own = batch.sparkSession
+        batch.where(failed).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        n = own.read.schema(batch.schema).parquet(f"{path}/batch={number}").count()
+        own.createDataFrame([(number, n)], "batch long, n long").coalesce(1).write.mode("overwrite").json(f"{path}/progress/part={number}")
+
+    spark.createDataFrame([], "batch long, n long").write.mode("append").json(f"{path}/progress")
+    if over(*so_far()):
+        return so_far()[0]
+    try:
+        run(stream, sink, checkpoint)
+    except StreamingQueryException:
+        if not over(*so_far()):
+            raise
+    return so_far()[0]
 
 
 class Progress(StreamingQueryListener):

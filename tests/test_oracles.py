@@ -17,7 +17,7 @@ def plain(x):
     if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
         return "null"
     if isinstance(x, (float, decimal.Decimal)):
-        return repr(round(float(x), 8))
+        return repr(round(float(x), 8)).removesuffix(".0")  # pandas shows a column of whole numbers with nulls as floats
     if isinstance(x, (datetime.datetime, pd.Timestamp)):
         return x.isoformat()
     return str(bool(x)) if type(x).__name__ in ("bool", "bool_") else str(x)

@@ -124,9 +124,18 @@ def test_tar_round_trip(spark, tmp_path):
     tar.register(spark)
     rows = spark.range(300).repartition(1).select(F.format_string("s%04d", "id").alias("key"), F.array(F.encode(F.col("id").cast("string"), "UTF-8")).alias("media"), F.concat(F.lit('{"id": '), "id", F.lit("}")).alias("json"))
     rows.write.format("tar_samples").option("path", str(tmp_path)).option("maxcount", "128").mode("append").save()
-    assert len(list(tmp_path.glob("*.tar"))) == 3
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")) == [f"subtaskdata-{k}.tar" for k in range(3)]
     back = spark.read.format("tar_samples").option("path", str(tmp_path)).load()
     assert back.where("name = 'json'").count() == 300
+    rows.limit(5).write.format("tar_samples").option("path", str(tmp_path)).mode("append").save()
+    assert spark.read.format("tar_samples").option("path", str(tmp_path)).load().where("name = 'json'").count() == 305
+    broken = rows.withColumn("json", F.when(F.col("key") == "s0299", F.raise_error(F.lit("lost"))).otherwise(F.col("json")))
+    with pytest.raises(Exception, match="lost"):
+        broken.write.format("tar_samples").option("path", str(tmp_path)).mode("append").save()
+    assert len(list(tmp_path.iterdir())) == 4
+    rows.repartition(2).write.format("tar_samples").option("path", str(tmp_path)).option("maxcount", "128").mode("overwrite").save()
+    assert len(list(tmp_path.glob("*.tar"))) in (3, 4) and spark.read.format("tar_samples").option("path", str(tmp_path)).load().where("name = 'json'").count() == 300
+    back = spark.read.format("tar_samples").option("path", str(tmp_path)).load()
     assert {r.key: bytes(r.data) for r in back.where("name = '0_image'").collect()} == {f"s{i:04d}": str(i).encode() for i in range(300)}
 
 
@@ -147,7 +156,9 @@ def test_record_forms(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"id": 1}\n\n{"id": 3}\n')
     (tmp_path / "c.json").write_text('{"data":\n [{"id": 4}]}')
     read = lambda n: sorted(r.id for r in tables.read_records(spark, str(tmp_path / n), "id long").collect())
-    assert read("a.json") == [1, 2] and read("b.jsonl") == [1, 3] and read("c.json") == [4]
+    (tmp_path / "d.json").write_text('{"data": [{"id": 5}]}\n{"data": [{"id": 6}]}')
+    (tmp_path / "e.json").write_text('{"id": 7, "data": "x"}\n{"id": 8}')
+    assert read("a.json") == [1, 2] and read("b.jsonl") == [1, 3] and read("c.json") == [4] and read("d.json") == [5, 6] and read("e.json") == [7, 8]
 
 
 def test_sampled_files_and_images(spark, tmp_path):
@@ -168,17 +179,23 @@ def test_sinks(spark, tmp_path):
     sinks.manifest(rows, {"seed": "1"}, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().counts.accepted == 1
     media = spark.createDataFrame([(3, "jpg", bytearray(b"x"), "{}")], "idx long, format string, image_bytes binary, conversation string")
-    assert sinks.export_media(media, str(tmp_path / "e")) == 1 and sorted(os.listdir(tmp_path / "e")) == ["image_000003.jpg", "image_000003.json"]
+    assert sinks.export_media(media, str(tmp_path / "e")) == 2 and sorted(os.listdir(tmp_path / "e")) == ["image_000003.jpg", "image_000003.json"]
 
 
 def test_stream_stops_like_the_batch_rule(spark, tmp_path):
     src = str(tmp_path / "in")
     for k in range(6):  # one file a batch
         spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(src)
-    stream = intake.read_files(spark, src, "id long", 1)
-    intake.collect_until(stream, F.col("id") % 2 == 0, str(tmp_path / "out"), str(tmp_path / "state"), target=12, most_empty=3)
-    n = spark.read.schema("id long").parquet(str(tmp_path / "out") + "/batch=*").count()
-    assert n == 15  # whole batches of five until twelve are reached
+    def collect(target, empty=3):
+        intake.collect_until(intake.read_files(spark, src, "id long", 1), F.col("id") % 2 == 0, str(tmp_path / "out"), str(tmp_path / "state"), target, empty)
+        return sorted(r.id for r in spark.read.schema("id long").parquet(str(tmp_path / "out") + "/batch=*").collect())
+
+    assert len(collect(12)) == 15  # whole batches of five until twelve are reached
+    assert len(collect(12)) == 15  # no more when it runs again
+    assert len(collect(17)) == 20 and collect(1000) == list(range(0, 60, 2))  # goes on with the files it had left
+    spark.range(1, 40, 2).repartition(4).write.mode("append").parquet(src)
+    spark.range(200, 300).coalesce(1).write.mode("append").parquet(src)
+    assert len(collect(1000)) in (30, 80)  # stops after three empty batches, wherever the full one comes
 
 
 def test_config_scans(spark, tmp_path):
