@@ -32,10 +32,43 @@ STAGES: dict[str, dict[str, Callable[[Column], Column]]] = {
     "question_check": {"valid": T.verdict_valid, "reason": T.verdict_reason},
     "answer": {"answer": T.parse_answer, "options": T.parse_options},
     "answer_check": {"is_correct": lambda r: T.parse_bool(T.json_get(T.json_text(r), "is_correct")), "confidence": lambda r: T.parse_float(T.json_get(T.json_text(r), "confidence"), 0.0), "issues": lambda r: T.parse_issues(T.json_get(T.json_text(r), "issues"))},
-    "image_filter": {"passed": lambda r: T.parse_bool(T.json_get(T.json_text(r), "passed")), "confidence": lambda r: T.parse_float(T.json_get(T.json_text(r), "confidence"), 0.5), "reason": lambda r: T.json_get(T.json_text(r), "reason")},
+    "image_filter": {"passed": lambda r: T.parse_bool(T.json_get(T.json_text(r), "passed")), "basic_score": lambda r: T.parse_float(T.json_get(T.json_text(r), "basic_score")), "bonus_score": lambda r: T.parse_float(T.json_get(T.json_text(r), "bonus_score")), "confidence": lambda r: T.parse_float(T.json_get(T.json_text(r), "confidence"), 0.5), "reason": lambda r: T.json_get(T.json_text(r), "reason")},
 }
 
 
+def _said(*parts: str | Column) -> Column:
+    """Texts and columns one after the other; a null column is empty."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def _listed(c: Column) -> Column:
+    return F.array_join(c, ", ")
+
+
+#: The prompt of each call point, of columns by name.
+PROMPTS: dict[str, Callable[..., Column]] = {
+    "completion": lambda template, slots: _said("Look at the image and fill each slot of this claim.\nClaim: ", template, "\nSlots: ", _listed(slots), '\nAnswer with JSON: {"completed_claim": text, "is_related": true or false}.'),
+    "prediction": lambda claim: _said("Is this claim about the image true?\nClaim: ", claim, '\nAnswer with JSON: {"prediction": "true" or "false"}.'),
+    "prefill": lambda claim, slots: _said("Name a value that the image shows for each slot, if the claim suits the image.\nClaim: ", claim, "\nSlots: ", _listed(slots), '\nAnswer with JSON: {"is_relevant": true or false, "values": {slot: value}}.'),
+    "answerable": lambda claim: _said("Can the image settle this claim?\nClaim: ", claim, '\nAnswer with JSON: {"answerable": true or false}.'),
+    "verification": lambda claim, answer: _said("Check the answer to a claim against the image.\nClaim: ", claim, "\nAnswer: ", answer, '\nAnswer with JSON: {"is_correct": true or false, "failure_reason": reason or null}.'),
+    "factor_score": lambda required, optional: _said("Does the image meet these criteria?\nRequired: ", _listed(required), "\nOptional: ", _listed(optional), '\nAnswer with JSON: {"required_met": true or false, "optional_met": number}.'),
+    "slot": lambda slot, about: _said("Give a value for the slot ", slot, " of a question about: ", about, '\nAnswer with JSON: {"value": text}.'),
+    "question": lambda intent, slots, why: _said("Write one question. Intent: ", intent, "\nUse: ", _listed(slots), F.when(why.isNotNull(), _said("\nThe last one was refused: ", why))),
+    "question_check": lambda question: _said("Is this question clear, and can the image answer it?\nQuestion: ", question, "\nAnswer with two lines, valid: yes or no, and reason: text."),
+    "answer": lambda question, n_wrong: _said("Answer the question by the image", F.when(n_wrong > 0, _said(", and give ", n_wrong, " wrong options")), ".\nQuestion: ", question, '\nAnswer with JSON: {"answer": text}, options as a JSON list.'),
+    "answer_check": lambda question, answer: _said("Is the answer right, and how sure is that?\nQuestion: ", question, "\nAnswer: ", answer, '\nAnswer with JSON: {"is_correct": true or false, "confidence": number, "issues": [text]}.'),
+    "image_filter": lambda criteria: _said("Does the image meet these criteria?\n", F.array_join(criteria, "\n"), '\nAnswer with JSON: {"passed": true or false, "basic_score": number, "bonus_score": number, "confidence": number, "reason": text}.'),
+}
+
+
+def asked(rows: DataFrame, stage: str, image_id: str | Column, **columns: str | Column) -> DataFrame:
+    """Adds the prompt of a call point and its request key. columns: by the names that the prompt takes."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    out = rows.withColumn("prompt", PROMPTS[stage](**{k: col(v) for k, v in columns.items()}))
+    return out.withColumn("request_key", request_key(stage, F.col("prompt"), col(image_id)))
+
+
 def request_key(stage: str, prompt: Column, image_id: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(stage), prompt, image_id.cast("string")), 256)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from faultline.plans import content_queries, factor_queries, failure_queries
+from faultline.plans import content_queries, factor_queries, failure_queries, io_queries, model_queries
 from faultline.plans.failure_queries import flagship
 
-MODULES = (failure_queries, content_queries, factor_queries)
+MODULES = (failure_queries, content_queries, factor_queries, io_queries, model_queries)
 
 __all__ = ["flagship", "oracles", "queries"]
 
