@@ -1,9 +1,9 @@
 """Token ids in wavelet matrices, one per shard.
 
 A shard holds the ids of consecutive documents as bit-planes from the highest bit down, each plane stably ordered by the
-plane above. Counts of ones before every 512th bit make rank a lookup and a popcount, select a binary search. One file
-image, with each plane compressed by itself, gives token access, counting of an id in any range and lookup of its k-th
-occurrence without decoding the shard.
+plane above. Counts of ones before every 512th bit, stored with the plane, make rank a lookup and a popcount, select a
+binary search. A plane is compressed in parts of ``PART`` bytes. So one file image gives token access, counting of an id
+in any range and lookup of its k-th occurrence, and reads one or two parts of each plane for it, not the shard.
 
 Shards are rows of a table (first place, image) that Spark writes: a task that is lost or run twice leaves no half
 files, and any store that Spark writes to will do. Shards end at document borders after ``shard_tokens`` ids.
@@ -30,67 +30,100 @@ from faultline.llm.tokens import VOCABULARY, encoder
 
 END = 2
 SHARD_TOKENS = 1 << 19
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 BLOCK = 512
+#: Bytes of a plane that are compressed together.
+PART = 1 << 13
+#: Decompressed parts that a reader keeps.
+MOST_PARTS = 256
 #: magic, bits, documents, ids
 HEAD = struct.Struct("<4sIQQ")
 
+_pack = zstandard.ZstdCompressor(level=1).compress
 
-def _pack(data: bytes) -> bytes:
-    z = zstandard.ZstdCompressor(level=1).compress(data)
-    return struct.pack("<QQ", len(z), len(data)) + z
+
+def ranks_of(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block of BLOCK bits, and all ones at the end."""
+    ones = np.bitwise_count(plane)
+    each = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
+    return np.concatenate([[0], np.cumsum(each)]).astype("<u4")
 
 
 def build(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file image of a shard: ids (uint32) of consecutive documents with the given lengths."""
+    """The file image of a shard: ids (uint32) of consecutive documents with the given lengths.
+
+    Head; size and bytes of the compressed ends of documents; then for each plane its rank counts, the ends of its
+    compressed parts, and the parts.
+    """
     bits = max(1, int(ids.max(initial=0)).bit_length())
-    out = [HEAD.pack(MAGIC, bits, len(lengths), len(ids)), _pack(np.cumsum(lengths, dtype="<u8").tobytes())]
+    ends = _pack(np.cumsum(lengths, dtype="<u8").tobytes())
+    out = [HEAD.pack(MAGIC, bits, len(lengths), len(ids)), struct.pack("<Q", len(ends)), ends]
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for level in range(bits - 1, -1, -1):
         plane = (now & now.dtype.type(1 << level)).astype(bool)
-        out.append(_pack(np.packbits(plane, bitorder="little").tobytes()))
-        up, zeros = np.empty_like(now), len(now) - int(np.count_nonzero(plane))
-        np.compress(~plane, now, out=up[:zeros])
-        np.compress(plane, now, out=up[zeros:])
-        now = up
+        packed = np.packbits(plane, bitorder="little")
+        parts = [_pack(packed[at : at + PART].tobytes()) for at in range(0, len(packed), PART)]
+        out += [ranks_of(packed).tobytes(), np.cumsum([len(x) for x in parts], dtype="<u4").tobytes(), *parts]
+        if level:
+            up, zeros = np.empty_like(now), len(now) - int(np.count_nonzero(plane))
+            np.compress(~plane, now, out=up[:zeros])
+            np.compress(plane, now, out=up[zeros:])
+            now = up
     return b"".join(out)
 
 
 class Wavelet:
-    """Reads a file image."""
+    """Reads a file image, part by part as it needs them."""
 
     def __init__(self, image: bytes) -> None:
         magic, self.bits, self.n_docs, self.n = HEAD.unpack_from(image)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        at, parts, z = HEAD.size, [], zstandard.ZstdDecompressor()
-        for _ in range(self.bits + 1):
-            size, plain = struct.unpack_from("<QQ", image, at)
-            parts.append(z.decompress(image[at + 16 : at + 16 + size], max_output_size=plain))
-            at += 16 + size
-        self.ends = np.frombuffer(parts[0], "<u8").astype(np.int64)
-        self.planes = [np.frombuffer(x, np.uint8) for x in parts[1:]]
-        self._ranks: list[np.ndarray] | None = None
+        self.image, self._z, self._kept = image, zstandard.ZstdDecompressor(), {}
+        (size,) = struct.unpack_from("<Q", image, HEAD.size)
+        at = HEAD.size + 8
+        self.ends = np.frombuffer(self._z.decompress(image[at : at + size], max_output_size=8 * self.n_docs), "<u8").astype(np.int64)
+        at += size
+        n_bytes = -(-self.n // 8)
+        n_ranks, n_parts = -(-8 * n_bytes // BLOCK) + 1, -(-n_bytes // PART)
+        self.n_bytes, self.ranks, self.places = n_bytes, [], []
+        for _ in range(self.bits):
+            self.ranks.append(np.frombuffer(image, "<u4", n_ranks, at))
+            ends = np.frombuffer(image, "<u4", n_parts, at + 4 * n_ranks).astype(np.int64)
+            at += 4 * (n_ranks + n_parts)
+            self.places.append(np.concatenate([[at], at + ends]))
+            at = int(self.places[-1][-1])
+
+    def _part(self, k: int, part: int) -> np.ndarray:
+        """Bytes of a part of plane k."""
+        found = self._kept.get((k, part))
+        if found is None:
+            a, b = self.places[k][part : part + 2].tolist()
+            found = np.frombuffer(self._z.decompress(self.image[a:b], max_output_size=PART), np.uint8)
+            if len(self._kept) >= MOST_PARTS:
+                self._kept.clear()
+            self._kept[k, part] = found
+        return found
 
     def _plane(self, k: int) -> np.ndarray:
-        return np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each block of BLOCK bits, and all ones at the end."""
-        if self._ranks is None:
-            self._ranks = []
-            for plane in self.planes:
-                ones = np.bitwise_count(plane)
-                each = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
-                self._ranks.append(np.concatenate([[0], np.cumsum(each)]))
-        return self._ranks
+        """All bits of plane k."""
+        places = self.places[k].tolist()
+        parts = [self._z.decompress(self.image[a:b], max_output_size=PART) for a, b in zip(places, places[1:], strict=False)]
+        return np.unpackbits(np.frombuffer(b"".join(parts), np.uint8), count=self.n, bitorder="little").view(bool)
 
     def rank1(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        block, plane = i // BLOCK, self.planes[k]
-        n = int(self.ranks[k][block]) + int(np.bitwise_count(plane[block * BLOCK // 8 : i // 8]).sum())
-        return n + (int(plane[i // 8]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else n
+        block, n = i // BLOCK, int(self.ranks[k][i // BLOCK])
+        if i % BLOCK:
+            at = block * BLOCK // 8 % PART  # a block lies in one part
+            inner = self._part(k, block * BLOCK // 8 // PART)[at : at + BLOCK // 8]
+            whole = i % BLOCK // 8
+            n += int(np.bitwise_count(inner[:whole]).sum())
+            n += (int(inner[whole]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0
+        return n
+
+    def bit(self, k: int, i: int) -> int:
+        return int(self._part(k, i // 8 // PART)[i // 8 % PART]) >> i % 8 & 1
 
     def zeros(self, k: int) -> int:
         return self.n - int(self.ranks[k][-1])
@@ -99,7 +132,7 @@ class Wavelet:
         """The id at place i."""
         out = 0
         for k in range(self.bits):
-            bit, ones = int(self.planes[k][i // 8]) >> i % 8 & 1, self.rank1(k, i)
+            bit, ones = self.bit(k, i), self.rank1(k, i)
             out = out << 1 | bit
             i = self.zeros(k) + ones if bit else i - ones
         return out
@@ -141,11 +174,10 @@ class Wavelet:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            plane = self._plane(k)
-            zeros = self.n - int(plane.sum())
+            plane, zeros = self._plane(k), self.zeros(k)
             up = np.empty_like(now)
-            up[~plane] = now[:zeros]
-            up[plane] = now[zeros:] | kind(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~plane)] = now[:zeros]  # faster than by the mask itself
+            up[np.flatnonzero(plane)] = now[zeros:] | kind(1 << (self.bits - 1 - k))
             now = up
         return now.astype(np.uint32)
 
