@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import materialize, only
+from faultline.llm.shared import materialize, n_shuffle, only, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 RATE, LIMIT = 1.5, 2.0
@@ -96,19 +96,21 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 7) -> Da
     def sum_of(a: Column) -> Column:
         return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
 
-    def left(width: int, total: Column, draws: Column, out: Column, i: Column) -> Column:
-        """Appends to the left child's numbers that of source i, given those before."""
-        seen = sum_of(F.slice(F.col("q"), F.lit(1), i))
+    def left(width: int, total: Column, draws: Column, a: Column, i: Column) -> Column:
+        """Appends to the left child's numbers that of source i, given those before; seen: blocks of the sources before it."""
+        own = F.get(F.col("q"), i)
         u = uniform(F.lit(seed), F.lit(width), F.col("node"), i)
-        return F.array_append(out, hypergeometric(total - seen, F.get(F.col("q"), i), draws - sum_of(out), u))
+        n = hypergeometric(total - a["seen"], own, draws - a["drawn"], u)
+        # an array of one number is made first, so that the draw is evaluated once
+        return F.transform(F.array(n), lambda k: F.struct(F.array_append(a["out"], k).alias("out"), (a["seen"] + own).alias("seen"), (a["drawn"] + k).alias("drawn")))[0]
 
+    zero = F.lit(0).cast("long")
     width = shards
     while width > 1:
-        total = sum_of(F.col("q"))
-        draws = ((total + (F.col("node") % 2)) / 2).cast("long")
-
+        nodes = nodes.withColumn("total", sum_of(F.col("q"))).withColumn("draws", ((F.col("total") + (F.col("node") % 2)) / 2).cast("long"))
         places = F.when(F.size("q") > 0, F.sequence(F.lit(0), F.size("q") - 1)).otherwise(F.array().cast("array<int>"))
-        nodes = nodes.withColumn("l", F.aggregate(places, F.array().cast("array<long>"), lambda out, i: left(width, total, draws, out, i)))  # noqa: B023
+        begin = F.struct(F.array().cast("array<long>").alias("out"), zero.alias("seen"), zero.alias("drawn"))
+        nodes = nodes.withColumn("l", F.aggregate(places, begin, lambda a, i: left(width, F.col("total"), F.col("draws"), a, i), lambda a: a["out"]))  # noqa: B023
         right = F.zip_with("q", "l", lambda a, b: a - b)
         nodes = nodes.select("sources", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q")))).alias("c")).select("c.node", "sources", "c.q")
         width //= 2
@@ -119,8 +121,8 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 7) -> Da
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, rate: float = RATE, limit: float = LIMIT, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, shards (of each copy), order_key."""
-    slim = docs.select("doc_id", "source", n_words().alias("size"))
+    """One row per document: doc_id, source, th (hash of the text), size, source_size, target, taken, shards (of each copy), order_key."""
+    slim = docs.select("doc_id", "source", F.xxhash64("text").alias("th"), n_words().alias("size"))
     slim = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     slim = materialize(slim, "mix")
 
@@ -145,27 +147,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, rate: float = RAT
     plan = materialize(block.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "passes", "rest", "before", "to"), "mixplan")
 
     rows = slim.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    within = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, 0)
     ahead = F.col("before") + F.sum("size").over(within) - F.col("size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - ahead))
     rows = rows.withColumn("taken", F.col("passes") * F.col("size") + part)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    return rows.select("doc_id", "size", "source_size", "target", "taken", F.slice(F.coalesce("to", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"), F.xxhash64(F.lit(seed + 3), "h").alias("order_key"))
-
-
-def write_shards(docs: DataFrame, mixed: DataFrame, path: str) -> None:
-    """Writes the drawn rows as one folder for each shard, shuffled locally by order_key."""
-    drawn = mixed.select("doc_id", "order_key", F.posexplode("shards").alias("copy", "shard")).withColumn("order_key", F.xxhash64("order_key", "copy"))
-    docs.join(drawn, "doc_id").repartition("shard", F.pmod("order_key", F.lit(64))).sortWithinPartitions("shard", "order_key").write.partitionBy("shard").parquet(path)
+    return rows.select("doc_id", "source", "th", "size", "source_size", "target", "taken", F.slice(F.coalesce("to", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"), F.xxhash64(F.lit(seed + 3), "h").alias("order_key"))
+
+
+def with_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Each document's columns with the other columns of its row of the mix; rows equal in id, source and text take one each."""
+    extra = [c for c in mixed.columns if c not in ("doc_id", "source", "th")]
+    clash = [c for c in extra if c in docs.columns]
+    if clash:
+        raise ValueError(f"columns {clash} are in both tables")
+    d, s, t, n = unused(docs, "_d", "_s", "_t", "_n")
+    rows = mixed.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("th").alias(t), *extra)
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.xxhash64("text") == F.col(t))
+    out = [*docs.columns, *extra]
+    many = materialize(rows.groupBy(d, s, t).count().where("count > 1").drop("count"), "repeated")
+    if many.isEmpty():
+        return docs.join(rows, same).select(*out)
+    key = lambda a, b: a[d].eqNullSafe(b[d]) & a[s].eqNullSafe(b[s]) & (a[t] == b[t])
+    single = rows.join(many, key(rows, many), "left_anti")
+    number = F.row_number().over(Window.partitionBy(d, s, t).orderBy(t))  # of rows that are equal here, any order will do
+    some = docs.join(many, same).withColumn(n, number)
+    numbered = rows.join(many, key(rows, many), "left_semi").withColumn(n, number)
+    both = some.join(numbered.select(F.col(d).alias(d + "2"), F.col(s).alias(s + "2"), F.col(t).alias(t + "2"), F.col(n).alias(n + "2"), *extra), F.col(d).eqNullSafe(F.col(d + "2")) & F.col(s).eqNullSafe(F.col(s + "2")) & (F.col(t) == F.col(t + "2")) & (F.col(n) == F.col(n + "2")))
+    return docs.join(single, same).select(*out).unionByName(both.select(*out))
+
+
+def write_shards(docs: DataFrame, mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Writes the drawn rows as one folder for each shard, shuffled locally; a row stands in a shard once for each of its copies there."""
+    shard, key, copy = unused(docs, "shard", "_order", "_copy")
+    drawn = with_rows(docs, mixed.select("doc_id", "source", "th", F.col("order_key").alias(key), F.col("shards").alias(copy)))
+    rows = drawn.select(*docs.columns, key, F.posexplode(copy).alias(copy, shard)).withColumn(key, F.xxhash64(key, copy))
+    slots = max(1, n_shuffle(docs.sparkSession) // shards)
+    dealt = rows.repartition(slots * shards, shard, F.pmod(key, F.lit(slots))).sortWithinPartitions(shard, key)
+    dealt.select(*docs.columns, shard).write.partitionBy(shard).parquet(path)
 
 
 def copies_of(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken (a part taken counts from one half), with their columns."""
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    drawn = mixed.select(F.col("doc_id").alias("_d"), times.alias("_times")).groupBy("_d").agg(F.max("_times").alias("_times")).where("_times > 0")
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    (times,) = unused(docs, "_times")
+    share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    drawn = with_rows(docs, mixed.select("doc_id", "source", "th", share.alias(times))).where(F.col(times) > 0)
+    return drawn.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "source", "text"))
+    return mix(only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "source", "text")).drop("source", "th")
