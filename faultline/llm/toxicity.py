@@ -4,8 +4,8 @@ P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all threshol
 output is the expected grade, the sum of P(grade >= k), with the probability of a grade above zero. x marks the distinct
 words of a text, and beginnings of its longer words, that are in the model's vocabulary.
 
-Fitting uses a bounded sample of labelled rows, ``sample_rows`` with the lowest hash of their id (the documented
-bound; it takes all rows while there are fewer). Vocabulary: of the words of the sample, those whose presence departs
+Fitting uses a bounded sample of labelled documents, ``sample_rows`` with the lowest hash of their id, equal rows counting
+once (the documented bound; it takes all while there are fewer). Vocabulary: of the words of the sample, those whose presence departs
 most clearly from independence of the grade (likelihood ratio), ``n_features`` at most. Scoring reads each text once, in
 place, with the model's few thousand weights in each worker.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import only, raw_texts, small_batches
+from faultline.llm.shared import materialize, only, raw_texts, small_batches
 
 SAMPLE_ROWS = 20_000
 N_FEATURES = 2000
@@ -99,9 +99,12 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
     """graded: doc_id, grade (0 to n_grades - 1), one row for each id."""
     spark = docs.sparkSession
     small_batches(spark)
-    # The sample's size is bound by sample_rows, so it can go to each worker.
-    sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = only(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
+    # Labelled documents of the lowest hash, equal rows once: sample_rows at most, whatever ids repeat.
+    hashed = only(docs, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("th"))
+    known = hashed.join(graded, "doc_id").distinct()
+    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample_rows), "sample")
+    texts = only(docs, "doc_id", "text").where("text is not null").withColumn("th", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "th"])
+    texts = materialize(texts.dropDuplicates(["doc_id", "th"]).select("doc_id", "text", "grade"), "sample-texts")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, list[int]] = {}
@@ -141,7 +144,7 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
             found = [sorted(place[w] for w in features(x) if w in place) for x in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "found"])
 
-    rows = sorted(texts.mapInArrow(marks, "doc_id long, grade int, found array<int>").collect())  # sample_rows rows, if ids don't repeat
+    rows = sorted(texts.mapInArrow(marks, "doc_id long, grade int, found array<int>").collect())  # sample_rows rows at most
     starts = np.concatenate([[0], np.cumsum([len(r.found) for r in rows])]).astype(np.int64)
     words = np.array([i for r in rows for i in r.found], dtype=np.int64)
     w, theta = optimise(starts, words, np.array([r.grade for r in rows]), len(names), n_grades)
