@@ -8,7 +8,7 @@ become spans too. Distinct instances count, so copies of a text lend no support.
 identifier-like word is found like one, but only the word counts as an instance of their pattern.
 
 A match's place comes from splitting the text by the same pattern: pieces and matches alternate, so each start is the
-length of all that stands before it. Patterns are written so that Java matches them without recursion and without
+length of all that stands before it, and the words before a match stand in the pieces and matches just before it. Patterns are written so that Java matches them without recursion and without
 rescanning a run of signs: a run's first sign, or the place where the last match ended, is the only start that counts.
 
 Defined results: a null or empty text has no spans; null ids are kept; rows equal in id and text get equal spans; an
@@ -17,10 +17,12 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import materialize
+from faultline.llm.shared import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
 WORD, GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
@@ -64,32 +66,56 @@ def holds(kind: str, form: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, kind: int) -> Column:
-    """All matches of a pattern as spans, with the two words before each."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, span: int = 128) -> Column:
+    """Sums of a list up to and with each element, in parts, since each sum over the whole list would take its length."""
+    plus = lambda a, x: a + x
+    zero = F.lit(0).cast("long")
+
+    def part(parts: Column, own: Column, c: Column) -> Column:
+        ahead = F.aggregate(F.slice(parts, F.lit(1), c), zero, lambda a, x: a + F.aggregate(x, zero, plus))
+        return bound(ahead, lambda b: F.transform(own, lambda _, i: b + F.aggregate(F.slice(own, F.lit(1), i + 1), zero, plus)))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / span).cast("int")), lambda c: F.slice(values, c * span + 1, F.lit(span)))
+    sums = bound(cut, lambda parts: F.flatten(F.transform(parts, lambda own, c: part(parts, own, c))))
+    return F.when(F.size(values) > 0, sums).otherwise(F.array().cast("array<long>"))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["p"])
-        stop = start + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["m"].alias("form"), F.lit("").alias("context"))
-        return F.struct(stop.alias("at"), F.array_append(a["out"], span).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")), add, lambda a: a["out"])
+TWO_WORDS = rf"{GAP}({WORD}+{GAP}+{WORD}+{GAP}*)$"
 
 
-def context(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case; empty if there aren't two."""
-    begin = F.greatest(F.lit(0).cast("long"), start - 80)
-    before = F.substring(text, (begin + 1).cast("int"), (start - begin).cast("int"))
-    close = F.regexp_extract(before, rf"{GAP}({WORD}+{GAP}+{WORD}+{GAP}*)$", 1)
+def context(text: Column, start: Column, near: Column) -> Column:
+    """The two words before a place, in lower case; empty if there aren't two. near: what stands just before it."""
+    close = F.regexp_extract(F.right(near, F.lit(120)), TWO_WORDS, 1)
+    wider = F.regexp_extract(near, TWO_WORDS, 1)
     # the words begin further ahead, or with the text: from the place backwards
     far = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start.cast("int"))), rf"^{GAP}*+{WORD}++{GAP}++{WORD}++", 0))
-    return F.lower(F.regexp_replace(F.when(close != "", close).otherwise(far), rf"{GAP}+", " "))
+    return F.lower(F.regexp_replace(F.when(close != "", close).when(wider != "", wider).otherwise(far), rf"{GAP}+", " "))
+
+
+def matches(text: Column, pattern: str, kind: int) -> Column:
+    """All matches of a pattern as spans, with the two words before each."""
+
+    def spans(f: Column, p: Column, ends: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            stop = F.get(ends, i)
+            start = stop - F.length(m)
+            near = F.concat_ws("", F.get(p, i - 2), F.get(f, i - 2), F.get(p, i - 1), F.get(f, i - 1), F.get(p, i))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), m.alias("form"), context(text, start, near).alias("context"))
+
+        return F.transform(f, one)
 
+    def both(x: Column) -> Column:
+        f, p = x["f"], x["p"]
+        sizes = F.zip_with(f, F.slice(p, F.lit(1), F.size(f)), lambda m, b: (F.length(m) + F.length(b)).cast("long"))
+        return bound(bound(sizes, lambda v: running(v)), lambda ends: spans(f, p, ends))
 
-def with_context(text: Column, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["stop"], s["form"], context(text, s["start"]).alias("context")))
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("f"), F.split(text, pattern, -1).alias("p"))
+    return bound(pair, both).cast(SPAN)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -108,8 +134,8 @@ def mentions(docs: DataFrame) -> DataFrame:
     starts = F.transform("words", lambda w: w["start"])
     marked = F.transform("runs", lambda s: F.struct(F.when(F.array_contains(starts, s["start"]), -2).otherwise(-1).alias("kind"), s["start"], s["stop"], s["form"], s["context"]))
     found = found.withColumn("words", words).withColumn("runs", runs).withColumn("other", F.concat("words", marked))
-    free = F.filter("other", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    return found.select("doc_id", "th", with_context(F.col("text"), F.col("base")).alias("base"), with_context(F.col("text"), free).alias("other"))
+    free = F.when(F.size("base") == 0, F.col("other")).otherwise(F.filter("other", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))))
+    return found.select("doc_id", "th", "base", free.alias("other"))
 
 
 def fitted(kind: Column, form: Column) -> Column:
@@ -173,11 +199,12 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by <KIND>, all columns kept; n_chars, where present, follows the text."""
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans").dropDuplicates(["_d", "_t"])
+    d, t, found, new = unused(docs, "_d", "_t", "_spans", "_new")
+    spans = find(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("spans").alias(found)).dropDuplicates([d, t])
     spans = materialize(spans, "redactions")
     text = F.col("text")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_t")), "left")
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(t)), "left")
+    by_place = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def add(a: Column, s: Column) -> Column:
@@ -188,15 +215,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(by_place, start, add, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    new_text = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    # in a select of its own: within one select, "text" inside a lambda may mean the new column of that name
+    joined = joined.withColumn(new, F.when(F.col(found).isNotNull(), clean))
     columns = []
     for c, kind in docs.dtypes:
         if c == "text":
-            columns.append(new_text.alias("text"))
+            columns.append(F.coalesce(new, text).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("spans").isNull(), F.col(c)).otherwise(F.length(new_text).cast(kind)).alias(c))
+            columns.append(F.coalesce(F.length(new).cast(kind), F.col(c)).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(F.col(f"`{c}`"))
     return joined.select(*columns)
 
 
