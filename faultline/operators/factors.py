@@ -35,7 +35,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.75, blocks: int | Non
     def edges(key, table):
         lo, hi = (k.as_py() for k in key)
         ids, block = np.array(table["id"].to_numpy()), table["block"].to_numpy()
-        v = np.stack(table["v"].to_pylist()).astype(np.float64) if len(ids) else np.zeros((0, 1))
+        v = table["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
         a, c = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         i, j = np.nonzero(v[a] @ v[c].T >= threshold)
         x, y = ids[a[i]], ids[c[j]]

@@ -81,21 +81,22 @@ def first_of(reasons: DataFrame, category: str) -> Column:
 
 
 def image_failures(matched: DataFrame) -> DataFrame:
-    """A1: per image total_claims, failed_claims, success_rate, failure_breakdown, failed_claim_ids.
+    """A1: per image total_claims, failed_claims, success_rate, failure_breakdown, failed_claim_ids, failed_reasons.
 
     Counts by (image, reason) come first, so an image's map is built from at most as many rows as there are reasons.
     A failed claim without a reason counts under 'null'.
     """
     key = F.when(F.col("failed"), F.coalesce("failure_id", F.lit("null")))
-    parts = matched.groupBy("image_id", key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("failed"), F.struct("pos", "claim_id")))).alias("ids"))
+    parts = matched.groupBy("image_id", key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("failed"), F.struct("pos", "claim_id")))).alias("ids"), F.collect_set(F.when(F.col("failed"), F.col("failure_reason"))).alias("why"))
     out = parts.groupBy("image_id").agg(
         F.sum("n").alias("total_claims"),
         F.sum(F.when(F.col("k").isNotNull(), F.col("n")).otherwise(0)).alias("failed_claims"),
         F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n")))).alias("failure_breakdown"),
         F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"),
+        F.array_distinct(F.flatten(F.collect_list("why"))).alias("failed_reasons"),
     )
     rate = F.round(1 - F.col("failed_claims") / F.col("total_claims"), 6)
-    return out.select("image_id", "total_claims", "failed_claims", rate.alias("success_rate"), "failure_breakdown", F.col("ids.claim_id").alias("failed_claim_ids"))
+    return out.select("image_id", "total_claims", "failed_claims", rate.alias("success_rate"), "failure_breakdown", F.col("ids.claim_id").alias("failed_claim_ids"), "failed_reasons")
 
 
 def breakdown_text(breakdown: Column) -> Column:

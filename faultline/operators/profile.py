@@ -6,19 +6,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each numeric column count, nulls, null_pct, min, max, mean, median, std and distinct values, in one pass.
+#: Parts into which a median's range is cut in a round, and rows at which its values are counted one by one.
+PARTS, FEW_ROWS = 1024, 100_000
+
+
+def medians(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, float, float]]) -> dict[str, float | None]:
+    """The exact median of each column. stats: rows with a value, smallest and largest value.
 
-    The median is exact; on very large tables pass a sample or use approx_percentile.
+    The range that holds a middle row is cut into parts until few rows are left in one; a round counts the parts of all
+    columns in one reading. So no task holds a column, and the driver gets one row for each column and middle row.
     """
+    # (column, rank of the middle row) -> rows before the range, its ends, rows in it
+    open_ = {(c, k): (0, lo, hi, n) for c, (n, lo, hi) in stats.items() if n for k in {(n - 1) // 2, n // 2}}
+    found = {key: lo for key, (_, lo, hi, _) in open_.items() if lo == hi}
+    while todo := {k: v for k, v in open_.items() if k not in found and v[3] > FEW_ROWS and v[1] < v[2]}:
+        for (c, k), (before, lo, hi, _) in todo.items():
+            x = F.col(c).cast("double")
+            part = F.least(F.lit(PARTS - 1), F.floor((x - lo) / F.lit((hi - lo) / PARTS or 1.0)))
+            parts = df.where(x.between(lo, hi)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+            for r in sorted(parts.collect()):  # PARTS rows at most
+                if k < before + r.n:
+                    open_[c, k] = (before, r.lo, r.hi, r.n)
+                    break
+                before += r.n
+            if open_[c, k][1] == open_[c, k][2]:
+                found[c, k] = open_[c, k][1]
+    rest = {k: v for k, v in open_.items() if k not in found}
+    if rest:
+        picked = F.array(*[F.when(F.col(c).cast("double").between(lo, hi), F.struct(F.lit(c).alias("c"), F.lit(k).alias("k"), F.col(c).cast("double").alias("x"))) for (c, k), (_, lo, hi, _) in rest.items()])
+        counts = df.select(F.explode(F.array_compact(picked)).alias("p")).groupBy("p.c", "p.k", "p.x").agg(F.count(F.lit(1)).alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("c", "k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+        ahead = F.coalesce(*[F.when((F.col("c") == c) & (F.col("k") == k), F.lit(before)) for (c, k), (before, *_) in rest.items()])
+        hits = upto.where((ahead + F.col("upto") - F.col("n") <= F.col("k")) & (F.col("k") < ahead + F.col("upto")))
+        found |= {(r.c, r.k): r.x for r in hits.collect()}  # one row for each column and middle row
+    return {c: (found[c, (n - 1) // 2] + found[c, n // 2]) / 2 if n else None for c, (n, _, _) in stats.items()}
+
+
+def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """For each numeric column count, nulls, null_pct, min, max, mean, median (exact) and std."""
     out = []
     for c in columns:
         x = F.col(c).cast("double")
         out.append(F.struct(
             F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.count_if(x.isNull()).alias("nulls"), F.round(100 * F.avg(x.isNull().cast("int")), 6).alias("null_pct"),
-            F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.stddev(x), 6).alias("std"),
+            F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev(x), 6).alias("std"),
         ))
-    return df.agg(F.array(*out).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    rows = df.agg(F.array(*out).alias("p")).select(F.explode("p").alias("p")).select("p.*").collect()  # one row for each column
+    middle = medians(df, columns, {r["column"]: (r.n - r.nulls, r.min, r.max) for r in rows})
+    kind = "column string, n long, nulls long, null_pct double, min double, max double, mean double, median double, std double"
+    half = {c: None if x is None else round(x, 6) for c, x in middle.items()}
+    return df.sparkSession.createDataFrame([(r["column"], r.n, r.nulls, r.null_pct, r.min, r.max, r["mean"], half[r["column"]], r["std"]) for r in rows], kind)
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -48,17 +48,22 @@ def hash_bucket(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("bucket", md5_bucket(F.col(key).cast("string"), n))
 
 
-def sample_failure_keys(images: DataFrame, seed: int = 0) -> DataFrame:
-    """One failure of each image, drawn by (priority + 2)^2. Images without a usable key go.
+def with_failure_key(images: DataFrame, seed: int = 0) -> DataFrame:
+    """Adds failure_key, one failure of each image, drawn by (priority + 2)^2. Images without a usable key go.
 
-    images: image_id, failure_breakdown (map), failed_reasons (array, used where the map has no usable key).
+    images: image_id, failure_breakdown (map), failed_reasons (array, used where the map has no usable key), ...
     """
     usable = lambda k: (k != "null") & (k != MODEL_LIMITATION)
     keys = F.filter(F.map_keys("failure_breakdown"), usable)
     backup = F.array_distinct(F.filter("failed_reasons", lambda k: k.isNotNull() & usable(k)))
-    rows = images.select("image_id", F.explode(F.when(F.size(keys) > 0, keys).otherwise(backup)).alias("failure_key"))
-    rank = -F.log(u(seed, "image_id", "failure_key")) / failure_weight(F.col("failure_key"))
-    return rows.groupBy("image_id").agg(F.min_by("failure_key", F.struct(rank, "failure_key")).alias("failure_key"))
+    rank = lambda k: F.struct((-F.log(u(seed, F.col("image_id"), k)) / failure_weight(k)).alias("rank"), k.alias("key"))
+    best = F.array_min(F.transform(F.when(F.size(keys) > 0, keys).otherwise(backup), rank))
+    return images.withColumn("failure_key", best["key"]).where("failure_key is not null")
+
+
+def sample_failure_keys(images: DataFrame, seed: int = 0) -> DataFrame:
+    """image_id, failure_key."""
+    return with_failure_key(images, seed).select("image_id", "failure_key")
 
 
 def parse_ratios(text: str) -> dict[str, float]:

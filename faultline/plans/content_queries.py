@@ -15,6 +15,7 @@ from faultline.plans.failure_queries import U
 from faultline.plans.fixtures import cte, frame
 from faultline.sources import sinks
 from faultline.sources import tables as S
+from faultline.sources.shared import new_path
 
 QUERIES, SQL = {}, {}
 
@@ -148,9 +149,10 @@ def p19_p21_prefill_rules(spark, sf):
     return w.select("sample_index", C.keep_prefill(rel, F.col("values")).alias("kept"), C.target_object(both).alias("target"))
 
 
-@query(f"{cte('v')} select image_id, not bool_or(pos % 2 = 0 or pos % 7 = 0) skipped, case when not bool_or(pos % 2 = 0 or pos % 7 = 0) then 'prefill_no_object' end skip_reason from v where pos % 40 = 1 or pos % 11 = 0 group by 1")
+@query(f"{cte('v')}, x as (select image_id, substr(image_id, 5)::bigint i, pos from v), y as (select image_id, bool_or(not (pos % 2 > 0 or i % 3 = 0) or (pos % 7 = 0 and i % 2 = 0)) usable from x group by 1) select image_id, not usable skipped, case when not usable then 'prefill_no_object' end skip_reason from y")
 def p20_k7_skipped_images(spark, sf):
-    v = frame(spark, sf, "v").where("pos % 40 = 1 or pos % 11 = 0").select("image_id", (F.col("pos") % 2 != 0).alias("needs_prefill"), (F.col("pos") % 7 == 0).alias("kept"))
+    i = F.substring("image_id", 5, 20).cast("long")
+    v = frame(spark, sf, "v").select("image_id", ((F.col("pos") % 2 != 0) | (i % 3 == 0)).alias("needs_prefill"), ((F.col("pos") % 7 == 0) & (i % 2 == 0)).alias("kept"))
     return C.skipped_images(v)
 
 
@@ -316,11 +318,12 @@ def p65_prompts(spark, sf):
     return R.prompts(d, ["color", "shape"]).select("doc_id", shown(F.col("prompt")).alias("prompt"))
 
 
-@query("select column_name \"column\" from (describe part) where column_name not in ('p_partkey', 'p_name')")
+@query("select * from (unpivot (select count(p_brand) p_brand, count(p_type) p_type, count(p_size) p_size, count(p_retailprice) p_retailprice from part) on columns(*) into name \"column\" value n)")
 def p1_metadata_columns(spark, sf):
+    """The columns that are left, each with its rows that have a value."""
     p = C.metadata(spark.read.parquet(f"{sf}/part.parquet"), "p_partkey", "p_name")
-    rows = p.limit(1).select(F.explode(F.array(*[F.lit(c) for c in p.columns])).alias("column"))
-    return rows
+    counts = p.agg(*[F.count(c).alias(c) for c in p.columns])
+    return counts.unpivot([], p.columns, "column", "n")
 
 
 # --- parsers and scalar functions
@@ -399,11 +402,12 @@ def s3_image_ids(spark, sf):
     return c.select("c_custkey", S.image_id(given, path, F.lit("x/file.parquet"), F.col("c_custkey")).alias("id"))
 
 
-@query("select count(*) n, sum(p_partkey)::bigint s from part")
+@query("select count(*) n, sum(p_partkey)::bigint s, count(*) places from part")
 def s1_read_images(spark, sf):
-    from pyspark.sql.functions import input_file_name  # noqa: F401
-
-    return spark.read.parquet(f"{sf}/part.parquet").select("*", F.col("_metadata.row_index").alias("_row")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("s"))
+    path = new_path(spark, "images")
+    spark.read.parquet(f"{sf}/part.parquet").repartition(3).write.parquet(path)
+    rows = S.read_images(spark, path)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("s"), F.count_distinct("_file", "_row").alias("places"))
 
 
 # --- model calls by replay

@@ -36,7 +36,7 @@ FACT = f"{COMP}, f as (select component, min(pos) first, string_agg(text, '|' or
 
 @query(f"{EDGES} select i, j from e")
 def c1_j14_similar_pairs(spark, sf):
-    return O.similar_pairs(vectors(spark, sf), THRESHOLD, blocks=3)
+    return O.similar_pairs(vectors(spark, sf), THRESHOLD)
 
 
 @query(f"{COMP} select id, component from c")

@@ -12,6 +12,8 @@ from faultline.operators import failures as O
 from faultline.operators import routing as R
 from faultline.operators import sampling as S
 from faultline.plans.fixtures import cte, frame
+from faultline.sources import tables
+from faultline.sources.shared import new_path
 
 QUERIES, SQL = {}, {}
 
@@ -104,9 +106,14 @@ def a8_image_factors(spark, sf):
     return O.image_factors(matched(spark, sf), factor_reasons(spark)).select("image_id", F.array_join("factors", ",").alias("factors"))
 
 
-@query(f"with {REASONS}, {FACTORS} select failure_id, failure_id || '__' || p factor_id, factor from f")
+@query(f"{M}, {FACTORS}, n as (select failure_id, count(*) n from m where failed group by 1) select failure_id, failure_id || '__' || p factor_id, factor, coalesce(n, 0) failures from f left join n using (failure_id)")
 def a9_s22_all_factors(spark, sf):
-    return O.all_factors(factor_reasons(spark)).join(spark.read.parquet(f"{sf}/region.parquet").limit(1).select(F.lit(1).alias("one")), F.lit(True)).drop("one")
+    """All factors of a configuration file, each with the failures that suggest it."""
+    path = new_path(spark, "reasons")
+    reasons = factor_reasons(spark).select("failure_id", "failure_category", "suggested_filtering_factors", "pos")
+    reasons.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("failure_id", "failure_category", "suggested_filtering_factors").alias("r")))), lambda x: x["r"]).alias("failure_reasons")).coalesce(1).write.json(path)
+    counts = matched(spark, sf).where("failed").groupBy("failure_id").agg(F.count(F.lit(1)).alias("failures"))
+    return O.all_factors(tables.read_failures(spark, path)).join(counts, "failure_id", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
 
 
 @query(f"{cte('v')} select image_id, count(*) total, count(*) filter (where pos % 3 > 0) kept, count(*) filter (where pos % 3 = 0) dropped, coalesce(string_agg(pos::varchar, ',' order by pos) filter (where pos % 3 = 0), '') positions from v group by 1")
@@ -136,10 +143,10 @@ def j2_claims_of_images(spark, sf):
     return C.claims_of_images(v.select("image_id").distinct(), own, shared, spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("claim_text")))
 
 
-@query(f"{cte('v')} select a.image_id, a.claim_id, a.content_type, b.capability, c.is_correct from v a join v b using (image_id, claim_id) join v c using (image_id, claim_id) where a.pos % 2 = 0 and b.pos % 3 = 0")
+@query(f"{cte('v')} select image_id, claim_id, content_type, capability, is_correct from v")
 def j3_zip_claims(spark, sf):
     v = frame(spark, sf, "v")
-    return O.zip_claims(v.where("pos % 2 = 0").select("image_id", "claim_id", "content_type"), v.where("pos % 3 = 0").select("image_id", "claim_id", "capability"), v.select("image_id", "claim_id", "is_correct"))
+    return O.zip_claims(v.select("image_id", "claim_id", "content_type"), v.select("image_id", "claim_id", "capability"), v.select("image_id", "claim_id", "is_correct"))
 
 
 @query(f"{M} select claim_id, failed, failure_id from m")
@@ -153,12 +160,9 @@ key2 as (select distinct image_id, failure_reason k from m where failed and fail
 ks as (select * from key1 union all select * from key2), r1 as (select image_id, arg_min(k, (-ln({U.format("'5', image_id, k")}) / ({WEIGHT}), k)) failure_key from ks group by 1)"""
 
 
-def sampled(spark, sf, m=None, i=None) -> DataFrame:
-    m = matched(spark, sf) if m is None else m
-    i = O.image_failures(m) if i is None else i
-    why = m.where("failed").groupBy("image_id").agg(F.collect_set("failure_reason").alias("failed_reasons"))
-    rows = i.where("failed_claims > 0").join(why, "image_id", "left").withColumn("failed_reasons", F.coalesce("failed_reasons", F.array().cast("array<string>")))
-    return S.sample_failure_keys(rows, seed=5)
+def sampled(spark, sf, m=None) -> DataFrame:
+    i = O.image_failures(matched(spark, sf) if m is None else m)
+    return S.sample_failure_keys(i.where("failed_claims > 0"), seed=5)
 
 
 @query(f"{R1} select image_id, failure_key from r1")
@@ -170,10 +174,8 @@ PIPES = f"pipes(failure_key, pipeline_type, pipeline_name) as (values {values(R.
 
 
 def flagship(spark, sf) -> DataFrame:
-    m = matched(spark, sf)
-    i = O.image_failures(m)
-    routed = R.to_pipeline(sampled(spark, sf, m, i), R.pipeline_map(spark))
-    out = i.join(routed, "image_id").select("image_id", "total_claims", "failed_claims", "success_rate", O.breakdown_text(F.col("failure_breakdown")).alias("breakdown"), "failure_key", "pipeline_type", "pipeline_name")
+    drawn = S.with_failure_key(images(spark, sf).where("failed_claims > 0"), seed=5)
+    out = R.to_pipeline(drawn, R.pipeline_map(spark)).select("image_id", "total_claims", "failed_claims", "success_rate", O.breakdown_text(F.col("failure_breakdown")).alias("breakdown"), "failure_key", "pipeline_type", "pipeline_name")
     return S.running_index(out, "image_id")
 
 
@@ -358,10 +360,12 @@ def j11_fan_out(spark, sf):
     return R.fan_out(rows, spark.createDataFrame([(k,) for k in known], "key string"))
 
 
-@query(f"{cte('work')} select q.sample_index, case when q.sample_index % 3 = 0 then null else 'question ' || q.sample_index end question from work q where q.sample_index % 2 = 0")
+@query(f"{cte('work')} select sample_index, sample_index % 2 = 0 failed, case when sample_index % 3 > 0 then 'question ' || sample_index end question from work")
 def j12_error_questions(spark, sf):
-    w = frame(spark, sf, "work").select("sample_index", F.concat(F.lit("t"), F.col("sample_index").cast("string")).alias("trace_id"), F.lit("p").alias("pipeline_name"), F.concat(F.lit("question "), F.col("sample_index").cast("string")).alias("question"))
-    return R.error_questions(w.where("sample_index % 2 = 0").drop("question"), w.where("sample_index % 3 > 0")).select("sample_index", "question")
+    """All records, with whether they failed; one in three has no question."""
+    w = frame(spark, sf, "work").select("sample_index", F.concat(F.lit("t"), F.col("sample_index").cast("string")).alias("trace_id"), F.lit("p").alias("pipeline_name"), (F.col("sample_index") % 2 == 0).alias("failed"))
+    questions = w.where("sample_index % 3 > 0").withColumn("question", F.concat(F.lit("question "), F.col("sample_index").cast("string")))
+    return R.error_questions(w, questions).select("sample_index", "failed", "question")
 
 
 @query("select o_orderkey, o_orderpriority pipeline_name from orders where o_orderpriority in ('1-URGENT', '2-HIGH')")

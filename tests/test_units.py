@@ -1,5 +1,6 @@
 import json
 import os
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from faultline.operators import conversation as V
 from faultline.operators import factors as O
 from faultline.operators import failures as X
 from faultline.operators import modelcall as L
+from faultline.operators import profile as P
 from faultline.operators import qa as Q
 from faultline.operators import sampling as S
 from faultline.sources import sinks, tables, tar
@@ -268,3 +270,32 @@ def test_more_sinks(spark, tmp_path):
     spark.createDataFrame([("k", [bytearray(b"1")], "{}")], "key string, media array<binary>, json string").write.format("tar_samples").option("path", str(tmp_path / "t")).mode("append").save()
     sinks.tar_report(spark, str(tmp_path / "t"), str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).count() == 2
+
+
+def test_medians_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(P, "FEW_ROWS", 5)
+    monkeypatch.setattr(P, "PARTS", 4)
+    rows = [(float(i * i % 97), 1e9 if i == 3 else float(i % 3), None, 7, i if i % 2 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d int, e long")
+    found = {r["column"]: r["median"] for r in P.numeric_profile(df, ["a", "b", "c", "d", "e"]).collect()}
+    want = {c: statistics.median([r[i] for r in rows if r[i] is not None]) if any(r[i] is not None for r in rows) else None for i, c in enumerate("abcde")}
+    assert found == want
+    assert P.numeric_profile(df.where("false"), ["a"]).first()["median"] is None
+
+
+def test_label_models_separate_and_decode(spark):
+    rows = [(i, [float(i % 2) * 2 - 1, float(i // 2 % 2) * 2 - 1], float(i % 2), float(i // 2 % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, x double, y double")
+    models = O.train_labels(df, ["x", "y"], rounds=30)
+    for r in O.score_labels(df, models).collect():
+        assert r.predicted == [n for n, v in (("x", r.x), ("y", r.y)) if v] and all(abs(p - v) < 0.1 for p, v in zip(r.probability, (r.x, r.y), strict=True))
+
+
+def test_prompts_name_what_they_ask(spark):
+    row = spark.createDataFrame([("img", "a claim", ["object", "region"], None)], "image_id string, claim string, slots array<string>, why string")
+    asked = L.asked(row, "prefill", "image_id", claim="claim", slots="slots").first()
+    assert "a claim" in asked.prompt and "object, region" in asked.prompt and len(asked.request_key) == 64
+    again = L.asked(row, "question", "image_id", intent=F.lit("count"), slots="slots", why=F.lit("vague")).first().prompt
+    first = L.asked(row, "question", "image_id", intent=F.lit("count"), slots="slots", why="why").first().prompt
+    assert again.startswith(first) and again.endswith("vague")
+    assert set(L.PROMPTS) == set(L.STAGES)
