@@ -1,9 +1,10 @@
 """A gated recurrent language model in numpy with a class-factored output softmax.
 
-``count_words`` counts the tokens of all training texts with Spark. The ``N_FREQUENT`` most frequent words get weights of
-their own. They form classes of about equal mass; all other words share a last class, within which a word's share
-follows its count, so every word, seen or not, has a probability above zero and they sum up to one. log P(word) is
-log P(class | state) + log P(word | class, state).
+``count_words`` counts the tokens of all training texts with Spark. The ``N_FREQUENT`` most frequent words are symbols of
+their own. Every other word, seen or not, belongs to one of ``N_SPELLINGS`` symbols by its last two bytes, within which
+its share follows its count. Frequent symbols form classes of about equal mass, spellings one more. So log P(word) is
+log P(class | state) + log P(symbol | class, state), and for other words + log of its share: every word has a probability
+above zero, and they sum up to one.
 
 ``train`` goes once over all training texts, in ``ROUNDS`` rounds over disjoint parts of them. In a round each task
 starts from the same weights, runs truncated backpropagation over the windows of its texts (long ones in segments, none is left out), and hands over its weights.
@@ -35,9 +36,12 @@ from pyspark.sql import functions as F
 
 from faultline.llm.shared import materialize, only, raw_texts, small_batches
 
-N_FREQUENT, N_CLASSES, HIDDEN = 1200, 30, 16
+N_FREQUENT, N_CLASSES, HIDDEN = 2000, 44, 16
+SPELLING_BITS = 6
+N_SPELLINGS = 1 << SPELLING_BITS
 N_LISTED = 1 << 17
 ROUNDS, LANES, STEPS = 2, 256, 16
+SCORE_LANES = 1024
 HELD_TOKENS = 4_000_000  # texts of so many tokens run side by side, so that a long one doesn't leave lanes idle
 SEGMENT = 2048  # in training, the state starts anew after so many tokens of a text
 BLOCKS = 32
@@ -46,26 +50,32 @@ END = b" "  # no word contains a space
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]  # bytes.lower() changes A-Z only
+    words = text.lower().split()  # bytes.lower() changes A-Z only
+    words.append(END)
+    return words
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def spelling(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % N_SPELLINGS
+
+
 def fold(doc_id: int | None) -> int:
     """crc32 of the id as text; 0 for null."""
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """Hash and count of each distinct token of the training texts."""
+    """Hash, spelling and count of each distinct token of the training texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in own], pa.int64()), pa.array(own.values(), pa.int64())], ["h", "c"])
+            got = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in own], pa.int64()), pa.array([spelling(w) for w in own], pa.int32()), pa.array(own.values(), pa.int64())], ["h", "s", "c"])
             own.clear()
             return got
 
@@ -73,57 +83,68 @@ def count_words(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
                 if fold(doc_id) % 10:
                     own.update(tokens(text))
-            if len(own) > 400_000:
+            if len(own) > 700_000:
                 yield out()
         if own:
             yield out()
 
-    found = only(docs, "doc_id", "text").mapInArrow(rows, "h long, c long")
-    return materialize(found.groupBy("h").agg(F.sum("c").alias("c")), "words")
+    found = only(docs, "doc_id", "text").mapInArrow(rows, "h long, s int, c long")
+    return materialize(found.groupBy("h").agg(F.sum("c").alias("c"), F.max("s").alias("s")), "words")
 
 
 @dataclass
 class Lexicon:
-    """The listed words by hash: place in order of count. The first ``frequent`` have weights of their own."""
+    """The listed words by hash: place in order of count. The first ``frequent`` are symbols, followed by the spellings."""
 
     places: dict[int, int]
     counts: np.ndarray
     total: int
     distinct: int
     frequent: int
-    #: For each frequent word its class and its place in it; first word and end of each class.
+    #: Smoothed count of the words of each spelling that aren't frequent, with one unseen word.
+    mass: np.ndarray
+    #: For each symbol its class; first symbol and end of each class.
     classes: np.ndarray
     bounds: list[tuple[int, int]]
 
     @property
-    def rare_mass(self) -> float:
-        """Smoothed count of the last class, with one unseen word."""
-        seen = float(self.counts[: self.frequent].sum())
-        return self.total - seen + 0.1 * (self.distinct - self.frequent + 1)
+    def weights(self) -> np.ndarray:
+        """Count of each symbol."""
+        return np.concatenate([self.counts[: self.frequent], self.mass])
 
 
 def lexicon(counted: DataFrame, listed: int = N_LISTED, frequent: int = N_FREQUENT, n_classes: int = N_CLASSES) -> Lexicon:
-    sums = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
+    seen, distinct = np.zeros(N_SPELLINGS), np.zeros(N_SPELLINGS)
+    for r in counted.groupBy("s").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():  # N_SPELLINGS rows at most
+        seen[r.s], distinct[r.s] = r.c, r.n
     top = counted.orderBy(F.desc("c"), "h").limit(listed).toArrow()  # listed rows at most
     counts = top["c"].to_numpy().astype(np.float64)
     frequent = min(frequent, len(counts))
-    mass = np.cumsum(np.sqrt(counts[:frequent]))
-    cls = np.minimum((mass / (mass[-1] if frequent else 1) * n_classes).astype(np.int64), n_classes - 1)
+    own = top["s"].to_numpy()[:frequent].astype(np.int64)
+    mass = seen - np.bincount(own, weights=counts[:frequent], minlength=N_SPELLINGS) + 0.1 * (distinct - np.bincount(own, minlength=N_SPELLINGS) + 1)
+    share = np.cumsum(np.sqrt(counts[:frequent]))
+    cls = np.minimum((share / (share[-1] if frequent else 1) * n_classes).astype(np.int64), n_classes - 1)
     cls = np.unique(cls, return_inverse=True)[1] if frequent else cls
-    bounds = [(int(np.searchsorted(cls, c)), int(np.searchsorted(cls, c, "right"))) for c in range(int(cls.max(initial=-1)) + 1)]
-    return Lexicon(dict(zip(top["h"].to_pylist(), range(len(counts)), strict=True)), counts, int(sums[0] or 0), int(sums[1]), frequent, cls, bounds)
+    cls = np.concatenate([cls, np.full(N_SPELLINGS, int(cls.max(initial=-1)) + 1)])
+    bounds = [(int(np.searchsorted(cls, c)), int(np.searchsorted(cls, c, "right"))) for c in range(int(cls[-1]) + 1)]
+    return Lexicon(dict(zip(top["h"].to_pylist(), range(len(counts)), strict=True)), counts, int(seen.sum()), int(distinct.sum()), frequent, mass, cls, bounds)
 
 
 class Network:
-    """Gated recurrent units over word inputs. Inputs: frequent words, then one for all others, then the start."""
+    """Gated recurrent units over symbols. Inputs: the symbols, then the start.
+
+    Arrays have a column for each text that runs side by side, so numpy's inner loops are long. States end with a row of
+    ones, which the last column of the output weights, the biases, belongs to.
+    """
 
     def __init__(self, lex: Lexicon, hidden: int = HIDDEN, weights: np.ndarray | None = None, seed: int = 11) -> None:
         self.lex, self.hidden = lex, hidden
-        k, c = lex.frequent, len(lex.bounds) + 1
-        shapes = {"inputs": (k + 2, 3 * hidden), "update": (hidden, 3 * hidden), "out_class": (hidden, c), "bias_class": (c,), "out_word": (hidden, k), "bias_word": (k,)}
+        k, c = len(lex.classes), len(lex.bounds)
+        shapes = {"inputs": (k + 1, 3 * hidden), "update": (3 * hidden, hidden), "out_class": (c, hidden + 1), "out_word": (k, hidden + 1)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.ones = np.ones(max(k, c), np.float32)
-        self.cls_of = np.append(lex.classes, len(lex.bounds)).astype(np.uint8 if len(lex.bounds) < 255 else np.uint16)
+        self.cls_of = lex.classes.astype(np.uint8 if c < 256 else np.uint16)
+        self.range = np.zeros(0, np.int64)
         self.all = np.zeros(size, np.float32) if weights is None else weights
         self.grad = np.zeros(size, np.float32)
         self.w, self.g, at = {}, {}, 0
@@ -135,119 +156,128 @@ class Network:
             rng = np.random.Generator(np.random.PCG64(seed))
             self.w["inputs"][:] = rng.normal(0, 0.1, self.w["inputs"].shape)
             self.w["update"][:] = rng.normal(0, 0.3 / hidden**0.5, self.w["update"].shape)
-            counts = lex.counts[:k]
-            mass = np.array([*[counts[a:b].sum() for a, b in lex.bounds], lex.rare_mass])
-            self.w["bias_class"][:] = np.log(mass / mass.sum())
+            counts = lex.weights
+            mass = np.array([counts[a:b].sum() for a, b in lex.bounds])
+            self.w["out_class"][:, -1] = np.log(mass / mass.sum())
             for a, b in lex.bounds:
-                self.w["bias_word"][a:b] = np.log(counts[a:b] / counts[a:b].sum())
+                self.w["out_word"][a:b, -1] = np.log(counts[a:b] / counts[a:b].sum())
 
     def forward(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """inputs and fresh (text begins): steps x lanes. The states after each step, and what backward needs."""
-        n, hid = len(inputs), self.hidden
-        x, u = self.w["inputs"][inputs], self.w["update"]
-        states, kept = np.empty((n, inputs.shape[1], hid), np.float32), []
+        """inputs and fresh (text begins): steps x lanes; h: hidden x lanes. States (hidden + 1) x steps x lanes, and what backward needs."""
+        (n, lanes_), hid, u = inputs.shape, self.hidden, self.w["update"]
+        x = np.ascontiguousarray(self.w["inputs"][inputs].transpose(0, 2, 1))
+        states, kept = np.ones((hid + 1, n, lanes_), np.float32), []
         for t in range(n):
             if fresh[t].any():
-                h = h.copy()
-                h[fresh[t]] = 0
-            a = h @ u
-            zr = x[t, :, : 2 * hid]
-            zr += a[:, : 2 * hid]
-            np.negative(zr, out=zr)
+                h = h * ~fresh[t]
+            a = u @ h
+            zr = x[t, : 2 * hid]  # the gates are 1 / (1 + exp(.))
+            zr += a[: 2 * hid]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r, a = zr[:, :hid], zr[:, hid:], a[:, 2 * hid :]
+            z, r, a = zr[:hid], zr[hid:], a[2 * hid :]
             new = r * a
-            new += x[t, :, 2 * hid :]
+            new += x[t, 2 * hid :]
             np.tanh(new, out=new)
-            kept.append((h, a, z, r, new))
-            h = np.subtract(h, new, out=states[t])
-            h *= z
+            gap = h - new
+            kept.append((h, a, z, r, new, gap))
+            h = gap * z
             h += new
+            states[:hid, t] = h
         return states, kept
 
+    def _expected(self, w: np.ndarray, s: np.ndarray, at: np.ndarray, weight: np.float32 | None, cut: bool) -> tuple[np.ndarray, np.ndarray]:
+        """log P of row at[i] in column i of a softmax over w @ s, and, with a weight, the gradient of the mean loss by the logits."""
+        logits = w @ s
+        if cut:
+            np.minimum(logits, LARGEST, out=logits)  # exp() stays in range without taking out each column's largest logit
+        n = logits.shape[1]
+        if n > len(self.range):
+            self.range = np.arange(n)
+        place = at * np.int64(n)
+        place += self.range[:n]
+        out = logits.ravel().take(place)
+        e = np.exp(logits, out=logits)
+        total = self.ones[: len(e)] @ e  # a product is faster than a sum
+        out -= np.log(total)
+        if weight is not None:
+            e *= weight / total
+            e.ravel()[place] -= weight
+        return out, e
+
     def outputs(self, s: np.ndarray, target: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log P of the targets (frequent word, or the place after them for the last class) in states s.
+        """Natural log P of the target symbols in states s, (hidden + 1) x targets.
 
-        With learn, also the gradient of the mean loss by s, and the output weights' gradients in self.g.
+        With learn, also the gradient of the mean loss by s without its last row, and the output weights' gradients in self.g.
         """
-        k, last = self.lex.frequent, len(self.lex.bounds)
+        hid, last, n = self.hidden, len(self.lex.bounds), s.shape[1]
+        weight = np.float32(1 / max(1, n)) if learn else None
         cls = self.cls_of[target]
-        share = np.float32(1 / max(1, len(s)))
-        i = np.arange(len(s))
-        logits = s @ self.w["out_class"]
-        logits += self.w["bias_class"]
-        np.minimum(logits, LARGEST, out=logits)  # exp() stays in range without taking out each row's largest logit
-        out = logits[i, cls]
-        e = np.exp(logits, out=logits)
-        total = e @ self.ones[: e.shape[1]]  # a product is faster than a sum over short rows
-        out -= np.log(total)
+        order = np.argsort(cls, kind="stable")  # short keys: a radix sort
+        cls, target, s = cls[order], target[order], s.take(order, axis=1)
+        ends = np.searchsorted(cls, np.arange(last + 1)).tolist()
+        cut = max(float(np.abs(self.w[x]).sum(axis=1).max()) for x in ("out_class", "out_word")) > LARGEST  # states lie in -1 to 1
+        gain, e = self._expected(self.w["out_class"], s, cls, weight, cut)
         ds = None
         if learn:
-            e *= (share / total)[:, None]
-            e[i, cls] -= share
-            np.matmul(s.T, e, out=self.g["out_class"])
-            self.g["bias_class"][:] = np.ones(len(e), np.float32) @ e
-            ds = e @ self.w["out_class"].T
+            np.matmul(e, s.T, out=self.g["out_class"])
+            ds = self.w["out_class"][:, :hid].T @ e
             self.g["out_word"][:] = 0
-            self.g["bias_word"][:] = 0
-        order = np.argsort(cls, kind="stable")  # short keys: a radix sort
-        ends = np.searchsorted(cls[order], np.arange(last + 1))
-        sorted_s, sorted_t, gain = s[order[: ends[last]]], target[order[: ends[last]]], np.zeros(int(ends[last]), np.float32)
-        back = np.empty_like(sorted_s) if learn else None
         for c, (a, b) in enumerate(self.lex.bounds):
-            lo, hi = int(ends[c]), int(ends[c + 1])
+            lo, hi = ends[c], ends[c + 1]
             if lo == hi:
                 continue
-            part, w = sorted_s[lo:hi], self.w["out_word"][:, a:b]
-            logits = part @ w
-            logits += self.w["bias_word"][a:b]
-            np.minimum(logits, LARGEST, out=logits)
-            j, at = np.arange(hi - lo), sorted_t[lo:hi] - a
-            gain[lo:hi] = logits[j, at]
-            e = np.exp(logits, out=logits)
-            total = e @ self.ones[: b - a]
-            gain[lo:hi] -= np.log(total)
+            w, part = self.w["out_word"][a:b], s[:, lo:hi]
+            more, e = self._expected(w, part, target[lo:hi] - a, weight, cut)
+            gain[lo:hi] += more
             if learn:
-                e *= (share / total)[:, None]
-                e[j, at] -= share
-                self.g["out_word"][:, a:b] = part.T @ e
-                self.g["bias_word"][a:b] = np.ones(hi - lo, np.float32) @ e
-                np.matmul(e, w.T, out=back[lo:hi])
-        out[order[: ends[last]]] += gain
-        if learn:
-            ds[order[: ends[last]]] += back
-        return out, ds
+                np.matmul(e, part.T, out=self.g["out_word"][a:b])
+                ds[:, lo:hi] += w[:, :hid].T @ e
+        out = np.empty_like(gain)
+        out[order] = gain
+        if not learn:
+            return out, None
+        back = np.empty_like(ds)
+        back[:, order] = ds
+        return out, back
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, ds: np.ndarray) -> None:
-        """Through the steps of one window; ds: gradient by the states."""
-        hid, u = self.hidden, self.w["update"]
-        gx = np.empty((*inputs.shape, 3 * hid), np.float32)
-        gu, dh = np.zeros_like(u), np.zeros_like(ds[0])
-        ut = np.ascontiguousarray(u.T)
-        for t in range(len(inputs) - 1, -1, -1):
-            h, a, z, r, new = kept[t]
-            dh += ds[t]
+        """Through the steps of one window; ds: gradient by the states, hidden x steps x lanes."""
+        (n, lanes_), hid, u = inputs.shape, self.hidden, self.w["update"]
+        gx = np.empty((n, 3 * hid, lanes_), np.float32)
+        gu, dh, ut = np.zeros_like(u), np.zeros((hid, lanes_), np.float32), np.ascontiguousarray(u.T)
+        ga = np.empty((3 * hid, lanes_), np.float32)
+        for t in range(n - 1, -1, -1):
+            h, a, z, r, new, gap = kept[t]
+            dh += ds[:, t]
             g = gx[t]
-            dn = (1 - z) * dh
-            dn *= 1 - new * new
-            g[:, :hid] = dh * (h - new) * (z - z * z)
-            g[:, hid : 2 * hid] = dn * a * (r - r * r)
-            g[:, 2 * hid :] = dn
-            ga = g.copy()
-            ga[:, 2 * hid :] *= r
-            gu += h.T @ ga
-            dh *= z
-            dh += ga @ ut
-            dh[fresh[t]] = 0
+            keep = dh * z
+            dn = dh - keep
+            slope = new * new
+            slope *= dn
+            dn -= slope
+            # minus, since the gates fall in what they are taken of
+            np.multiply(keep, gap, out=g[:hid])
+            g[:hid] *= z - 1
+            ra = r * a
+            ra *= r - 1
+            np.multiply(ra, dn, out=g[hid : 2 * hid])
+            g[2 * hid :] = dn
+            ga[: 2 * hid] = g[: 2 * hid]
+            np.multiply(dn, r, out=ga[2 * hid :])
+            gu += ga @ h.T
+            dh = ut @ ga
+            dh += keep
+            if fresh[t].any():
+                dh *= ~fresh[t]
         self.g["update"][:] = gu
         flat = inputs.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         self.g["inputs"][:] = 0
-        self.g["inputs"][flat[begins]] = np.add.reduceat(gx.reshape(-1, 3 * hid)[order], begins, axis=0)
+        self.g["inputs"][flat[begins]] = np.add.reduceat(gx.transpose(0, 2, 1).reshape(-1, 3 * hid)[order], begins, axis=0)
 
 
 class Adam:
@@ -287,13 +317,14 @@ def lanes(texts: list[np.ndarray], n_lanes: int = LANES) -> tuple[np.ndarray, np
     return token, owner
 
 
-def windows(lex: Lexicon, texts: list[np.ndarray], steps: int = STEPS) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(lex: Lexicon, texts: list[np.ndarray], n_lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple[np.ndarray, ...]]:
     """Inputs, text beginnings, targets and owners of each window, for lanes that still have tokens."""
-    token, owner = lanes(texts)
+    token, owner = lanes(texts, n_lanes)
     fresh = np.ones(token.shape, bool)
     fresh[1:] = owner[1:] != owner[:-1]
-    inputs = np.full_like(token, lex.frequent + 1)
-    inputs[1:] = np.where(fresh[1:], lex.frequent + 1, token[:-1])
+    start = len(lex.classes)
+    inputs = np.full_like(token, start)
+    inputs[1:] = np.where(fresh[1:], start, token[:-1])
     live = np.argsort(-(owner >= 0).sum(axis=0), kind="stable")  # longest lanes first
     token, owner, fresh, inputs = token[:, live], owner[:, live], fresh[:, live], inputs[:, live]
     for at in range(0, len(token), steps):
@@ -303,43 +334,45 @@ def windows(lex: Lexicon, texts: list[np.ndarray], steps: int = STEPS) -> Iterat
 
 
 def run(net: Network, texts: list[np.ndarray], adam: Adam | None = None) -> np.ndarray:
-    """Natural log P of each text (last-class words count with their class only). With adam, learns on the way."""
+    """Natural log P of each text's symbols. With adam, learns on the way."""
     out, h = np.zeros(len(texts)), None
-    for inputs, fresh, target, owner in windows(net.lex, texts):
-        h = np.zeros((inputs.shape[1], net.hidden), np.float32) if h is None else h[: inputs.shape[1]]
+    for inputs, fresh, target, owner in windows(net.lex, texts, LANES if adam else SCORE_LANES):
+        h = np.zeros((net.hidden, inputs.shape[1]), np.float32) if h is None else np.ascontiguousarray(h[:, : inputs.shape[1]])
         states, kept = net.forward(inputs, fresh, h)
-        real = owner >= 0
-        logp, ds = net.outputs(states[real], target[real], learn=adam is not None)
-        out += np.bincount(owner[real], weights=logp, minlength=len(texts))
+        flat, real = states.reshape(net.hidden + 1, -1), np.flatnonzero(owner.ravel() >= 0)
+        whole = len(real) == flat.shape[1]
+        logp, ds = net.outputs(flat if whole else flat[:, real], target.ravel()[real], learn=adam is not None)
+        out += np.bincount(owner.ravel()[real], weights=logp, minlength=len(texts))
         if adam:
-            full = np.zeros_like(states)
-            full[real] = ds
-            net.backward(inputs, fresh, kept, full)
+            if not whole:
+                full = np.zeros((net.hidden, flat.shape[1]), np.float32)
+                full[:, real] = ds
+                ds = full
+            net.backward(inputs, fresh, kept, ds.reshape(net.hidden, *inputs.shape))
             adam.step(net.all, np.clip(net.grad, -0.1, 0.1))
-        h = states[-1]
+        h = states[:-1, -1]
     return out
 
 
 class Reader:
-    """Places of words in the lexicon, remembered by worker."""
+    """Places and spellings of words, remembered by worker."""
 
     def __init__(self, lex: Lexicon) -> None:
         self.lex, self.known = lex, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Place among the listed words, -1 for others."""
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its place among the listed ones (-1 for others), its spelling and its symbol."""
         out = list(map(self.known.get, words))
         if None in out:
             if len(self.known) > 500_000:
                 self.known.clear()
             for i, p in enumerate(out):
                 if p is None:
-                    out[i] = self.known[words[i]] = self.lex.places.get(word_hash(words[i]), -1)
-        return np.array(out, dtype=np.int32)
-
-
-def neural(lex: Lexicon, places: np.ndarray) -> np.ndarray:
-    return np.where((places < 0) | (places >= lex.frequent), lex.frequent, places).astype(np.int32)
+                    w = words[i]
+                    out[i] = self.known[w] = self.lex.places.get(word_hash(w), -1) * N_SPELLINGS + spelling(w)
+        both = np.array(out, dtype=np.int32)
+        places, spelled = both >> SPELLING_BITS, both & (N_SPELLINGS - 1)
+        return places, spelled, np.where((places < 0) | (places >= self.lex.frequent), self.lex.frequent + spelled, places)
 
 
 def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HIDDEN) -> np.ndarray:
@@ -357,12 +390,12 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HID
             net, reader = Network(lex, hidden, start.value.copy()), Reader(lex)
             adam, held, size, seen = Adam(len(net.all)), [], 0, 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                    key = fold(doc_id)
-                    if key % 10 and key // 10 % rounds == number:
-                        ids = neural(lex, reader(tokens(text)))
-                        held += [ids[at : at + SEGMENT] for at in range(0, len(ids), SEGMENT)]
-                        size += len(ids)
+                keys = [fold(x) for x in batch.column(0).to_pylist()]
+                own = batch.column(1).filter(pa.array([bool(k % 10) and k // 10 % rounds == number for k in keys], pa.bool_()))
+                for text in raw_texts(own):
+                    ids = reader(tokens(text))[2]
+                    held += [ids[at : at + SEGMENT] for at in range(0, len(ids), SEGMENT)]
+                    size += len(ids)
                 if size >= HELD_TOKENS:
                     run(net, held, adam)
                     held, size, seen = [], 0, seen + size
@@ -390,7 +423,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HID
     return weights
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_listed long, n_rare long, listed double, listed_rare double, neural double, other array<long>, times array<int>"
+SCORED = "row long, doc_id long, n_tokens long, n_listed long, listed double, rare double, neural double, other array<long>, times array<int>"
 
 
 def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray, hidden: int = HIDDEN) -> DataFrame:
@@ -402,14 +435,14 @@ def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray
         lex = shared.value
         net, reader = Network(lex, hidden, model.value), Reader(lex)
         row = TaskContext.get().partitionId() << 32
-        logs = np.log10(lex.counts + 0.1)
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+        logs, mass = np.log10(lex.counts + 0.1), np.log10(lex.mass)
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
         held: list[list] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             for x, p in zip(held, run(net, [x.pop() for x in held]), strict=True):
-                x[7] = float(p) / np.log(10)
+                x[6] = float(p) / np.log(10)
             got = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
             held.clear()
             return got
@@ -417,13 +450,11 @@ def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
                 words = tokens(text)
-                places = reader(words)
+                places, spelled, ids = reader(words)
                 listed = places[places >= 0]
-                rare = listed[listed >= lex.frequent]
+                rare = float(logs[listed[listed >= lex.frequent]].sum() - mass[spelled[ids >= lex.frequent]].sum())  # unlisted words' counts come later
                 other = Counter(words[i] for i in np.flatnonzero(places < 0))
-                ids = neural(lex, places)
-                n_rare = int((ids == lex.frequent).sum())
-                held.append([row, doc_id, len(words), len(listed), n_rare, float(logs[listed].sum()), float(logs[rare].sum()), None, [word_hash(w) for w in other], list(other.values()), ids])
+                held.append([row, doc_id, len(words), len(listed), float(logs[listed].sum()), rare, None, [word_hash(w) for w in other], list(other.values()), ids])
                 size, row = size + len(words), row + 1
             if size >= HELD_TOKENS:
                 yield out()
@@ -438,7 +469,6 @@ def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
     )
     base = float(np.log10(lex.total + 0.1 * (lex.distinct + 1)))
-    rare = float(np.log10(lex.rare_mass))
     unlisted = F.coalesce("unlisted", F.lit(0.0))
     fold_ = F.when(F.col("doc_id").isNull(), 0).otherwise(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10)
     return done.drop("other", "times").join(found, "row", "left").select(
@@ -448,7 +478,7 @@ def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray
         (F.col("n_listed") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
         (F.col("listed") + unlisted - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("neural") + F.col("listed_rare") + unlisted - F.col("n_rare") * F.lit(rare)).alias("score"),
+        (F.col("neural") + F.col("rare") + unlisted).alias("score"),
     )
 
 
