@@ -7,9 +7,11 @@ of the other's.
 1. ``sets``: one row per document with its node and set size.
 2. ``survivors``: of a fixed two fifths of the feature domain, count the elements of each set that another set has
    too. A node that lacks more than a fourth of its set cannot link, and most nodes end here. Elements that a batch of
-   texts holds twice are counted in place and leave it once, so a passage of many texts doesn't gather in one task.
+   texts holds twice are counted in place and leave it once, so a passage of many texts doesn't gather in one task. The
+   same is then counted over the whole sets of the nodes that are left (``sharing_most``).
 3. ``signatures``: PartEnum. Bands of set sizes grow by 4/3, so linked sets lie in one band or in neighbouring ones, and
-   each set signs for its own band and the next. For a band, the domain is split into first-level parts of three cells.
+   each set signs for its own band and the next. Nodes that meet in a band that is none's own meet in their own as well,
+   so such a meeting is passed over. For a band, the domain is split into first-level parts of three cells.
    If k elements differ, some part has at most one differing element, so two of its cells agree: each pair of cells of
    each part is a signature. Empty pairs don't sign; a set that has too few parts with two filled cells for the bound to
    hold without them signs with its ``n // 4 + 1`` first elements in hash order as well. If both sets of a linked pair are
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import materialize, n_shuffle, only, raw_texts, small_batches, unused
+from faultline.llm.shared import materialize, n_shuffle, only, raw_texts, sliced, small_batches, unused
 
 SHINGLE = 5
 #: Members and bytes of a block of a family.
@@ -161,14 +163,44 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
         yield held[1], held[2], before, np.array([False])
 
 
-def survivors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes of which all but a fourth may be in another set: node, n, doc, lacks (64ths of the sampled part)."""
+def once_each(own: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows e, node, c of the elements of a batch's nodes, each element once.
+
+    c: 0 for an element that the batch has once, -1 for one that it has counted, else the node's counted elements.
+    """
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["e", "node", "c"])
 
+    if not own:
+        return
+    e, node = np.concatenate(list(own.values())), np.repeat(np.array(list(own), np.int64), [len(p) for p in own.values()])
+    order = np.argsort(e)
+    e, node = e[order], node[order]
+    same = np.concatenate([[False], e[1:] == e[:-1], [False]])
+    twice, first = same[1:] | same[:-1], ~same[:-1]
+    counted, n = np.unique(node[twice], return_counts=True)
+    yield out([e[first].view(np.int64), node[first], -twice[first].astype(np.int64)])
+    yield out([counted, counted, n])
+
+
+def shared_counts(rows: DataFrame) -> DataFrame:
+    """node, shared: of rows as once_each gives, the number of a node's elements that another node has too (or more)."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, count, before, after in runs(batches):
+            use = ((before | after) & (count == 0)) | (count > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(np.maximum(count[use], 1))], ["node", "n"])
+
+    dealt = rows.repartition(n_shuffle(rows.sparkSession), "e").sortWithinPartitions("e", "node", "c")
+    small_batches(rows.sparkSession, 50_000)  # rows of three numbers
+    return dealt.mapInArrow(shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("shared"))
+
+
+def survivors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of which all but a fourth may be in another set, by the sampled part: node, n, doc."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # c: 0 for an element that the batch has once, -1 for one that it has counted, else the node's counted elements
         seen: set[int] = set()
         for batch in batches:
             own: dict[int, np.ndarray] = {}
@@ -178,31 +210,12 @@ def survivors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(node)
                     own[node] = part
-            if not own:
-                continue
-            e, node = np.concatenate(list(own.values())), np.repeat(np.array(list(own), np.int64), [len(p) for p in own.values()])
-            order = np.argsort(e)
-            e, node = e[order], node[order]
-            same = np.concatenate([[False], e[1:] == e[:-1], [False]])
-            twice = same[1:] | same[:-1]
-            counted, n = np.unique(node[twice], return_counts=True)
-            first = ~same[:-1]
-            yield out([e[first].view(np.int64), node[first], -twice[first].astype(np.int64)])
-            yield out([counted, counted, n])
+            yield from once_each(own)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, count, before, after in runs(batches):
-            more = count > 0
-            own, n = np.unique(node[(before | after) & (count == 0)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, node[more]])), pa.array(np.concatenate([n, count[more]]))], ["node", "n"])
-
-    spark = docs.sparkSession
-    found = only(docs, "text").mapInArrow(rows, "e long, node long, c long").repartition(n_shuffle(spark), "e").sortWithinPartitions("e", "node", "c")
-    small_batches(spark, 50_000)  # rows of three numbers
-    counts = found.mapInArrow(shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("shared"))
-    joined = nodes.join(counts, "node", "left").withColumn("shared", F.least(F.col("m"), F.coalesce("shared", F.lit(0)))).where("shared >= m - n div 4")
-    found = materialize(joined.select("node", "n", "doc", F.expr("64 * (m - shared) div greatest(m, 1)").alias("lacks")), "survivors")
-    small_batches(spark)
+    counts = shared_counts(only(docs, "text").mapInArrow(rows, "e long, node long, c long"))
+    joined = nodes.join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("m") - F.expr("n div 4"))
+    found = materialize(joined.select("node", "n", "doc"), "survivors")
+    small_batches(docs.sparkSession)
     return found
 
 
@@ -214,11 +227,11 @@ def bands(most: int) -> np.ndarray:
     return np.array([*ends, max(ends[-1] + 1, 4 * ends[-1] // 3)])
 
 
-def sign(e: np.ndarray) -> np.ndarray:
-    """The PartEnum signatures of a set."""
+def sign(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The PartEnum signatures of a set, and for each whether it is for the next band only."""
     n, ends = len(e), bands(len(e))
     own = int(np.searchsorted(ends, n))
-    out, short = [], False
+    out, ahead, short = [], [], False
     for band in (own, own + 1):
         r = int(ends[band])
         parts = max(1, round(r / (3 * CELL)))
@@ -234,15 +247,17 @@ def sign(e: np.ndarray) -> np.ndarray:
             full = count[:, a] + count[:, b] > 0
             where = mix(salt + U64(4) * number + U64(left_out))
             out.append(mix(mix(total[:, a] + U64(1)) + U64(3) * mix(total[:, b] + U64(2)) + where)[full])
+            ahead.append(np.full(len(out[-1]), band != own))
         most = (n + min(r, 4 * n // 3)) // 7
         short |= int(((count > 0).sum(axis=1) >= 2).sum()) <= most // 2
     if short:
         out.append(mix(np.sort(e)[: n // 4 + 1] + U64(0xD1B54A32D192ED03)))
-    return np.concatenate(out)
+        ahead.append(np.zeros(len(out[-1]), bool))
+    return np.concatenate(out), np.concatenate(ahead)
 
 
 def full_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """node, lacks, elements of the surviving nodes, each from the document of its lowest id."""
+    """node, elements of the surviving nodes, each from the document of its lowest id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +266,26 @@ def full_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
 
     ids = alive.select(F.col("doc").alias("d")).distinct()
     texts = only(docs, "doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("text")
-    found = texts.mapInArrow(rows, "node long, elements binary").join(alive.select("node", "lacks"), "node")
+    found = texts.mapInArrow(rows, "node long, elements binary").join(alive.select("node"), "node", "left_semi")
     return materialize(found.dropDuplicates(["node"]), "elements")
 
 
+def sharing_most(whole: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, n, lacks (64ths of the set), elements of the nodes of which all but a fourth are in another one. sizes: node, n."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced([batch], 200):
+                sets_ = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                yield from once_each(dict(zip(part.column(0).to_pylist(), sets_, strict=True)))
+
+    counts = shared_counts(whole.select("node", "elements").mapInArrow(rows, "e long, node long, c long"))
+    joined = sizes.join(counts, "node").where("shared >= n - n div 4")
+    kept = materialize(joined.select("node", "n", F.expr("64 * greatest(n - shared, 0) div n").alias("lacks")), "sharing")
+    small_batches(whole.sparkSession)
+    return materialize(whole.join(kept, "node").select("node", "n", "lacks", "elements"), "sets-left")
+
+
 def families(whole: DataFrame) -> DataFrame:
     """first, node: the families of each node that shares a signature; a first member is in its own."""
     spark, most = whole.sparkSession, HELD
@@ -265,11 +296,12 @@ def families(whole: DataFrame) -> DataFrame:
             found = [sign(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
             for at in range(0, len(found), 200):
                 part = found[at : at + 200]
-                sizes = [len(s) for s in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(lacks[at : at + 200], sizes)), pa.array(np.repeat(nodes[at : at + 200], sizes))], ["sig", "lacks", "node"])
+                sizes = [len(s) for s, _ in part]
+                rank = np.repeat(lacks[at : at + 200], sizes) + 1000 * np.concatenate([a for _, a in part])  # own bands come first
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, _ in part]).view(np.int64)), pa.array(rank), pa.array(np.repeat(nodes[at : at + 200], sizes))], ["sig", "rank", "node"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the run that may go on
+        key, first, above = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the run that may go on
         parts, size = [], 0
 
         def out() -> pa.RecordBatch:
@@ -281,11 +313,12 @@ def families(whole: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now, node = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([first, batch.column(2).to_numpy()])
+            now, rank, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip((key, above, first), batch.columns, strict=True))
             begins = np.concatenate([[True], now[1:] != now[:-1]])
-            lead = node[np.flatnonzero(begins)][np.cumsum(begins) - 1]
-            key, first = now[-1:], lead[-1:]
-            use = node != lead
+            at = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            lead, lowest = node[at], rank[at]
+            key, first, above = now[-1:], lead[-1:], lowest[-1:]
+            use = (node != lead) & (lowest < 1000)  # else the band is none's own
             parts.append(np.stack([lead[use], node[use]], axis=1))
             size += len(parts[-1])
             if size > most:
@@ -293,7 +326,7 @@ def families(whole: DataFrame) -> DataFrame:
                 parts, size = [], 0
         yield out()
 
-    signed = whole.select("node", "lacks", "elements").mapInArrow(rows, "sig long, lacks long, node long").repartition(n_shuffle(spark), "sig").sortWithinPartitions("sig", "lacks", F.xxhash64("node"), "node")
+    signed = whole.select("node", "lacks", "elements").mapInArrow(rows, "sig long, rank long, node long").repartition(n_shuffle(spark), "sig").sortWithinPartitions("sig", "rank", F.xxhash64("node"), "node")
     small_batches(spark, 50_000)
     found = materialize(signed.mapInArrow(gather, "first long, node long").distinct(), "families")
     small_batches(spark)
@@ -343,8 +376,8 @@ def forest(side: np.ndarray, sets_: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def links(family: DataFrame, whole: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a, b: links that connect the same nodes as all links do. sizes: node, n."""
+def links(family: DataFrame, whole: DataFrame) -> DataFrame:
+    """a, b: links that connect the same nodes as all links do."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
@@ -364,7 +397,7 @@ def links(family: DataFrame, whole: DataFrame, sizes: DataFrame) -> DataFrame:
         yield out()
 
     spark = family.sparkSession
-    family = family.join(sizes, "node")
+    family = family.join(whole.select("node", "n"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("long")
     dealt = family.join(family.groupBy("first").agg(blocks.alias("blocks")), "first")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -399,8 +432,8 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = found.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("doc_id").alias("doc"))
     nodes = materialize(nodes, "nodes")
     alive = survivors(docs, nodes)
-    whole = full_sets(docs, alive)
-    labels = components(links(families(whole), whole, alive.select("node", "n")))
+    whole = sharing_most(full_sets(docs, alive), alive.select("node", "n"))
+    labels = components(links(families(whole), whole))
     named = labels.join(nodes.select("node", "doc"), "node")
     lowest = named.groupBy("label").agg(F.min("doc").alias("component"))
     to = named.join(lowest, "label").select("node", "component")

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker remembers; beyond it, those of the last round are kept once more. Longer pieces are not remembered.
-MOST_PIECES = 700_000
+MOST_PIECES = 300_000
 LONGEST_PIECE = 48
 #: The sign that stands for a space.
 SPACE = chr(256 + 32)

@@ -8,10 +8,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from faultline.llm import jaccard_join, media_chunks, mixing, packing, personal_data, preference_format, quality_rules, recurrent_lm, toxicity, wavelet
+from faultline.llm import jaccard_join, media_chunks, mixing, packing, personal_data, preference_format, quality_rules, recurrent_lm, tokens, toxicity, wavelet
 from faultline.llm.tokens import encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, node long, label string"  # node and label clash with inner names
@@ -19,7 +21,7 @@ LONG = " ".join(f"word{i % 977} and,{i % 13}." for i in range(6000))
 CASES = [
     (1, None, None, None, None, 7, "x"), (2, "", "en", "a", 0, 7, "x"), (None, "a null id", "en", "a", 9, None, None), (3, "one two", "en", "b", 7, 1, None), (3, "one two", "en", "b", 7, 1, None),
     (4, LONG, "en", "a", len(LONG), 2, "y"), (5, LONG, "en", None, len(LONG), 2, "y"), (6, "é, 日本 a b  c\n\n\td \x1c e", "en", "b", 3, 0, ""), (7, "mail me: a.b@c.de or b@c.d.e.f", "en", "c", 0, 0, ""),
-    (8, " ".join(["copy"] * 300), "en", "c", 0, 0, ""),
+    (8, " ".join(["copy"] * 300), "en", "c", 0, 0, ""), (9, "an end <|endoftext|> sign", "en", "c", 0, 0, ""),
 ]
 TEXTS = [t or "" for _, t, *_ in CASES]
 
@@ -39,6 +41,9 @@ def small(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+
+
 def key(x):
     return tuple((v is None, v) for v in x)
 
@@ -46,6 +51,17 @@ def key(x):
 # --- 1
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    rows = [(7, f"word{i % 5} text") for i in range(60)] + [(i, f"fine text {i}") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    graded = spark.createDataFrame([(7, 1), *[(i, 0) for i in range(100, 160)]], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(toxicity, "optimise", lambda starts, words, y, n, k: (seen.append(len(y)), (np.zeros(n), np.arange(k - 1.0)))[1])
+    toxicity.fit(docs, graded, sample_rows=40, n_grades=2)
+    toxicity.fit(docs, graded, sample_rows=1000, n_grades=2)
+    assert seen == [40, 65]  # equal rows count once
+
+
 def test_toxicity_learns_ordered_grades(spark):
     rng = np.random.default_rng(0)
     rows, labels = [], []
@@ -125,7 +141,7 @@ def brute_components(rows):
 
 
 def test_jaccard_cases(spark, docs, none):
-    got = sorted((tuple(r) for r in jaccard_join.join(docs).drop("node").collect()), key=key)
+    got = sorted((tuple(r) for r in jaccard_join.join(docs).drop("node", "th").collect()), key=key)
     assert got == brute_components([(d, t) for d, t, *_ in CASES])
     assert jaccard_join.join(none).count() == 0
 
@@ -143,18 +159,13 @@ def test_jaccard_families_match_brute_force(spark):
             if rng.random() < 0.3:
                 base = now
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in jaccard_join.join(docs).drop("node").collect())
+    got = sorted(tuple(r) for r in jaccard_join.join(docs).drop("node", "th").collect())
     assert got == brute_components(rows)
-    small, jaccard_join.SMALL = jaccard_join.SMALL, 3  # the way of large groups
-    try:
-        assert sorted(tuple(r) for r in jaccard_join.join(docs).drop("node").collect()) == got
-    finally:
-        jaccard_join.SMALL = small
     kept = {r.doc_id for r in jaccard_join.keep_one(docs).collect()}
     assert kept == {c for _, _, c in got}
 
 
-def test_jaccard_hot_signature_is_one_group(spark, monkeypatch):
+def test_jaccard_hot_signature_and_blocks(spark, monkeypatch):
     rng, rows = np.random.default_rng(4), []
     shared = [f"s{k}" for k in range(9)]  # one passage in all texts, and pairs of near copies around it
     for i in range(24):
@@ -162,12 +173,43 @@ def test_jaccard_hot_signature_is_one_group(spark, monkeypatch):
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, f"x{i}"]))]
     docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
     monkeypatch.setattr(jaccard_join, "HELD", 3)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
-    monkeypatch.setattr(jaccard_join, "SMALL", 3)
     monkeypatch.setattr(jaccard_join, "small_batches", lambda spark, rows=0: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4))
     # one signature alone, so that no other one brings a pair together
-    monkeypatch.setattr(jaccard_join, "sign", lambda e: np.array([7], np.uint64))
-    assert sorted(tuple(r) for r in jaccard_join.join(docs).drop("node").collect()) == brute_components(rows)
+    monkeypatch.setattr(jaccard_join, "sign", lambda e: (np.array([7], np.uint64), np.array([False])))
+    for block, size in ((5, 1 << 25), (4096, 300), (4096, 1 << 25)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
+        assert sorted(tuple(r) for r in jaccard_join.join(docs).drop("node", "th").collect()) == brute_components(rows)
+
+
+def test_jaccard_keep_one_goes_by_rows(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "z"), (7, b, "y"), (None, b, "y"), (None, None, "n"), (None, "", "n"), (2, None, "n"), (2, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d string")
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect())
+    assert got == Counter({(1, a): 1, (5, b): 1, (None, None): 1, (None, ""): 1, (2, None): 1})
+    assert jaccard_join.keep_one(docs).columns == docs.columns
+
+
+def test_jaccard_forest_joins_all_components():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 80, dtype=np.uint64))
+    sets = []
+    for _ in range(60):
+        out = int(rng.integers(0, 16))
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[out:], rng.integers(0, 2**63, out, dtype=np.uint64)])))
+    for side in (np.array([0] + [3] * 59), np.array([0] + [1] * 30 + [2] * 29)):
+        label = list(range(60))
+        for i in range(60):
+            for j in range(i):
+                if (side[i] != side[j] or side[i] == 3) and jaccard_join.similar(sets[i], sets[j]):
+                    label = [label[i] if x == label[j] else x for x in label]
+        found = list(range(60))
+        edges = jaccard_join.forest(side, sets)
+        for i, j in edges:
+            assert jaccard_join.similar(sets[i], sets[j])
+            found = [found[i] if x == found[j] else x for x in found]
+        assert len(edges) == 60 - len(set(label)) and {(label[i] == label[j]) == (found[i] == found[j]) for i in range(60) for j in range(60)} == {True}
 
 
 def test_partenum_signs_every_similar_pair():
@@ -179,30 +221,40 @@ def test_partenum_signs_every_similar_pair():
             b = np.unique(np.concatenate([rng.permutation(a)[out:], rng.integers(0, 2**63, out, dtype=np.uint64)]))
             inter = len(np.intersect1d(a, b))
             if 100 * inter >= 75 * (len(a) + len(b) - inter):
-                assert np.intersect1d(jaccard_join.sign(a), jaccard_join.sign(b)).size
-                d, most = jaccard_join.sketch_distance(jaccard_join.sketch(a), jaccard_join.sketch(b))
-                assert d <= most
+                (x, ahead_x), (y, ahead_y) = jaccard_join.sign(a), jaccard_join.sign(b)
+                _, i, j = np.intersect1d(x, y, return_indices=True)
+                assert (~(ahead_x[i] & ahead_y[j])).any()  # in a band that is one's own
+                bits = jaccard_join.parities([a, b])
+                assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= (len(a) + len(b)) // 7
 
 
 # --- 4
 
 
+def library_ids(text):
+    """By a tokenizer of its own, as the library reads the file."""
+    return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids, "<u4")
+
+
 def check_packed(rows, docs, capacity=1024):
-    model = encoder()
-    want = Counter()
+    want = {}
     for d, t in docs:
-        ids = model.encode(t or "") + (0).to_bytes(4, "little")
-        want[d, zlib.crc32(ids), len(ids) // 4] += 1
+        ids = np.append(library_ids(t), 0).astype("<u4")
+        want.setdefault((d, len(ids)), []).append(ids)
+    covered = {k: np.zeros(k[1], int) for k in want}
     by_seq = {}
     for r in rows:
         by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert any(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for ids in want[r.doc_id, r.doc_tokens])
+        covered[r.doc_id, r.doc_tokens][r.start : r.start + r.length] += 1
+    for k, times in covered.items():
+        assert (times == len(want[k])).all()  # each id in exactly one piece
     for pieces in by_seq.values():
         at = 0
         for offset, length in sorted(pieces):
             assert offset == at and length > 0
             at += length
         assert at <= capacity
-    assert sum(r.length for r in rows) == sum(n * c for (_, _, n), c in want.items())
     return len(by_seq) * capacity
 
 
@@ -210,14 +262,6 @@ def check_packed(rows, docs, capacity=1024):
 def test_packing_cases(docs, none, windows):
     rows = packing.pack(docs.repartition(3), open_windows=windows).collect()
     check_packed(rows, [(d, t) for d, t, *_ in CASES])
-    for d in (4, 6, 8):
-        own = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == d)
-        ids = encoder().encode(dict((x[0], x[1]) for x in CASES)[d]) + bytes(4)
-        at = 0
-        for start, length, crc in own:
-            assert start == at and crc == zlib.crc32(ids[4 * start : 4 * (start + length)])
-            at += length
-        assert 4 * at == len(ids)
     assert packing.pack(none).count() == 0
 
 
@@ -264,6 +308,23 @@ def test_personal_data_contexts_discover(spark):
     assert clean[50] == "please call now <PHONE> or leave" and clean[51] == rows[21][1] and clean[52] is None and len(clean) == len(rows)
 
 
+def test_personal_data_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de now", 17, "x", 5), (1, "mail a.b@c.de now", 17, "x", 5), (None, None, None, "y", 6), (2, "", 0, None, 7)], "doc_id long, text string, n_chars int, spans string, _d int")
+    got = Counter(tuple(r) for r in personal_data.redact(docs).collect())
+    assert got == Counter({(1, "mail <EMAIL> now", 16, "x", 5): 2, (None, None, None, "y", 6): 1, (2, "", 0, None, 7): 1})
+    assert personal_data.redact(docs.where("false")).collect() == []
+
+
+def test_personal_data_many_mentions_in_one_text(spark):
+    words = [f"id{i:05d}" if i % 3 else f"u{i}@mail.example" for i in range(3000)]
+    text = "  ".join(words)
+    row = personal_data.mentions(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = [m.start() for m in re.finditer(r"\S+", text)]
+    assert [(s.start, s.stop, s.form) for s in row.base] == [(at[i], at[i] + len(w), w) for i, w in enumerate(words) if not i % 3]
+    assert [(s.start, s.form) for s in row.other] == [(at[i], w) for i, w in enumerate(words) if i % 3]
+    assert [s.context.split() for s in row.other if s.start > at[2]] == [words[i - 2 : i] for i in range(3, 3000) if i % 3]
+
+
 def test_personal_data_spaced_far_and_chained(spark):
     far = "x" * 90
     rows = [(i, f"please call me +1 (202) 555-{1000 + i} or leave") for i in range(20)] + [(100 + i, f"ring {far} +1 (202) 555-{2000 + i}") for i in range(20)]
@@ -278,27 +339,111 @@ def test_personal_data_spaced_far_and_chained(spark):
     assert (2200, "hop two <PHONE> so") in found
 
 
+def valid_card(n):
+    return next(f"{x[:4]} {x[4:8]} {x[8:12]} {x[12:]}" for k in range(10) if luhn(x := f"{n}{n}{n}"[:15] + str(k)))
+
+
+def brute_graph(found, support=3, confidence=0.8):
+    """The spans that contexts and instances add, from the mentions of all documents, by plain loops."""
+
+    def fit(kind, form):
+        d = re.sub("[^0-9]", "", form)
+        if " " in form:
+            m = re.match(personal_data.FITS[kind], form, re.ASCII) if kind in personal_data.FITS else None
+            return m[0] if m else ""
+        sign = r"""[!-/:-@\[-`{-~]?$"""
+        ok = {0: "@" in form, 1: bool(re.match(r"[0-9]+([.:][0-9]+){3}", form)) and len(d) <= 12, 2: len(d) >= 12 and bool(re.match(r"[0-9-]+" + sign, form)), 3: 6 <= len(d) <= 15 and bool(re.match(r"[+(]?[0-9][0-9().-]*" + sign, form))}
+        return form if ok[kind] else ""
+
+    edges = {}
+    for _, base, other in found:
+        for s in [*base, *other]:
+            if s.context:
+                key = s.context, s.form.lower()
+                edges[key] = max(edges.get(key, -9), s.kind)
+    seeds = {(f, k): 1.0 for (_, f), k in edges.items() if k >= 0}
+    counted = [(c, f) for (c, f), k in edges.items() if k >= -1]
+    known, best = dict(seeds), {}
+    for _ in range(50):
+        before, best = best, {}
+        for c in {c for c, _ in counted}:
+            forms = [f for x, f in counted if x == c]
+            for k in range(4):
+                scores = [known[f, k] for f in forms if (f, k) in known]
+                if len(scores) >= support and sum(scores) / len(forms) >= 0.5:
+                    for (x, f), kind in edges.items():
+                        if x == c and kind < 0 and fit(k, f):
+                            best[f, k] = max(best.get((f, k), 0), sum(scores) / len(forms))
+        known = seeds | best
+        if not best or set(best) == set(before):
+            break
+    out = Counter()
+    for (f, k), score in best.items():
+        if score >= confidence and (score, -k) == max((s, -j) for (g, j), s in best.items() if g == f):
+            for doc, _, other in found:
+                for s in other:
+                    if s.form.lower() == f:
+                        out[doc, k, s.start, s.start + len(fit(k, s.form))] += 1
+    return set(out)
+
+
+def test_personal_data_graph_matches_brute_force(spark):
+    rng, rows = np.random.default_rng(8), []
+    places = ["call me at", "my card is", "reach us via", "order number", "the year", "server host"]
+
+    def thing(kind):
+        n = rng.integers(10**6, 10**7)
+        return {0: f"u{n}@x.example", 1: f"10.{n % 200}.{n % 90}.{n % 70}", 2: valid_card(n), 3: f"+1 202 {n}", 4: f"{n}", 5: f"{n // 1000}-{n % 1000:03d}-{n % 10000:04d}", 6: f"{n}{n}"[:13], 7: f"joe{n}@host"}[kind]
+
+    main, odd = [3, 2, 0, 4, 4, 1], [[4, 5], [6, 5], [7, 7], [3, 5], [7, 6], [1, 4]]
+    pool = [thing(k) for k in range(8) for _ in range(12)]
+    for i in range(220):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            p = int(rng.integers(0, 6))
+            x = rng.random()
+            parts.append(f"{places[p]} {thing(main[p]) if x < 0.85 else thing(odd[p][int(x * 100) % 2]) if x < 0.98 else pool[int(rng.integers(0, len(pool)))]} ok")
+        rows.append((i, "so ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.base, r.other) for r in personal_data.mentions(docs).collect()]
+    got = set()
+    for r in personal_data.discover(personal_data.materialize(personal_data.mentions(docs), "mentions")).collect():
+        got |= {(r.doc_id, s.kind, s.start, s.stop) for s in r.more}
+    want = brute_graph(found)
+    inner = {a for a in want for b in want if a[0] == b[0] and b[2] <= a[2] and a[3] <= b[3] and b[3] - b[2] > a[3] - a[2]}
+    assert got == want - inner and len(got) > 5
+
+
 # --- 6
 
 
-def test_wavelet_queries():
+@pytest.mark.parametrize("n", [1, 5000, 200_000])  # the last in several parts of a plane
+def test_wavelet_queries(n):
     rng = np.random.default_rng(1)
-    ids = rng.integers(0, 3000, 5000).astype(np.uint32)
-    w = wavelet.Wavelet(wavelet.build(ids, np.array([2000, 3000])))
-    assert (w.decode() == ids).all()
-    for i in (0, 1, 511, 512, 513, 4095, 4999):
-        assert w.access(i) == ids[i]
-    for token in (int(ids[0]), int(ids[77]), 2999, 5000):
+    ids = rng.integers(0, max(3000, n // 4), n).astype(np.uint32)
+    w = wavelet.Wavelet(wavelet.build(ids, np.array([n // 3, n - n // 3])))
+    assert (w.decode() == ids).all() and w.ends.tolist() == [n // 3, n]
+    for i in {0, 1, 511, 512, 513, 4095, 4096, 65535, 65536, n - 2, n - 1}:
+        if 0 <= i < n:
+            assert w.access(i) == ids[i]
+    a, b = n // 50, n - n // 5
+    for token in (int(ids[0]), int(ids[n // 2]), 2999, 1 << 20):
         places = np.flatnonzero(ids == token)
-        assert w.count(token) == len(places) and w.count(token, 100, 4000) == ((places >= 100) & (places < 4000)).sum()
+        assert w.count(token) == len(places) and w.count(token, a, b) == ((places >= a) & (places < b)).sum()
         assert [w.find(token, k) for k in range(len(places))] == places.tolist() and w.find(token, len(places)) == -1
 
 
+def test_wavelet_reads_parts_only():
+    ids = np.random.default_rng(2).integers(0, 50_000, 1 << 18).astype(np.uint32)
+    w = wavelet.Wavelet(wavelet.build(ids, np.array([len(ids)])))
+    assert w.access(100_000) == ids[100_000] and len(w._kept) <= 2 * w.bits < sum(len(p) - 1 for p in w.places)
+
+
 def test_wavelet_cases(docs, none):
     rows = wavelet.read_documents(wavelet.write_shards(docs, shard_tokens=50)).collect()
-    model, at, want = encoder(), 0, []
+    at, want = 0, []
     for d, t, *_ in sorted(CASES, key=lambda r: key((r[0] if r[0] is not None else -1, r[1] or ""))):
-        ids = model.encode(t or "") + (2).to_bytes(4, "little")
+        ids = library_ids(t).tobytes() + (2).to_bytes(4, "little")
         want.append((d, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert sorted(tuple(r) for r in rows if r.doc_id is not None) == sorted(x for x in want if x[0] is not None)
@@ -308,9 +453,17 @@ def test_wavelet_cases(docs, none):
 
 def test_tokens_are_the_librarys(small):
     model = encoder()
-    texts = [r.text for r in small.collect()] + TEXTS + ["a  b", " x ", "\n a\xa0 b", "it's 'll <|endoftext|> a,. b,", "́a b́", "", " "]
-    for t, e in zip(texts, model.whole.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(model.encode(t), "<u4").tolist() == e.ids
+    texts = [r.text for r in small.collect()] + TEXTS + ["a  b", " x ", "\n a\xa0 b", "it's 'll <|endoftext|> a,. b,", "a<|endoftext|>b", "<|endoftext|>", "́a b́", "", " ", "le. le, Le.\nAn le.\nAn,. é.\nÉ x" * 3]
+    for _ in range(2):  # the second time from what it remembers
+        for t in texts:
+            assert (np.frombuffer(model.encode(t), "<u4") == library_ids(t)).all()
+    model.known, model.older, most = {}, {}, tokens.MOST_PIECES
+    try:
+        tokens.MOST_PIECES = 20  # forgets all the time
+        for t in texts:
+            assert (np.frombuffer(model.encode(t), "<u4") == library_ids(t)).all()
+    finally:
+        tokens.MOST_PIECES = most
 
 
 # --- 7
@@ -386,6 +539,26 @@ def test_mixing_cases(spark, docs, none):
     assert [(r.size, r.taken, r.target) for r in mixing.mix(blank).collect()] == [(0, 0, 0.0)] * 2
 
 
+def test_mixing_writes_and_copies_row_by_row(spark, tmp_path):
+    rows = [(i, f"w{i} " * (3 + i % 5), "ab"[i % 2], 0, "x") for i in range(40)]
+    rows += [(7, rows[7][1], "b", 1, "again"), (7, rows[7][1], "b", 2, "again"), (7, "another text of the id", "b", 3, "y"), (7, rows[7][1], "a", 4, "other source")]
+    rows += [(None, "no id here", None, 5, "n")] * 3 + [(None, "no id there", "a", 6, "n"), (99, None, "a", 7, "null"), (98, "", "b", 8, "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _times int, shard string")
+    mixed = mixing.materialize(mixing.mix(docs.select("doc_id", "text", "source"), shards=4, blocks=8), "mixed")
+    mine, theirs = mixing.with_rows(docs, mixed.select("doc_id", "source", "th", "taken")).collect(), mixed.collect()
+    assert Counter((r.doc_id, r.source, r.taken) for r in mine) == Counter((r.doc_id, r.source, r.taken) for r in theirs) and len(mine) == len(rows)
+    assert Counter((r.doc_id, r.text, r.source, r._times, r.shard) for r in mine) == Counter(rows)
+    times = Counter((r.doc_id, r.source) for r in mixing.copies_of(docs, mixed).collect())
+    want = Counter()
+    for r in theirs:
+        want[r.doc_id, r.source] += int(r.taken / r.size + 0.5) if r.size else 0
+    assert times == +want
+    mixing.write_shards(docs, mixed, str(tmp_path / "s"), 4)
+    back = spark.read.schema("doc_id long, text string, source string, _times int, shard string, _shard int").parquet(str(tmp_path / "s")).collect()
+    assert Counter((r._shard, r.doc_id, r.source) for r in back) == Counter((k, r.doc_id, r.source) for r in theirs for k in r.shards)
+    assert {(r.doc_id, r.text, r.source, r._times, r.shard) for r in back} <= set(rows) and len(back) == sum(len(r.shards) for r in theirs)
+
+
 # --- 9
 
 
@@ -403,15 +576,27 @@ def test_language_model(spark, small):
         assert (r.held_out, r.n_tokens, r.train_tokens, r.n_known) == (d in held, len(t), n, sum(c[w] > 0 for w in t))
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
     assert sum(rows[d].score for d in held) > sum(rows[d].base_score for d in held)
+    net, read = recurrent_lm.Network(lex, weights=weights), recurrent_lm.Reader(lex)
+    for d in sorted(texts)[:60]:  # frequent, listed and unlisted words
+        symbols = read(texts[d])[2]
+        want = float(recurrent_lm.run(net, [symbols])[0]) / math.log(10)
+        want += sum(math.log10((c[w] + 0.1) / lex.mass[recurrent_lm.spelling(w)]) for w, i in zip(texts[d], symbols, strict=True) if i >= lex.frequent)
+        assert math.isclose(rows[d].score, want, rel_tol=1e-4)
 
 
 def test_language_model_is_a_distribution(spark, small):
-    lex = recurrent_lm.lexicon(recurrent_lm.count_words(small), listed=500, frequent=50, n_classes=5)
-    net = recurrent_lm.Network(lex)
-    s = np.random.default_rng(0).normal(0, 0.5, (51, net.hidden)).astype(np.float32)
-    s[:] = s[0]
-    logp, _ = net.outputs(s, np.arange(51))
-    assert math.isclose(float(np.exp(logp).sum()), 1, rel_tol=1e-4)
+    counted = recurrent_lm.count_words(small)
+    lex = recurrent_lm.lexicon(counted, listed=500, frequent=50, n_classes=5)
+    net, n = recurrent_lm.Network(lex), 50 + recurrent_lm.N_SPELLINGS
+    s = np.random.default_rng(0).normal(0, 0.5, (net.hidden + 1, n)).astype(np.float32)
+    s[:], s[-1] = s[:, :1], 1
+    p = np.exp(net.outputs(s, np.arange(n))[0])
+    assert math.isclose(float(p.sum()), 1, rel_tol=1e-4)
+    total = float(p[:50].sum())  # each word in its symbol, and an unseen one in each spelling
+    for r in counted.collect():
+        if lex.places.get(r.h, 50) >= 50:
+            total += float(p[50 + r.s]) * (r.c + 0.1) / lex.mass[r.s]
+    assert math.isclose(total + float((p[50:] * 0.1 / lex.mass).sum()), 1, rel_tol=1e-4)
 
 
 def test_language_model_gradient(spark, small):
@@ -419,15 +604,16 @@ def test_language_model_gradient(spark, small):
     rng = np.random.default_rng(2)
     net = recurrent_lm.Network(lex, hidden=4)
     net.all[:] = rng.normal(0, 0.3, net.all.shape)
-    inputs, target, fresh = rng.integers(0, 14, (5, 3)), rng.integers(0, 13, 15), rng.random((5, 3)) < 0.2
+    k = len(lex.classes)
+    inputs, target, fresh = rng.integers(0, k + 1, (5, 3)), rng.integers(0, k, 15), rng.random((5, 3)) < 0.2
 
     def loss() -> float:
-        states, _ = net.forward(inputs, fresh, np.zeros((3, 4), np.float32))
-        return -float(net.outputs(states.reshape(-1, 4), target)[0].astype(np.float64).mean())
+        states, _ = net.forward(inputs, fresh, np.zeros((4, 3), np.float32))
+        return -float(net.outputs(states.reshape(5, -1), target)[0].astype(np.float64).mean())
 
-    states, kept = net.forward(inputs, fresh, np.zeros((3, 4), np.float32))
-    _, ds = net.outputs(states.reshape(-1, 4), target, learn=True)
-    net.backward(inputs, fresh, kept, ds.reshape(5, 3, 4))
+    states, kept = net.forward(inputs, fresh, np.zeros((4, 3), np.float32))
+    _, ds = net.outputs(states.reshape(5, -1), target, learn=True)
+    net.backward(inputs, fresh, kept, ds.reshape(4, 5, 3))
     got = net.grad.copy()
     for k in rng.permutation(len(net.all))[:60]:
         was = net.all[k]
@@ -505,10 +691,37 @@ def test_pipeline(spark, sf):
             assert {r.doc_id for r in docs.collect()} == {c for _, _, c in brute_components(rows)}
         if name == "personal data":
             assert not any(brute_spans(r.text) for r in docs.collect()) and docs.count() == before.count()
+        if name == "mixing":
+            mixed = {(r.doc_id, r.source): r for r in mixing.mix(before).collect()}
+            times = Counter((r.doc_id, r.source) for r in docs.collect())
+            assert all(times[k] == int(r.taken / r.size + 0.5) for k, r in mixed.items() if r.size) and set(times) <= set(mixed)
         docs = spark.createDataFrame(docs.collect(), docs.schema)
+    check_packed(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()])
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_pipeline_cases(spark, docs, none, sf, tmp_path):
+    """Null and empty texts, equal rows, a null id, extra columns with clashing names; and tables without rows."""
+    import corpus_pipeline
+
+    for name, rows in (("cases", docs.unionByName(docs.where("doc_id = 4"))), ("none", none)):
+        at = tmp_path / name
+        rows.write.parquet(str(at / "documents.parquet"))
+        spark.read.parquet(f"{sf}/labels.parquet").where("false").write.parquet(str(at / "labels.parquet"))
+        now = spark.read.parquet(str(at / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES:
+            out = str(at / stage.replace(" ", "-"))
+            f(spark, now, str(at)).write.parquet(out)
+            now = spark.read.parquet(out)
+            if stage != "packing":
+                assert now.columns == docs.columns
+            if stage == "near duplicates" and name == "cases":
+                got = Counter((r.doc_id, r.text) for r in now.collect())
+                kept = {c for _, _, c in brute_components([(d, t) for d, t, *_ in CASES])}
+                assert set(got.values()) == {1} and {d for d, _ in got} == kept and 5 not in kept
+        assert (now.count() > 0) == (name == "cases")
+
+
 def test_preference_oracle(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
