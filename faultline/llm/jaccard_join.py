@@ -146,7 +146,8 @@ def sets(docs: DataFrame) -> DataFrame:
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Over rows (key, node, count) sorted by them: node, count, same key as the row before, same key as the row after.
 
-    Of rows with equal key and node the first comes. A batch's last row waits for the next batch.
+    Of elements (count 0 or -1) with equal key and node the first comes; counted elements all come, since equal sets may
+    have been counted in several batches beside different neighbours. A batch's last row waits for the next batch.
     """
     held, before = [np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
     for batch in batches:
@@ -154,7 +155,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
         if not len(key):
             continue
         same = np.concatenate([before if len(before) else [False], key[1:] == key[:-1]])
-        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (count[1:] > 0)])
         key, node, count, same = key[keep], node[keep], count[keep], same[keep]
         if len(key) > 1:
             yield node[:-1], count[:-1], same[:-1], key[1:] == key[:-1]
@@ -167,6 +168,8 @@ def once_each(own: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows e, node, c of the elements of a batch's nodes, each element once.
 
     c: 0 for an element that the batch has once, -1 for one that it has counted, else the node's counted elements.
+    An element that is counted for a node here and comes once, or counted, for the same node elsewhere is never counted
+    less than once: the row of c = -1 stands beside a count that holds the element, and counts of batches add up.
     """
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:

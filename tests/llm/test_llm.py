@@ -182,6 +182,57 @@ def test_jaccard_hot_signature_and_blocks(spark, monkeypatch):
         assert sorted(tuple(r) for r in jaccard_join.join(docs).drop("node", "th").collect()) == brute_components(rows)
 
 
+def test_jaccard_copies_in_two_tasks_with_other_neighbours(spark):
+    rows, rng = [], np.random.default_rng(8)
+    for i in range(300):
+        n = [f"g{i}w{k}" for k in range(30)]
+        m = list(n)
+        m[int(rng.integers(0, 30))] = "x"  # a near copy
+        at = int(rng.integers(0, 12))
+        p = [*[f"q{i}w{k}" for k in range(20)], *n[at : at + 14], *[f"r{i}w{k}" for k in range(20)]]
+        rows += [(0, 4 * i, " ".join(n)), (0, 4 * i + 1, " ".join(m)), (1, 4 * i + 2, " ".join(n)), (1, 4 * i + 3, " ".join(p))]
+    texts = spark.createDataFrame(rows, "part int, doc_id long, text string")
+    docs = texts.repartitionByRange(2, "part").select("doc_id", "text")
+    assert docs.groupBy(F.spark_partition_id()).count().count() == 2
+    assert sorted(tuple(r) for r in jaccard_join.join(docs).drop("node", "th").collect()) == brute_components([r[1:] for r in rows])
+
+
+def indexed_components(rows):
+    """As brute_components, over pairs that share a shingle."""
+    sets = {d: shingles(t) for d, t in rows}
+    up, at = {d: d for d in sets}, {}
+
+    def find(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    same = {}
+    for d in sorted(sets):
+        same.setdefault(frozenset(sets[d]), []).append(d)
+    for e, ids in same.items():
+        for d in ids[1:] if e else []:
+            up[find(d)] = find(ids[0])
+        for x in e:
+            at.setdefault(x, []).append(ids[0])
+    for e, (d, *_) in same.items():
+        for other, n in Counter(y for x in e for y in at[x] if y < d).items():
+            if 100 * n >= 75 * (len(e) + len(sets[other]) - n):
+                up[find(d)] = find(other)
+    lowest = {}
+    for d in sorted(sets):
+        lowest.setdefault(find(d), d)
+    return {d: (len(sets[d]), lowest[find(d)]) for d in sets}
+
+
+def test_jaccard_is_the_same_however_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    expected = indexed_components([tuple(r) for r in docs.collect()])
+    for n in (1, 4, 16):
+        dealt = docs.coalesce(1) if n == 1 else docs.repartition(n, "doc_id")
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(dealt).collect()} == expected
+
+
 def test_jaccard_keep_one_goes_by_rows(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "z"), (7, b, "y"), (None, b, "y"), (None, None, "n"), (None, "", "n"), (2, None, "n"), (2, None, "n")]
