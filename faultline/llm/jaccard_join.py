@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import materialize, n_shuffle, only, raw_texts, sliced, small_batches, unused
+from faultline.llm.shared import BLOOM, materialize, n_shuffle, only, raw_texts, settings, sliced, small_batches, unused
 
 SHINGLE = 5
 #: Members and bytes of a block of a family.
@@ -143,33 +143,36 @@ def sets(docs: DataFrame) -> DataFrame:
     return materialize(texts.mapInArrow(rows, "doc_id long, th long, n long, m long, node long"), "sets")
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Over rows (key, node, count) sorted by them: node, count, same key as the row before, same key as the row after.
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Over rows (key, node, count) sorted by them: node, count, and whether another one has the key.
 
-    Of elements (count 0 or -1) with equal key and node the first comes; counted elements all come, since equal sets may
-    have been counted in several batches beside different neighbours. A batch's last row waits for the next batch.
+    Of elements (count 0 or -1) with equal key and node one row comes; if both counts stand there, it comes with 0 and that
+    is another one, too. All rows of counted elements come. A batch's last row waits for the next batch.
     """
-    held, before = [np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+    held, before, mixed = [np.zeros(0, np.int64)] * 3, np.zeros(0, bool), np.zeros(0, bool)
     for batch in batches:
         key, node, count = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
         if not len(key):
             continue
         same = np.concatenate([before if len(before) else [False], key[1:] == key[:-1]])
         keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (count[1:] > 0)])
+        at = np.flatnonzero(keep)
+        highest = np.maximum.reduceat(count, at)
+        both = (count[at] == -1) & (highest == 0)
+        if len(mixed):
+            both[0] |= mixed[0]
         key, node, count, same = key[keep], node[keep], count[keep], same[keep]
         if len(key) > 1:
-            yield node[:-1], count[:-1], same[:-1], key[1:] == key[:-1]
-        held, before = [key[-1:], node[-1:], count[-1:]], same[-1:]
+            yield node[:-1], np.where(both, 0, count)[:-1], same[:-1] | (key[1:] == key[:-1]) | both[:-1]
+        held, before, mixed = [key[-1:], node[-1:], count[-1:]], same[-1:], both[-1:]
     if len(held[0]):
-        yield held[1], held[2], before, np.array([False])
+        yield held[1], np.where(mixed, 0, held[2]), before | mixed
 
 
 def once_each(own: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows e, node, c of the elements of a batch's nodes, each element once.
 
     c: 0 for an element that the batch has once, -1 for one that it has counted, else the node's counted elements.
-    An element that is counted for a node here and comes once, or counted, for the same node elsewhere is never counted
-    less than once: the row of c = -1 stands beside a count that holds the element, and counts of batches add up.
     """
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -188,16 +191,23 @@ def once_each(own: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_counts(rows: DataFrame) -> DataFrame:
-    """node, shared: of rows as once_each gives, the number of a node's elements that another node has too (or more)."""
+    """node, shared: of rows as once_each gives, the number of a node's elements that another node has too (or more).
+
+    Equal sets may stand in several batches beside different neighbours. Take any batch of a node: its count has the
+    elements that another node has there; each other element leaves it as a row of its own and is counted below if
+    another node has it elsewhere, since that one's row, or the row of a batch that has counted it, has the same key. So
+    the highest count of a node's batches and the counted rows are together never too few. An element may be counted in
+    both, so they are at most twice the right number.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, count, before, after in runs(batches):
-            use = ((before | after) & (count == 0)) | (count > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(np.maximum(count[use], 1))], ["node", "n"])
+        for node, count, other in runs(batches):
+            use = (other & (count == 0)) | (count > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(count[use]), pa.array((count[use] == 0).astype(np.int64))], ["node", "most", "n"])
 
     dealt = rows.repartition(n_shuffle(rows.sparkSession), "e").sortWithinPartitions("e", "node", "c")
     small_batches(rows.sparkSession, 50_000)  # rows of three numbers
-    return dealt.mapInArrow(shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("shared"))
+    return dealt.mapInArrow(shared, "node long, most long, n long").groupBy("node").agg((F.max("most") + F.sum("n")).alias("shared"))
 
 
 def survivors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -267,10 +277,12 @@ def full_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
             found = list(all_elements(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(e) for e in found], pa.int64()), pa.array([e.tobytes() for e in found], pa.binary())], ["node", "elements"])
 
-    ids = alive.select(F.col("doc").alias("d")).distinct()
-    texts = only(docs, "doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("text")
+    ids = alive.where("n > 0").select(F.col("doc").alias("doc_id"))
+    texts = only(docs, "doc_id", "text")
+    texts = texts.join(ids, "doc_id", "left_semi").select("text").unionByName(texts.where("doc_id is null").select("text"))
     found = texts.mapInArrow(rows, "node long, elements binary").join(alive.select("node"), "node", "left_semi")
-    return materialize(found.dropDuplicates(["node"]), "elements")
+    with settings(docs.sparkSession, BLOOM):  # most texts are not of a surviving node, and need not be shuffled
+        return materialize(found.dropDuplicates(["node"]), "elements")
 
 
 def sharing_most(whole: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept well below Spark's default of 10,000 rows.
@@ -36,15 +37,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    with settings(spark, {DROP_SHUFFLES: "true"}):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark builds a Bloom filter (1 MB for each million of keys, 8 MB at most) of a join's smaller side and drops rows of the
+#: larger one before they are shuffled. By default it does so only for scans of 10 GB and keys of 10 MB.
+BLOOM = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in {"applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g", "expectedNumItems": "4000000", "numBits": "33554432"}.items()}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as a table is written."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
@@ -81,3 +96,44 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             x = "_" + x
         out.append(x)
     return out
+
+
+def placed(df: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """Adds the place (from 0) of each row in its group, in an order; rows that are equal in it stand as they come.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread over tasks; only groups that go on from
+    one range to the next have an offset, at most two rows for each range, and these are broadcast.
+    """
+    part, id_, offset = unused(df, "_part", "_id", "_offset")
+    ranged = df.repartitionByRange(n_shuffle(df.sparkSession), *group, *order).sortWithinPartitions(*group, *order)
+    ranged = materialize(ranged.withColumn(id_, F.monotonically_increasing_id()), "placed")
+    ranged = ranged.withColumn(part, F.shiftrightunsigned(id_, 33))
+    counts = ranged.groupBy(part, *group).agg(F.count(F.lit(1)).alias(name))
+    ends = ranged.groupBy(part).agg(F.min(id_).alias("low"), F.max(id_).alias("high")).select(F.explode(F.array("low", "high")).alias(id_))
+    edges = ranged.join(F.broadcast(ends), id_, "left_semi").select(part, *group).distinct()  # two rows for each range
+    same = lambda x, y: F.col(f"{x}.{part}").eqNullSafe(F.col(f"{y}.{part}")) & _all([F.col(f"{x}.{g}").eqNullSafe(F.col(f"{y}.{g}")) for g in group])
+    edges = counts.alias("c").join(F.broadcast(edges).alias("e"), same("c", "e"), "left_semi")
+    before = F.coalesce(F.sum(name).over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = edges.select(part, *group, before.alias(offset)).where(F.col(offset) > 0)
+    own = ranged.withColumn(name, F.row_number().over(Window.partitionBy(part, *group).orderBy(id_)) - 1)
+    joined = own.alias("r").join(F.broadcast(offsets).alias("o"), same("r", "o"), "left")
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col(f"r.{name}") + F.coalesce(F.col(f"o.{offset}"), F.lit(0))).cast("long").alias(name))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The table, marked for broadcasting if it has so many rows at most: the size is counted, not assumed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def crc32_sql(text: str) -> str:
+    """A DuckDB expression for the unsigned crc32 of an ASCII text, bit by bit (null for null)."""
+    bit = "lambda a, b: xor(a // 2, case when a % 2 = 1 then 3988292384::bigint else 0::bigint end)"
+    byte = f"lambda c, x: list_reduce(list_concat([xor(c, x)], [0::bigint for i in range(8)]), {bit})"
+    return f"case when {text} is not null then xor(list_reduce(list_concat([4294967295::bigint], [ord(z)::bigint for z in string_split({text}, '')]), {byte}), 4294967295::bigint) end"
