@@ -148,8 +148,8 @@ def test_leaks_are_those_of_brute_force(spark, monkeypatch, most):
 def test_leaks_of_questions_and_answers_and_of_nothing(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     bench = spark.createDataFrame([(1, "beta gamma", "alpha"), (2, None, "nothing")], "item_id long, question string, answer string")
-    hit = {r.text: r["items"] for r in decontamination.scan(docs, bench, ("question", "answer")).where("size(hits) > 0").collect()}
-    assert hit == {"Alpha, beta.": ["1"], "yes! no. alpha... yes no no": ["1"], "nothing here": ["2"]}
+    hit = {r.doc_id: r["items"] for r in decontamination.scan(docs, bench, ("question", "answer")).where("size(hits) > 0").collect()}
+    assert hit == {3: ["1"], 7: ["1"], 9: ["2"]}
     assert decontamination.scan(docs, bench.where("false"), ("question",)).where("size(hits) > 0").count() == 0
     assert decontamination.scan(docs.where("false"), bench, ("question",)).count() == 0
 
