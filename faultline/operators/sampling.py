@@ -6,6 +6,9 @@ counted, and a range's numbers start where those before it end.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,27 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "row_number")
     return ranged.withColumn(name, (begin + place + 1).cast("long")).drop("_id")
 
 
+def numbered_in(df: DataFrame, group: list[str], order: list[Column | str], name: str = "row_number") -> DataFrame:
+    """Adds the place of each row (from 1) in its group, in an order; rows that are equal in it stand as they come.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread over tasks. Only groups that go on from
+    one range to the next have an offset: at most two rows for each range, and these are broadcast.
+    """
+    part, id_ = "_in_part", "_in_id"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    ranged = materialize(ranged.withColumn(id_, F.monotonically_increasing_id()), "numbered").withColumn(part, F.shiftrightunsigned(id_, 33))
+    ends = ranged.groupBy(part).agg(F.min(id_).alias("low"), F.max(id_).alias("high")).select(F.explode(F.array("low", "high")).alias(id_))
+    same = lambda x, y: reduce(and_, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in [part, *group]])
+    edges = ranged.join(F.broadcast(ends), id_, "left_semi").select(part, *group).distinct()
+    sizes = ranged.alias("r").join(F.broadcast(edges).alias("e"), same("r", "e"), "left_semi").groupBy(part, *group).agg(F.count(F.lit(1)).alias("_in_n"))
+    before = F.sum("_in_n").over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(part, *group, before.alias("_in_before")).where("_in_before > 0")
+    own = ranged.withColumn("_in_place", F.row_number().over(Window.partitionBy(part, *group).orderBy(id_)))
+    joined = own.alias("r").join(F.broadcast(offsets).alias("o"), same("r", "o"), "left")
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("r._in_place") + F.coalesce("o._in_before", F.lit(0))).cast("long").alias(name))
+
+
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """N rows without replacement: the n of the smallest hash."""
     return df.orderBy(u(seed, key), key).limit(n)
@@ -106,31 +130,40 @@ def quotas(counts: DataFrame, ratios: dict[str, float], total: int | None, group
 def mix_groups(df: DataFrame, ratios: dict[str, float], total: int | None, key: str, group: str = "pipeline_name", seed: int = 0) -> DataFrame:
     """R2: the quota of each group by seeded order.
 
-    A group may be large, so a row's place is not counted within the group: rows are counted by ranges of the hash, then
-    by key in the range where the quota ends. Only rows of the one key where it ends are numbered, by partition.
+    One reading counts each group's rows by ranges of the hash; that small table gives the quotas and the range in which
+    each ends. A second reading takes the rows of the ranges before. Only the rows of the last ranges are kept aside and
+    counted by key, and only those of the one key where a quota ends are numbered, by partition: no group and no key is
+    gathered in a task.
     """
-    q = quotas(df.groupBy(group).agg(F.count(F.lit(1)).alias("available")), ratios, total, group)
-    rows = df.join(F.broadcast(q.withColumnRenamed("quota", "_left").drop("available")), group).withColumn("_u", u(seed, key))
-    rows = rows.withColumn("_range", F.floor(F.col("_u") * RANGES)).withColumn("_key", F.struct("_u", key))
-
-    def split(t: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-        """Rows before the value of ``by`` at which a group's quota ends, and rows at it with what is left of the quota."""
-        n = t.groupBy(group, "_left", by).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(group).orderBy(by))
-        ends = n.withColumn("_upto", upto).where(F.col("_upto") > F.col("_left")).groupBy(group).agg(F.min(F.struct(F.col(by).alias("at"), (F.col("_left") - F.col("_upto") + F.col("n")).alias("left"))).alias("_end"))
-        both = t.join(F.broadcast(ends), group, "left")  # one row for each group
-        at = both.where(F.col(by) == F.col("_end.at")).withColumn("_left", F.col("_end.left")).drop("_end")
-        return both.where(F.col("_end").isNull() | (F.col(by) < F.col("_end.at"))).drop("_end"), at
-
-    whole, edge = split(rows, "_range")
-    more, tied = split(edge, "_key")
-    tied = materialize(tied.withColumn("_id", F.monotonically_increasing_id()), "tied")  # numbered twice alike
+    if total is None and ratios:  # every row of the groups that are named
+        return df.where(F.col(group).isin(list(ratios)))
+    place = u(seed, key)
+    at = F.floor(place * RANGES)
+    counts = materialize(df.groupBy(group, at.alias("at")).agg(F.count(F.lit(1)).alias("n")), "ranges")
+    quota = quotas(counts.groupBy(group).agg(F.sum("n").alias("available")), ratios, total, group).select(group, F.col("quota").alias("left"))
+
+    def ends(n: DataFrame, by: list[str]) -> DataFrame:
+        """For each group the value of ``by`` in whose rows its quota ends (null if none), and what is left of it there. n: group, left, by, n."""
+        over = n.withColumn("upto", F.sum("n").over(Window.partitionBy(group).orderBy(*by))).withColumn("over", F.col("upto") > F.col("left"))
+        end = F.min(F.when(F.col("over"), F.struct(*by, (F.col("left") - F.col("upto") + F.col("n")).alias("rest"))))
+        return over.groupBy(group).agg(end.alias("_end"))
+
+    cuts = materialize(ends(counts.join(F.broadcast(quota), group), ["at"]), "cuts")  # one row for each group that is named
+    rows = df.join(F.broadcast(cuts), group)
+    whole = rows.where(F.col("_end").isNull() | (at < F.col("_end.at"))).select(*df.columns)
+    edge = rows.where(at == F.col("_end.at")).select(*df.columns, F.col("_end.rest").alias("_left"), place.alias("_u"), F.monotonically_increasing_id().alias("_id"))
+    edge = materialize(edge, "edge")
+    keys = edge.groupBy(group, F.col("_left").alias("left"), F.col("_u").alias("u"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    both = edge.join(F.broadcast(ends(keys, ["u", "k"])), group)  # one row for each group
+    mine, end = F.struct("_u", key), F.struct("_end.u", "_end.k")
+    more = both.where(F.col("_end").isNull() | (mine < end))
     part = F.shiftrightunsigned("_id", 33)
-    sizes = tied.groupBy(group, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    tied = both.where((F.col("_u") == F.col("_end.u")) & F.col(key).eqNullSafe(F.col("_end.k"))).withColumns({"_part": part, "_rest": F.col("_end.rest")})
+    sizes = tied.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_id")) + F.col("_before")
-    tied = tied.withColumn("_part", part).join(F.broadcast(sizes), [group, "_part"]).withColumn("_place", place).where("_place <= _left")
-    return whole.select(*df.columns).unionByName(more.select(*df.columns)).unionByName(tied.select(*df.columns))
+    number = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_id")) + F.col("_before")
+    tied = tied.join(F.broadcast(sizes), [group, "_part"]).withColumn("_place", number).where("_place <= _rest")  # a row for each group and partition
+    return whole.unionByName(more.select(*df.columns)).unionByName(tied.select(*df.columns))
 
 
 def question_type(df: DataFrame, key: str, multiple_choice: float = 0.7, fill_in_blank: float = 0.3, seed: int = 0) -> DataFrame:
@@ -212,9 +245,10 @@ def quota_split(spark, total: int, groups: int) -> DataFrame:
 
 
 def unique_names(df: DataFrame, key: str, order: str) -> DataFrame:
-    """File names of an image's rows, with _1, _2 ... after the first."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    return df.withColumn("name", F.concat(F.col(key), F.when(n == 0, "").otherwise(F.concat(F.lit("_"), n.cast("string")))))
+    """File names of an image's rows, with _1, _2 ... after the first. An image may have any number of rows."""
+    n = F.col("_nth") - 1
+    named = numbered_in(df, [key], [order], "_nth")
+    return named.withColumn("name", F.concat(F.col(key), F.when(n == 0, "").otherwise(F.concat(F.lit("_"), n.cast("string"))))).drop("_nth")
 
 
 def until_target(batches: DataFrame, target: int) -> DataFrame:

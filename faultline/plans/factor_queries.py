@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from faultline.functions import media as M
@@ -143,12 +144,50 @@ def f30_f31_vectors(spark, sf):
     return e.select("vec_id", F.round(M.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"), (F.round(M.dot(twice, F.col("embedding")), 4) == 1.0).alias("same"))
 
 
+LABELS = {"even": "label % 2 = 0", "high": "label > 4", "third": "label % 3 = 1"}
+RIDGE = 0.05
+
+
+def labelled(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select("vec_id", "embedding", *[F.expr(f"double({x})").alias(k) for k, x in LABELS.items()])
+
+
+@query(" union all ".join(f"select '{k}' label, i feature, round(sum(case when {x} then 1.0 else 0.0 end * case when i = 0 then 1.0 else embedding[i]::double end), 4) moment from (select *, unnest(range(65)) i from embeddings) group by i" for k, x in LABELS.items()))
+def c5_train_labels(spark, sf):
+    """Three labels trained together. At the optimum, and only there, what the model expects equals what the labels have:
+    for each label and feature the sum of (probability + ridge) is that of the label; feature 0 is the bias."""
+    rows = labelled(spark, sf)
+    model = O.train_labels(rows, list(LABELS), ridge=RIDGE, tolerance=1e-10)
+    scored = O.score_labels(rows, model)
+    x = F.concat(F.array(F.lit(1.0)), F.transform("embedding", lambda v: v.cast("double")))
+
+    def moments(k: int):
+        pull = F.array(F.lit(0.0), *[F.lit(RIDGE * v) for v in model.weights[k].tolist()])
+        return F.transform(F.arrays_zip(x.alias("x"), pull.alias("r")), lambda z, i: F.struct(F.lit(model.labels[k]).alias("label"), i.cast("long").alias("feature"), (z["x"] * F.col("probability")[k] + z["r"]).alias("m")))
+
+    each = scored.select(F.explode(F.concat(*[moments(k) for k in range(len(model.labels))])).alias("m")).select("m.*")
+    return each.groupBy("label", "feature").agg(F.round(F.sum("m") + F.lit(0.0), 4).alias("moment"))
+
+
+GIVEN = {"a": [((7 * k) % 11 - 5) / 4 for k in range(64)], "b": [((5 * k + 3) % 13 - 6) / 4 for k in range(64)]}
+
+
+@query(f"""with p as (select vec_id, {', '.join(f"1 / (1 + exp(-({b} + list_sum(list_transform(list_zip(embedding, {GIVEN[k]}), lambda x: x[1]::double * x[2]::double))))) p_{k}" for k, b in (('a', 0.25), ('b', -0.5)))} from embeddings)
+  select vec_id, round(p_a, 6) p_a, round(p_b, 6) p_b, concat_ws(',', case when p_a >= 0.6 then 'a' end, case when p_b >= 0.6 then 'b' end) predicted from p""")
+def c6_score_labels(spark, sf):
+    """Two labels by given weights, and those at or above the threshold."""
+    model = O.LabelModel(["a", "b"], np.array([GIVEN["a"], GIVEN["b"]]), np.array([0.25, -0.5]), np.zeros(2), 0)
+    p = O.score_labels(spark.read.parquet(f"{sf}/embeddings.parquet"), model, threshold=0.6)
+    return p.select("vec_id", F.round(F.col("probability")[0], 6).alias("p_a"), F.round(F.col("probability")[1], 6).alias("p_b"), F.array_join("predicted", ",").alias("predicted"))
+
+
 @query()
 def c5_c6_train_and_score(spark, sf):
-    """A logistic model of each of two labels on the embeddings, scored on all rows."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("a", (F.col("label") % 2 == 0).cast("double")).withColumn("b", (F.col("label") > 4).cast("double"))
-    models = O.train_labels(e, ["a", "b"], rounds=10)
-    return O.score_labels(e, models).select("vec_id", F.round(F.col("probability")[0], 4).alias("p_a"), F.array_join("predicted", ",").alias("predicted"))
+    """Labels trained together on the embeddings and scored on all rows."""
+    rows = labelled(spark, sf)
+    scored = O.score_labels(rows, O.train_labels(rows, list(LABELS), rounds=10))
+    return scored.select("vec_id", F.round(F.col("probability")[0], 4).alias("p_even"), F.array_join("predicted", ",").alias("predicted"))
 
 
 @query("select user_id image_ref, count(*) n from (select distinct user_id from events) group by 1")

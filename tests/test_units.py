@@ -2,6 +2,7 @@ import json
 import os
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,24 +274,115 @@ def test_more_sinks(spark, tmp_path):
 
 
 def test_medians_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(P, "FEW_ROWS", 5)
-    monkeypatch.setattr(P, "PARTS", 4)
-    rows = [(float(i * i % 97), 1e9 if i == 3 else float(i % 3), None, 7, i if i % 2 else None) for i in range(200)]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d int, e long")
-    found = {r["column"]: r["median"] for r in P.numeric_profile(df, ["a", "b", "c", "d", "e"]).collect()}
-    want = {c: statistics.median([r[i] for r in rows if r[i] is not None]) if any(r[i] is not None for r in rows) else None for i, c in enumerate("abcde")}
-    assert found == want
+    rows = [(float(i * i % 97), 1e9 if i == 3 else float(i % 3), None, 7, i if i % 2 else None, -1.5 ** (i % 300), -0.0 if i % 2 else 0.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d int, `e.e` long, f double, g double").repartition(3)
+    readings, one = [], P.F.sum
+    monkeypatch.setattr(P.F, "sum", lambda c: (readings.append(c), one(c))[1])
+    found = {r["column"]: r["median"] for r in P.numeric_profile(df, ["a", "b", "c", "d", "e.e", "f", "g"]).collect()}
+    want = {c: statistics.median([r[i] for r in rows if r[i] is not None]) if any(r[i] is not None for r in rows) else None for i, c in enumerate(["a", "b", "c", "d", "e.e", "f", "g"])}
+    assert found == {k: None if v is None else round(v, 6) for k, v in want.items()}
+    assert readings.count("n") == 2 * 64 // P.DIGIT  # one count and one running sum for each reading, whatever the columns
     assert P.numeric_profile(df.where("false"), ["a"]).first()["median"] is None
 
 
+@pytest.mark.parametrize("odd", [float("-inf"), float("inf"), float("nan")])
+def test_medians_end_with_infinities_and_nan(spark, odd):
+    df = spark.range(100_100).select(F.when(F.col("id") == 5, odd).otherwise(F.col("id") % 1000).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, odd).otherwise(1.0).alias("b"), F.lit(odd).alias("c"))
+    found = {r["column"]: r["median"] for r in P.numeric_profile(df, ["a", "b", "c"]).collect()}
+    values = sorted([odd if i == 5 else i % 1000 for i in range(100_100)], key=lambda x: (x != x, x))
+    assert found["a"] == (values[50_049] + values[50_050]) / 2
+    assert str(found["b"]) == str((odd + 1.0) / 2) and str(found["c"]) == str(odd)
+    values = P.ranked_values(df, {"a": [0, 100_099], "b": [0, 100_099]})
+    assert str(odd) in {str(x) for x in values.values()}
+
+
+def test_labels_are_trained_together_to_the_optimum(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    y = np.stack([(x @ rng.normal(size=5) + rng.normal(size=400) > 0) for _ in range(3)], axis=1).astype(float)
+    rows = [(i, a.tolist(), *b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(400, None, 1.0, 0.0, 1.0), (401, [0.0] * 5, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, l0 double, l1 double, l2 double").repartition(5)
+    calls, one = [], O._loss_and_gradient
+    monkeypatch.setattr(O, "_loss_and_gradient", lambda *a: (calls.append(1), one(*a))[1])
+    model = O.train_labels(df, ["l0", "l1", "l2"], ridge=0.01)
+    assert model.passes == len(calls) < 60 and model.gradient.max() < 1e-8  # a reading for all labels
+    z = np.concatenate([x, np.ones((400, 1))], axis=1)
+    for k in range(3):  # Newton's method on one label after the other
+        w = np.zeros(6)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z @ w))
+            ridge = 0.01 * np.diag([1, 1, 1, 1, 1, 0])
+            w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / 400 + ridge, z.T @ (p - y[:, k]) / 400 + ridge @ w)
+        assert np.allclose(w, [*model.weights[k], model.biases[k]], atol=1e-5)
+    monkeypatch.setattr(O, "TREE", 2)
+    again = O.train_labels(df, ["l0"], ridge=0.01)
+    assert np.allclose(again.weights[0], model.weights[0], atol=1e-6)
+    assert O.train_labels(df.where("false"), ["l0"]).passes == 0
+
+
 def test_label_models_separate_and_decode(spark):
     rows = [(i, [float(i % 2) * 2 - 1, float(i // 2 % 2) * 2 - 1], float(i % 2), float(i // 2 % 2)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>, x double, y double")
-    models = O.train_labels(df, ["x", "y"], rounds=30)
-    for r in O.score_labels(df, models).collect():
+    model = O.train_labels(df, ["x", "y"])
+    for r in O.score_labels(df, model).collect():
         assert r.predicted == [n for n, v in (("x", r.x), ("y", r.y)) if v] and all(abs(p - v) < 0.1 for p, v in zip(r.probability, (r.x, r.y), strict=True))
 
 
+def unit_vectors(n, clusters, spread, rng):
+    centres = rng.normal(size=(clusters, 16))
+    v = centres[np.arange(n) % clusters] / 4 + spread * rng.normal(size=(n, 16))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_similar_pairs_are_exact_and_blocks_are_ruled_out(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    v = unit_vectors(600, 12, 0.05, rng)
+    v[50:90] = v[7]  # equal vectors
+    v[90] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(600, None)], "id long, v array<double>").repartition(3)
+    want = {(i, j) for i, j in np.argwhere(v @ v.T >= 0.9).tolist() if i < j}
+    found = [tuple(r) for r in O.similar_pairs(df, 0.9).collect()]
+    assert set(found) == want and len(found) == len(want)
+    dealt, pairs = O.blocks(df, 0.9)
+    n, compared = dealt.select("block").distinct().count(), {tuple(r) for r in pairs.collect()}
+    assert n > 38 and len(compared) < 0.25 * n * (n + 1) / 2  # of the pairs of blocks
+    members = dealt.groupBy("block").agg(F.collect_list("id").alias("ids")).collect()
+    assert max(len(r.ids) for r in members) < 60
+    # no pair is compared that the bound rules out, and none is left out that holds a similar pair
+    block = {i: r.block for r in members for i in r.ids}
+    assert {tuple(sorted((block[i], block[j]))) for i, j in want} <= {tuple(sorted(x)) for x in compared}
+    assert len({tuple(sorted(x)) for x in compared}) == len(compared)
+    links = [tuple(r) for r in O.similar_links(df, 0.9).collect()]
+    assert len(links) < len(want) / 4
+    ids = df.select("id")
+    a, b = ({tuple(r) for r in O.components(ids, spark.createDataFrame(list(e), "i long, j long")).collect()} for e in (want, links))
+    assert a == b and len({c for _, c in a}) > 5
+    everything = O.similar_pairs(df.where("id < 100"), -2.0)  # nothing is ruled out
+    assert everything.count() == 100 * 99 / 2
+    assert O.similar_pairs(df.where("false")).count() == 0 and O.similar_links(df.where("false")).count() == 0
+
+
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(0, 40) if i % 10] + [(70, 60), (60, 65), (None, 3)]
+    ids = spark.createDataFrame([(i,) for i in range(80)], "id long")
+    df = spark.createDataFrame(edges, "i long, j long").repartition(4)
+    once = sorted(tuple(r) for r in O.components(ids, df).collect())
+    assert once[70] == (70, 60) and once[9] == (9, 1) and once[0] == (0, 0)
+    monkeypatch.setattr(O, "FEW_EDGES", 1)
+    assert sorted(tuple(r) for r in O.components(ids, df).collect()) == once
+
+
+def test_names_of_an_image_with_a_third_of_all_rows(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("i"), F.col("id") % 700)).alias("image_id"), F.col("id"))
+    got = {r.id: r["name"] for r in S.unique_names(rows, "image_id", "id").collect()}
+    n = {}
+    for i in range(3000):
+        key = "hot" if i % 3 == 0 else f"i{i % 700}"
+        k = n[key] = n.get(key, -1) + 1
+        assert got[i] == (f"{key}_{k}" if k else key)
+
+
 def test_prompts_name_what_they_ask(spark):
     row = spark.createDataFrame([("img", "a claim", ["object", "region"], None)], "image_id string, claim string, slots array<string>, why string")
     asked = L.asked(row, "prefill", "image_id", claim="claim", slots="slots").first()
