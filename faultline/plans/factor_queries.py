@@ -201,8 +201,5 @@ def x1_x2_stream_dedupe(spark, sf):
     folder = events.inputFiles()[0].rsplit("/", 1)[0]
     root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-    def sink(batch, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-
-    intake.run(intake.once_each(intake.read_files(spark, folder, "image_ref long", 2)), sink, f"{root}/state")
+    intake.once_each(intake.read_files(spark, folder, "image_ref long", 2), f"{root}/out", f"{root}/state", intake.Seen(spark, f"{root}/seen", kind="long"))
     return spark.read.schema("image_ref long").parquet(f"{root}/out/batch=*").groupBy("image_ref").agg(F.count(F.lit(1)).alias("n"))

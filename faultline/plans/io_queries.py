@@ -54,17 +54,17 @@ def t5_ordered_by_file(spark, sf):
     return rows.select("o_orderkey", (F.col("n") - 1).alias("place"))
 
 
-@query("select 3 files, count(distinct o_orderkey % 8) - 5 buckets, true whole from orders")
+@query("select 3 files, 3 buckets, true whole")
 def s4_sample_files(spark, sf):
-    """Three of eight files, each with all rows of a bucket; whichever they are."""
-    path = new_path(spark, "sampled")
-    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 8).cast("int").alias("bucket"))
-    for b in range(8):  # a folder of eight files
-        o.where(F.col("bucket") == b).coalesce(1).write.mode("append").parquet(path)
-    some = S.sample_files(spark, path, 3, seed=4).withColumn("file", F.input_file_name())
+    """Three of the files of a table, whose number follows the rows, each with all rows of a bucket; whichever they are."""
+    path, o = new_path(spark, "sampled"), table(spark, sf, "orders")
+    n = max(8, o.count() // 20_000)
+    o = o.select(F.pmod(F.xxhash64("o_orderkey"), F.lit(n)).alias("bucket"))
+    o.withColumn("b", F.col("bucket")).repartition(n, "bucket").write.partitionBy("b").parquet(path)
+    some = S.sample_files(spark, f"{path}/b=*", 3, seed=4).withColumn("file", F.input_file_name())
     found = some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
     whole = found.join(o.groupBy("bucket").agg(F.count(F.lit(1)).alias("all")), "bucket")
-    return whole.agg(F.sum("files").cast("int").alias("files"), F.count(F.lit(1)).alias("buckets"), F.bool_and(F.col("n") == F.col("all")).alias("whole"))
+    return whole.agg(F.sum("files").cast("int").alias("files"), F.count(F.lit(1)).cast("int").alias("buckets"), F.bool_and(F.col("n") == F.col("all")).alias("whole"))
 
 
 # --- JSON files
@@ -98,10 +98,10 @@ def one_array(frames):
 
 @query("select 'img_' || c_custkey image_id, c_nationkey total_claims, case when c_custkey % 4 = 0 then c_mktsegment end reason from customer")
 def s9_read_results(spark, sf):
-    """Half of the results in lists, half in objects with ``results``."""
+    """Half of the results in lists, half in objects with ``results``; the number of files follows the rows."""
     c, path = table(spark, sf, "customer"), new_path(spark, "probing")
     breakdown = F.when(F.col("c_custkey") % 4 == 0, F.create_map("c_mktsegment", F.lit(1).cast("long")))
-    r = c.select(F.concat(F.lit("img_"), F.col("c_custkey").cast("string")).alias("image_id"), F.col("c_nationkey").cast("long").alias("total_claims"), breakdown.alias("failure_breakdown"), (F.col("c_custkey") % 2).alias("half"), F.pmod(F.hash("c_custkey"), F.lit(40)).alias("file"))
+    r = c.select(F.concat(F.lit("img_"), F.col("c_custkey").cast("string")).alias("image_id"), F.col("c_nationkey").cast("long").alias("total_claims"), breakdown.alias("failure_breakdown"), (F.col("c_custkey") % 2).alias("half"), F.pmod(F.hash("c_custkey"), F.lit(max(40, c.count() // 500))).alias("file"))
     lists = r.groupBy("half", "file").agg(F.collect_list(F.struct("image_id", "total_claims", "failure_breakdown")).alias("results"))
     named = lists.select(F.concat_ws("", F.lit("r"), "half", F.lit("_"), "file", F.lit(".json")).alias("name"), F.encode(F.when(F.col("half") == 0, F.to_json("results")).otherwise(F.to_json(F.struct("results"))), "UTF-8").alias("data"))
     files.write_files(named, path)
@@ -143,9 +143,10 @@ def a23_collected_report(spark, sf):
 
 
 def question_files(spark, sf, start, every):
-    """Rows of part in files <start><brand>_<number>.json; every so-manieth row without a group of its own."""
-    path = new_path(spark, "questions")
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("brand"), (F.col("p_partkey") % 2).cast("string").alias("part"))
+    """Rows of part in files <start><brand>_<number>.json, whose number follows the rows; every so-manieth row without a group of its own."""
+    path, p = new_path(spark, "questions"), table(spark, sf, "part")
+    n = 2 * max(1, p.count() // 20_000)  # files of a brand
+    p = p.select(F.col("p_partkey").alias("id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("brand"), (F.col("p_partkey") % n).cast("string").alias("part"))
     name = F.when(F.col("id") % every > 0, F.concat(F.lit("own "), F.col("brand")))
     rows = p.groupBy("brand", "part").agg(F.collect_list(F.struct("id", name.alias("pipeline_name"))).alias("rows"))
     named = rows.select(F.concat(F.lit(start), "brand", F.lit("_"), "part", F.lit(".json")).alias("name"), F.encode(F.to_json("rows"), "UTF-8").alias("data"))
@@ -172,7 +173,7 @@ def s13_read_successful_files(spark, sf):
 def s15_read_manifest(spark, sf):
     """The manifest lists the files of even parts, and one that is gone."""
     path = question_files(spark, sf, "", 1)
-    listed = [x for x in files.listed(path, "_0.json") if not x.startswith("all_")]
+    listed = [x for x in files.listed(path, ".json") if not x.startswith("all_") and int(x[:-5].rsplit("_", 1)[1]) % 2 == 0]
     body = json.dumps({"files": [*listed, "gone.json"]})
     files.write_files(spark.createDataFrame([("meta.json", body.encode())], "name string, data binary"), path)
     return S.read_manifest(spark, f"{path}/meta.json", "id long")
@@ -182,11 +183,13 @@ def s15_read_manifest(spark, sf):
 
 
 def media_folder(spark, sf):
-    """An image and a conversation for each supplier; odd ones also as jpg, every fourth names another's image."""
+    """An image and a conversation for each supplier; odd ones also as jpg. Every fourth names another's jpg by its path,
+    every twelfth a png by its name alone; every tenth is the list of turns itself."""
     path = new_path(spark, "media")
     s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
-    url = F.when(k % 4 == 0, F.concat(F.lit(f"{path}/"), F.format_string("image_%06d", k + 1), F.lit(".jpg")))
-    talk = F.to_json(F.struct(url.alias("image_url"), F.array(F.struct(F.lit("human").alias("from"), F.col("s_name").alias("value"))).alias("conversations")))
+    url = F.when(k % 12 == 0, F.concat(F.format_string("image_%06d", k), F.lit(".png"))).when(k % 4 == 0, F.concat(F.lit(f"{path}/"), F.format_string("image_%06d", k + 1), F.lit(".jpg")))
+    turns = F.array(F.struct(F.lit("human").alias("from"), F.col("s_name").alias("value")))
+    talk = F.when(k % 10 == 0, F.to_json(turns)).otherwise(F.to_json(F.struct(url.alias("image_url"), turns.alias("conversations"))))
     rows = s.select(k.alias("idx"), F.encode("s_name", "UTF-8").alias("image_bytes"), talk.alias("conversation"))
     sinks.export_media(rows.withColumn("format", F.lit("png")), path)
     sinks.export_media(rows.where("idx % 2 = 1").withColumn("format", F.lit("jpg")), path)
@@ -199,9 +202,10 @@ def k9_export_media(spark, sf):
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.when(~F.col("path").endswith(".json"), F.octet_length("content")).cast("long").alias("size"))
 
 
-@query("select s.s_name said, strlen(o.s_name) size from supplier s left join supplier o on o.s_suppkey = case when s.s_suppkey % 4 = 0 then s.s_suppkey + 1 when s.s_suppkey % 2 = 1 then s.s_suppkey end")
+@query("select s.s_name said, strlen(o.s_name) size, o.s_name is null missing from supplier s left join supplier o on o.s_suppkey = case when s.s_suppkey % 2 = 1 then s.s_suppkey when s.s_suppkey % 10 = 0 then null when s.s_suppkey % 12 = 0 then s.s_suppkey when s.s_suppkey % 4 = 0 then s.s_suppkey + 1 end")
 def s18_read_conversations(spark, sf):
-    return S.read_conversations(spark, media_folder(spark, sf)).select(F.col("conversations")[0]["value"].alias("said"), F.octet_length("content").cast("long").alias("size"))
+    rows = S.read_conversations(spark, media_folder(spark, sf))
+    return rows.select(F.col("conversations")[0]["value"].alias("said"), F.octet_length("content").cast("long").alias("size"), F.col("error").isNotNull().alias("missing"))
 
 
 @query("select format('image_{:06d}', s_suppkey) image_id, count(*) n, max(strlen(s_name)) size from supplier, (values (1), (2)) e(k) where k = 1 or s_suppkey % 2 = 1 group by 1")
@@ -238,56 +242,74 @@ def k17_tar_report(spark, sf):
 # --- configurations
 
 
-@query("select 'c_' || s_suppkey claim_id, s_name \"name\", 'Is [X] in ' || s_name || '?' claim_template, row_number() over (order by s_suppkey) - 1 pos from supplier")
+# Configurations are small by nature: they are made of the nations, and what is read meets all customers.
+
+
+def configured(spark, sf, config, key="failure_id"):
+    """Customers with what a configuration has for their nation, by the key ``f<nation>``."""
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias(key))
+    return c.join(F.broadcast(config), key)  # read_* refuse or parse small files only
+
+
+def nations(spark, sf):
+    n = table(spark, sf, "nation")
+    return n.withColumn("f", F.concat(F.lit("f"), F.col("n_nationkey").cast("string")))
+
+
+NATION = "from customer join nation on n_nationkey = c_nationkey"
+
+
+@query(f"select c_custkey, 'f' || c_nationkey claim_id, n_name \"name\", 'Is [X] in ' || n_name || '?' claim_template, n_nationkey::bigint pos {NATION}")
 def s21_read_claims(spark, sf):
-    """The first list is empty, the second has all suppliers, the third is not reached."""
-    s = table(spark, sf, "supplier")
-    one = F.struct(F.concat(F.lit("c_"), F.col("s_suppkey").cast("string")).alias("claim_id"), F.col("s_name").alias("name"), F.concat(F.lit("Is [X] in "), "s_name", F.lit("?")).alias("claim_template"))
-    rows = s.agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", one.alias("c")))), lambda x: x["c"]).alias("global_templates"))
+    """The first list is empty, the second has all nations, the third is not reached."""
+    one = F.struct(F.col("f").alias("claim_id"), F.col("n_name").alias("name"), F.concat(F.lit("Is [X] in "), "n_name", F.lit("?")).alias("claim_template"))
+    rows = nations(spark, sf).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("c")))), lambda x: x["c"]).alias("global_templates"))
     config = rows.select(F.array().cast("array<string>").alias("claim_schemas"), "global_templates", F.array(F.lit("not this")).alias("templates"))
-    return S.read_claims(spark, one_object(config, spark, "claims")).select("claim_id", "name", "claim_template", F.col("pos").cast("long").alias("pos"))
+    claims = S.read_claims(spark, one_object(config, spark, "claims"))
+    return configured(spark, sf, claims, "claim_id").select("c_custkey", "claim_id", "name", "claim_template", F.col("pos").cast("long").alias("pos"))
 
 
-@query("select s_name failure_id, 'type ' || (s_suppkey % 3) pipeline_type, 'pipe ' || s_nationkey pipeline_name from supplier")
+@query(f"select c_custkey, 'type ' || (n_nationkey % 3) pipeline_type, 'pipe ' || n_regionkey pipeline_name {NATION}")
 def s23_read_pipelines(spark, sf):
-    s, even = table(spark, sf, "supplier"), F.col("s_suppkey") % 2 == 0
-    one = F.struct(F.when(even, F.col("s_name")).alias("failure_id"), F.when(~even, F.col("s_name")).alias("failure_key"), F.concat(F.lit("type "), (F.col("s_suppkey") % 3).cast("string")).alias("pipeline_type"), F.concat(F.lit("pipe "), F.col("s_nationkey").cast("string")).alias("pipeline_name"))
-    return S.read_pipelines(spark, one_object(s.agg(F.collect_list(one).alias("pipelines")), spark, "pipelines"))
+    n, even = nations(spark, sf), F.col("n_nationkey") % 2 == 0
+    one = F.struct(F.when(even, F.col("f")).alias("failure_id"), F.when(~even, F.col("f")).alias("failure_key"), F.concat(F.lit("type "), (F.col("n_nationkey") % 3).cast("string")).alias("pipeline_type"), F.concat(F.lit("pipe "), F.col("n_regionkey").cast("string")).alias("pipeline_name"))
+    pipelines = S.read_pipelines(spark, one_object(n.agg(F.collect_list(one).alias("pipelines")), spark, "pipelines"))
+    return configured(spark, sf, pipelines).select("c_custkey", "pipeline_type", "pipeline_name")
 
 
 def keyed(spark, sf, value, label):
-    """A file {"pipelines": {name: value}} over all suppliers."""
-    rows = table(spark, sf, "supplier").agg(F.map_from_entries(F.collect_list(F.struct("s_name", value))).alias("pipelines"))
+    """A file {"pipelines": {key: value}} over all nations."""
+    rows = nations(spark, sf).agg(F.map_from_entries(F.collect_list(F.struct("f", value))).alias("pipelines"))
     return one_object(rows, spark, label)
 
 
-@query("select s_name \"key\", 'about ' || s_nationkey \"name\", 'object,region' required, case when s_suppkey % 2 = 0 then 'style' else '' end optional from supplier")
+@query(f"select c_custkey, 'about ' || n_regionkey \"name\", 'object,region' required, case when n_nationkey % 2 = 0 then 'style' else '' end optional {NATION}")
 def s24_read_question_pipelines(spark, sf):
-    optional = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("style")))
-    value = F.struct(F.concat(F.lit("about "), F.col("s_nationkey").cast("string")).alias("name"), F.array(F.lit("object"), F.lit("region")).alias("required_slots"), optional.alias("optional_slots"))
-    rows = S.read_question_pipelines(spark, keyed(spark, sf, value, "question-pipelines"))
-    return rows.select("key", "name", F.array_join("required_slots", ",").alias("required"), F.coalesce(F.array_join("optional_slots", ","), F.lit("")).alias("optional"))
+    optional = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("style")))
+    value = F.struct(F.concat(F.lit("about "), F.col("n_regionkey").cast("string")).alias("name"), F.array(F.lit("object"), F.lit("region")).alias("required_slots"), optional.alias("optional_slots"))
+    rows = configured(spark, sf, S.read_question_pipelines(spark, keyed(spark, sf, value, "question-pipelines")), "key")
+    return rows.select("c_custkey", "name", F.array_join("required_slots", ",").alias("required"), F.coalesce(F.array_join("optional_slots", ","), F.lit("")).alias("optional"))
 
 
-@query("select s_name failure_id, 'trigger ' || k trigger_type from supplier, range(3) r(k) where k <= s_suppkey % 3")
+@query(f"select c_custkey, 'trigger ' || k trigger_type {NATION}, range(3) r(k) where k <= n_nationkey % 3")
 def s25_read_triggers(spark, sf):
-    types = F.transform(F.sequence(F.lit(0), (F.col("s_suppkey") % 3).cast("int")), lambda k: F.concat(F.lit("trigger "), k.cast("string")))
-    rows = table(spark, sf, "supplier").agg(F.map_from_entries(F.collect_list(F.struct("s_name", types.alias("t")))).alias("triggers"))
-    return S.read_triggers(spark, one_object(rows, spark, "triggers"))
+    types = F.transform(F.sequence(F.lit(0), (F.col("n_nationkey") % 3).cast("int")), lambda k: F.concat(F.lit("trigger "), k.cast("string")))
+    rows = nations(spark, sf).agg(F.map_from_entries(F.collect_list(F.struct("f", types.alias("t")))).alias("triggers"))
+    return configured(spark, sf, S.read_triggers(spark, one_object(rows, spark, "triggers"))).select("c_custkey", "trigger_type")
 
 
-@query("select row_number() over (order by s_suppkey) - 1 pos, s_name \"text\" from supplier")
+@query(f"select c_custkey, n_nationkey::bigint pos, 'f' || n_nationkey \"text\" {NATION}")
 def s26_read_factors(spark, sf):
-    rows = table(spark, sf, "supplier").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"])).alias("x"))
-    return S.read_factors(spark, write_text(rows, "x", new_path(spark, "factors"))).select(F.col("pos").cast("long").alias("pos"), "text")
+    rows = nations(spark, sf).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "f"))), lambda x: x["f"])).alias("x"))
+    return configured(spark, sf, S.read_factors(spark, write_text(rows, "x", new_path(spark, "factors"))), "text").select("c_custkey", F.col("pos").cast("long").alias("pos"), "text")
 
 
-@query("select s_name \"key\", k pos, case k when 0 then 'seen' else '[optional] ' || s_nationkey end criterion from supplier, range(2) r(k) where k <= s_suppkey % 2")
+@query(f"select c_custkey, k pos, case k when 0 then 'seen' else '[optional] ' || n_regionkey end criterion {NATION}, range(2) r(k) where k <= n_nationkey % 2")
 def s27_read_criteria(spark, sf):
-    extra = F.array(F.concat(F.lit("[optional] "), F.col("s_nationkey").cast("string")))
-    criteria = F.concat(F.array(F.lit("seen")), F.when(F.col("s_suppkey") % 2 == 1, extra).otherwise(F.array().cast("array<string>")))
-    rows = S.read_criteria(spark, keyed(spark, sf, F.struct(F.lit("n").alias("name"), criteria.alias("criteria")), "criteria"))
-    return rows.select("key", F.col("pos").cast("long").alias("pos"), "criterion")
+    extra = F.array(F.concat(F.lit("[optional] "), F.col("n_regionkey").cast("string")))
+    criteria = F.concat(F.array(F.lit("seen")), F.when(F.col("n_nationkey") % 2 == 1, extra).otherwise(F.array().cast("array<string>")))
+    rows = configured(spark, sf, S.read_criteria(spark, keyed(spark, sf, F.struct(F.lit("n").alias("name"), criteria.alias("criteria")), "criteria")), "key")
+    return rows.select("c_custkey", F.col("pos").cast("long").alias("pos"), "criterion")
 
 
 @query("select o_orderpriority \"name\", count(*) ratio from orders group by 1")
@@ -321,6 +343,15 @@ def k3_k15_records(spark, sf):
     return S.read_records(spark, path, "o_orderkey long, agents string, o_custkey long")
 
 
+@query("select o_orderkey, o_orderpriority || '}\\\"{[' agents, o_custkey nested from orders")
+def k3_s8_json_arrays(spark, sf):
+    """Written as files that are arrays, whatever the texts hold, and read back in splits of some kilobytes."""
+    path = new_path(spark, "arrays")
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit('}\\"{[')).alias("agents"), F.struct(F.col("o_custkey").alias("a"), F.array("o_orderpriority")).alias("nested"))
+    sinks.records(o, path, "array")
+    return S.read_records(spark, path, "o_orderkey long, agents string, nested struct<a:long>").withColumn("nested", F.col("nested.a"))
+
+
 @query("select o_orderstatus status, count(*) n, 'orders' source from orders group by 1")
 def k6_manifest(spark, sf):
     path = new_path(spark, "manifest")
@@ -406,7 +437,14 @@ def x3_collect_stream(spark, sf):
 # --- embeddings
 
 
-@query("select p_partkey id, 64 n, 1.0::double norm from part")
+_BYTE = "((instr('0123456789abcdef', substr(md5(w), {0}, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(w), {0} + 1, 1)) - 1)"
+
+
+@query(f"""with w as (select p_partkey id, unnest(string_split(lower(p_name), ' ')) w from part), k as (select id, {_BYTE.format(1)} % 64 k, case when {_BYTE.format(15)} >= 128 then 1.0 else -1.0 end s from w where w <> ''),
+  v as (select id, k, sum(s) x from k group by id, k), n as (select id, sqrt(sum(x * x)) n from v group by id)
+  select p.id, p.k, round(coalesce(case when n > 0 then x / n else x end, 0), 6) x from (select p_partkey id, unnest(range(64)) k from part) p left join v on v.id = p.id and v.k = p.k left join n on n.id = p.id""")
 def m14_embed(spark, sf):
-    v = L.embed(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), L.hashed_encoder())
-    return v.select("id", F.size("v").alias("n"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    """Every value of every vector."""
+    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    v = L.embed(texts, L.hashed_encoder())
+    return v.select("id", F.posexplode("v").alias("k", "x")).select("id", F.col("k").cast("long").alias("k"), F.round(F.col("x") + F.lit(0.0), 6).alias("x"))

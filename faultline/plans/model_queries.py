@@ -121,6 +121,51 @@ def m10_answer_and_options(spark, sf):
     return rows.select("p_partkey", "answer", F.array_join(Q.clean_wrong_options(F.col("options"), F.col("answer")), "|").alias("wrong"))
 
 
+def answered(spark, sf):
+    """Rows of even keys choose among two options, the others fill in a blank."""
+    k = F.col("p_partkey")
+    options = F.when(k % 2 == 0, F.create_map(F.lit("B"), "p_type", F.lit("A"), "p_name")).otherwise(F.create_map().cast("map<string,string>"))
+    answer = F.when(k % 2 == 1, F.concat(F.lit("size "), "p_size")).otherwise(F.when(k % 4 == 0, "A").otherwise("b"))
+    return part(spark, sf).withColumn("options", options).withColumn("answer", answer)
+
+
+OLD = "case when p_partkey % 2 = 1 then 'size ' || p_size when p_partkey % 4 = 0 then 'A' else 'b' end"
+
+
+@query(f"select p_partkey, p_partkey % 10 > 0 and p_partkey % 3 > 0 is_correct, case when p_partkey % 10 = 0 or p_partkey % 7 = 0 then 0.5e0 else (p_partkey % 8) / 8e0 end confidence, p_partkey % 10 > 0 and p_partkey % 3 > 0 and p_partkey % 7 > 0 and (p_partkey % 8) / 8e0 >= 0.7 passed, case when p_partkey % 10 > 0 and p_partkey % 2 = 0 then 'B,C' else '' end alternatives, p_partkey % 2 = 0 shows_options {P}")
+def m11_confidence(spark, sf):
+    """Every seventh response names no number, every tenth row has no response: both are taken for 0.5 and don't pass."""
+    response = """concat('{"is_correct": ', if(p_partkey % 3 > 0, 'true', '"no"'), ', "confidence": ', if(p_partkey % 7 = 0, '"high"', cast((p_partkey % 8) / 8e0 as string)), if(p_partkey % 2 = 0, ', "alternative_options": ["B", "C"]', ''), '}')"""
+    rows = replayed(answered(spark, sf), "p_partkey", "confidence", "p_partkey", response, question="question", options="options", answer="answer")
+    shown = F.contains("prompt", F.concat(F.lit("\nA: "), "p_name", F.lit("\nB: "), "p_type"))
+    return rows.select("p_partkey", "is_correct", "confidence", "passed", F.array_join("alternative_options", ",").alias("alternatives"), shown.alias("shows_options"))
+
+
+@query(f"select p_partkey, p_partkey % 10 > 0 and p_partkey % 3 > 0 is_valid, case when p_partkey % 10 > 0 then 'seen ' || p_partkey else '' end validation_reason, case when p_partkey % 10 = 0 then 0 when p_partkey % 3 = 0 then 2 when p_partkey % 3 = 1 then 1 else 0 end issues, p_partkey % 2 = 0 names_option {P}")
+def m11_validation(spark, sf):
+    """Issues as a list, as one text, and as null; an answer of an option is named with its text, whatever the letter's case."""
+    response = """concat('Result: {"is_valid": ', if(p_partkey % 3 > 0, 'true', 'false'), ', "validation_reason": "seen ', p_partkey, '", "issues": ', case p_partkey % 3 when 0 then '["a", "b"]' when 1 then '"one"' else 'null' end, '}')"""
+    rows = replayed(answered(spark, sf), "p_partkey", "validation", "p_partkey", response, question="question", options="options", answer="answer")
+    named = F.contains("prompt", F.concat(F.lit("Answer: "), "answer", F.lit(" ("), F.when(F.col("answer") == "A", F.col("p_name")).otherwise(F.col("p_type")), F.lit(")")))
+    return rows.select("p_partkey", "is_valid", "validation_reason", F.size("issues").alias("issues"), named.alias("names_option"))
+
+
+@query(f"""with n as (select p_partkey, p_size, {OLD} old, case p_partkey % 5 when 0 then 'A' when 1 then 'B' when 2 then 'Z' when 3 then '' else {OLD} end new {P})
+  select p_partkey, case when p_partkey % 10 = 0 then '' when p_partkey % 3 = 0 then 'KEEP' else 'CHANGE' end action, case when p_partkey % 10 > 0 and p_partkey % 3 > 0 and new <> '' and new <> old and (p_partkey % 2 = 1 or new in ('A', 'B')) then new else old end answer from n""")
+def m11_repair(spark, sf):
+    """A new answer counts if it differs, and is an option where there are some; without a response the answer stays."""
+    response = f"""concat('{{"action": "', if(p_partkey % 3 = 0, 'keep', 'Change'), '", "new_answer": ', case p_partkey % 5 when 0 then '"A"' when 1 then '" B "' when 2 then '"Z"' when 3 then 'null' else concat('"', answer, '"') end, ', "reason": "x"}}')"""
+    rows = replayed(answered(spark, sf), "p_partkey", "repair", "p_partkey", response, question="question", options="options", answer="answer")
+    return rows.select("p_partkey", "action", Q.repair_verdict(F.col("action"), F.col("new_answer"), F.col("answer"), F.col("options")).alias("answer"))
+
+
+@query(f"select p_partkey, case when p_partkey % 10 > 0 then (p_partkey % 8) / 8e0 else 0.5e0 end clarity_score, p_partkey % 10 > 0 and p_partkey % 3 > 0 and (p_partkey % 8) / 8e0 >= 0.7 passed, case when p_partkey % 10 = 0 then 'unknown' when p_partkey % 2 = 0 then 'high' else 'medium' end ambiguity_level {P}")
+def m11_clarity(spark, sf):
+    response = """concat('{"clarity_score": ', (p_partkey % 8) / 8e0, if(p_partkey % 2 = 0, ', "ambiguity_level": "high"', ''), ', "is_clear": ', if(p_partkey % 3 > 0, '"yes"', 'false'), '}')"""
+    rows = replayed(answered(spark, sf), "p_partkey", "clarity", "p_partkey", response, question="question", answer="answer", question_type=F.when(F.size("options") > 0, "multiple_choice").otherwise("fill_in_blank"))
+    return rows.select("p_partkey", "clarity_score", "passed", "ambiguity_level")
+
+
 @query(f"select p_partkey, p_partkey % 10 > 0 and p_partkey % 3 > 0 passed, case when p_partkey % 10 > 0 then (p_partkey % 8) / 8e0 else 0.5e0 end confidence, case when p_partkey % 10 > 0 then 'seen ' || p_partkey else 'no reason given' end reason, case when p_partkey % 10 > 0 then p_size + 0.5e0 else 0e0 end total_score {P}")
 def m12_image_filter(spark, sf):
     response = """concat('{"passed": ', if(p_partkey % 3 > 0, 'true', 'false'), ', "confidence": ', (p_partkey % 8) / 8e0, ', "basic_score": ', p_size, ', "bonus_score": 0.5, "reason": "seen ', p_partkey, '"}')"""

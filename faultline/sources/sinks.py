@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import safe_name
 from faultline.sources.files import write_files
+from faultline.sources.json_arrays import write_arrays
 
 
 def results(rows: DataFrame, summary: DataFrame, path: str) -> None:
@@ -21,9 +22,12 @@ def csv(rows: DataFrame, path: str) -> None:
     rows.select(*[F.to_json(c).alias(c) if rows.schema[c].dataType.typeName() in nested else F.col(c) for c in rows.columns]).write.option("header", True).csv(path)
 
 
-def records(rows: DataFrame, path: str) -> None:
-    """JSON lines; memory is that of one batch."""
-    rows.write.json(path)
+def records(rows: DataFrame, path: str, form: str = "lines") -> None:
+    """JSON lines, or files that are JSON arrays; memory is that of one batch."""
+    if form == "array":
+        write_arrays(rows, path)
+    else:
+        rows.write.json(path)
 
 
 def by_pipeline(rows: DataFrame, path: str) -> None:

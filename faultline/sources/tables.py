@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions.media import decode_base64
 from faultline.functions.seeded import u
 from faultline.functions.text import clean_text
+from faultline.sources.json_arrays import read_array
 from faultline.sources.shared import materialize
 
 RESULT = (
@@ -18,6 +19,10 @@ RESULT = (
 )
 
 
+#: Folders of images that one scan of conversations looks into; a folder may have any number of files.
+MOST_FOLDERS = 10_000
+
+
 def _files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a pattern, by Hadoop, so any store will do; sorted."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -25,6 +30,14 @@ def _files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found or [])
 
 
+def _small_text(spark: SparkSession, path: str, most: int = 64 << 20) -> str:
+    """A file that the driver parses, of ``most`` bytes at most."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{path} has {size} bytes; a configuration or manifest has {most} at most")
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """All parquet files of a folder, with file name and row number; an error if there are none."""
     if not _files(spark, f"{folder}/*.parquet"):
@@ -66,11 +79,14 @@ def sample_files(spark: SparkSession, folder: str, k: int, seed: int = 0) -> Dat
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, a JSON array, or {"data": [...]}, told apart by the file's head; blank lines don't count.
+    """JSON lines, a JSON array (in splits), or {"data": [...]}, told apart by the file's head; blank lines don't count.
 
     A head that is a whole object with a list under "data" is the third form, any other whole object is JSON lines.
     """
     wrapped = f"data array<struct<{_fields(schema)}>>"
+    piece = spark.read.option("lineSep", "}").text(path).where(F.trim("value") != "").limit(1).collect()  # a line may be the whole file
+    if piece and piece[0].value.lstrip("\ufeff \t\r\n").startswith("[") and not path.endswith(".jsonl"):
+        return read_array(spark, path, schema)
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     first = head[0].value.strip() if head else "{}"
     try:
@@ -80,8 +96,6 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = isinstance(form, dict)
     if path.endswith(".jsonl") or (lines and not isinstance(form.get("data"), list)):
         return spark.read.schema(schema).json(path)
-    if first.startswith("["):
-        return spark.read.schema(schema).option("multiLine", True).json(path)
     return spark.read.schema(wrapped).option("multiLine", not lines).json(path).select(F.explode("data").alias("d")).select("d.*")
 
 
@@ -129,19 +143,33 @@ def read_qa_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def read_manifest(spark: SparkSession, manifest: str, schema: str) -> DataFrame:
     """The files that a manifest lists, relative to it; files that are missing are left out."""
     folder = manifest.rsplit("/", 1)[0]
-    listed = json.loads("\n".join(r.value for r in spark.read.text(manifest, wholetext=True).collect()))["files"]
+    listed = json.loads(_small_text(spark, manifest))["files"]
     there = [f"{folder}/{f}" for f in listed if _files(spark, f"{folder}/{f}")]
     return spark.read.schema(schema).option("multiLine", True).json(there)
 
 
 def read_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation files with the image that they name, else the one beside them."""
-    rows = spark.read.schema("image_url string, conversations array<struct<from:string,value:string>>").option("multiLine", True).json(f"{folder}/*.json")
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
-    rows = rows.withColumn("image_file", F.coalesce(F.nullif("image_url", F.lit("")), F.regexp_replace("file", r"\.json$", ".jpg")))
-    images = spark.read.format("binaryFile").load(f"{folder}/*.jpg").select("path", "content")
+    """Conversation files with the image that they name, wherever it is, else the one of the same name beside them.
+
+    A file is an object with ``conversations``, or the list of turns itself. A relative name is looked for in the folder.
+    A row whose image isn't there has no content, and ``error`` says so; nothing else of it is lost.
+    """
+    turn = "struct<from:string,value:string>"
+    files = spark.read.text(f"{folder}/*.json", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    bare = F.ltrim("value").startswith("[")
+    found = F.from_json("value", f"image_url string, conversations array<{turn}>")
+    rows = files.withColumn("r", found).select("file", "r.image_url", F.when(bare, F.from_json("value", f"array<{turn}>")).otherwise(F.col("r.conversations")).alias("conversations"))
+    named = F.nullif(F.trim("image_url"), F.lit(""))
+    there = F.when(named.rlike("^([a-z0-9]+:)?/"), named).otherwise(F.concat(F.regexp_replace("file", "[^/]*$", ""), named))
+    rows = rows.withColumn("image_file", F.coalesce(there, F.regexp_replace("file", r"\.json$", ".jpg")))
     plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    return rows.join(images, plain(F.col("image_file")) == plain(F.col("path")), "left").drop("path")
+    wanted = rows.select(F.regexp_replace("image_file", "[^/]*$", "").alias("f")).distinct().limit(MOST_FOLDERS + 1).collect()
+    if len(wanted) > MOST_FOLDERS:
+        raise ValueError(f"images lie in more than {MOST_FOLDERS} folders")
+    folders = [f for f in sorted({folder.rstrip("/") + "/", *(r.f for r in wanted)}) if _files(spark, f)]
+    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,webp,bmp,gif,JPG,JPEG,PNG}").load(folders).select("path", "content").dropDuplicates(["path"])
+    joined = rows.join(images, plain(F.col("image_file")) == plain(F.col("path")), "left").drop("path")
+    return joined.withColumn("error", F.when(F.col("content").isNull(), F.concat(F.lit("no image "), "image_file")))
 
 
 def folder_to_table(spark: SparkSession, folder: str, path: str, extensions: str = "{jpg,jpeg,png,webp}") -> None:
@@ -150,8 +178,8 @@ def folder_to_table(spark: SparkSession, folder: str, path: str, extensions: str
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
-    """The first list of a claim configuration that is not empty."""
-    config = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    """The first list of a claim configuration that is not empty. A configuration is small; a large file is refused."""
+    config = json.loads(_small_text(spark, path))
     for names in (("claim_schemas",), ("global_templates",), ("templates",), ("global_claims", "claims")):
         if rows := [r if isinstance(r, dict) else {"claim_text": r} for n in names for r in config.get(n) or []]:
             break

@@ -1,11 +1,13 @@
 """Incremental intake on Structured Streaming.
 
 The source has no event time, so there is no watermark; queries run with ``availableNow``, and what grows with the
-number of references seen is bounded by a run, or held in a table and anti-joined.
+number of references seen is held in a table in buckets, to which each batch is anti-joined.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -19,9 +21,43 @@ def read_files(spark: SparkSession, folder: str, schema: str, k: int, kind: str
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", k).format(kind).load(folder)
 
 
-def once_each(stream: DataFrame, key: str = "image_ref") -> DataFrame:
-    """X2."""
-    return stream.dropDuplicates([key])
+class Seen:
+    """References seen so far, over all runs: a table in buckets of the reference, so a batch is compared without moving it.
+
+    A batch's references stand under its number. Those of a batch are compared with the batches before it only, so a batch
+    that runs again, after a crash or a lost commit, gives the same rows and adds nothing twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "image_ref", kind: str = "string", buckets: int = 64) -> None:
+        self.key, self.name = key, f"seen_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+        spark.sql(f"create table if not exists {self.name} (ref {kind}, batch long) using parquet clustered by (ref) into {buckets} buckets location '{path}'")
+
+    def before(self, spark: SparkSession, number: int) -> DataFrame:
+        spark.catalog.refreshTable(self.name)
+        return spark.table(self.name).where(F.col("batch") < number)
+
+    def fresh(self, batch: DataFrame, number: int) -> DataFrame:
+        """One row for each reference of a batch that no earlier batch had; rows without a reference go."""
+        rows = batch.where(F.col(self.key).isNotNull()).dropDuplicates([self.key])
+        old = self.before(batch.sparkSession, number).select(F.col("ref").alias(self.key))
+        return rows.join(old, self.key, "left_anti")
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """The references of a batch, once; rows are those that ``fresh`` gave, as written."""
+        spark = rows.sparkSession
+        if self.before(spark, number + 1).where(F.col("batch") == number).isEmpty():
+            rows.select(F.col(self.key).alias("ref"), F.lit(number).cast("long").alias("batch")).write.insertInto(self.name)
+
+
+def once_each(stream: DataFrame, path: str, checkpoint: str, seen: Seen) -> None:
+    """Each reference once in ``path``/batch=n, over all runs with this checkpoint. The stream itself keeps no state."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        out = f"{path}/batch={number}"
+        seen.fresh(batch, number).write.mode("overwrite").parquet(out)
+        seen.add(batch.sparkSession.read.schema(batch.schema).parquet(out), number)
+
+    run(stream, sink, checkpoint)
 
 
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -14,7 +14,7 @@ from faultline.operators import modelcall as L
 from faultline.operators import profile as P
 from faultline.operators import qa as Q
 from faultline.operators import sampling as S
-from faultline.sources import sinks, tables, tar
+from faultline.sources import json_arrays, sinks, tables, tar
 from faultline.streaming import intake
 
 
@@ -251,13 +251,109 @@ def test_stream_outputs_and_progress(spark, tmp_path):
     spark.range(20).repartition(2).write.parquet(str(tmp_path / "in"))
     seen = intake.Progress()
     spark.streams.addListener(seen)
-    stream = intake.once_each(intake.read_files(spark, str(tmp_path / "in"), "id long", 1), "id")
+    stream = intake.read_files(spark, str(tmp_path / "in"), "id long", 1)
     intake.run(stream, intake.write_both(str(tmp_path / "out"), F.col("id") < 5), str(tmp_path / "state"))
     spark.streams.removeListener(seen)
     assert spark.read.schema("id long").parquet(str(tmp_path / "out/failures/batch=*")).count() == 5
     assert spark.read.schema("id long").parquet(str(tmp_path / "out/rest/batch=*")).count() == 15
 
 
+def test_each_reference_once_over_restarts_and_replays(spark, tmp_path):
+    def put(name, ids):
+        spark.createDataFrame([(i,) for i in ids], "image_ref string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    out, state, table = str(tmp_path / "out"), str(tmp_path / "state"), f"file://{tmp_path}/seen"
+    read = lambda: sorted(r.image_ref for r in spark.read.schema("image_ref string").parquet(f"{out}/batch=*").collect())
+    stream = lambda: intake.read_files(spark, str(tmp_path / "in"), "image_ref string", 1)
+    put("a", ["x", "y", "x", None])
+    intake.once_each(stream(), out, state, intake.Seen(spark, table, buckets=4))
+    put("b", ["y", "z"])
+    intake.once_each(stream(), out, state, intake.Seen(spark, table, buckets=4))
+    assert read() == ["x", "y", "z"]
+
+    class Broken(intake.Seen):
+        def add(self, rows, number):
+            super().add(rows, number)
+            raise RuntimeError("lost before the commit")
+
+    put("c", ["z", "w", "x"])
+    with pytest.raises(Exception, match="lost before the commit"):
+        intake.once_each(stream(), out, state, Broken(spark, table, buckets=4))
+    seen = intake.Seen(spark, table, buckets=4)
+    spark.sql(f"drop table {seen.name}")  # as a new session, which knows the folder alone
+    query = intake.once_each(stream(), out, state, intake.Seen(spark, table, buckets=4))
+    assert read() == ["w", "x", "y", "z"] and query is None
+    seen = intake.Seen(spark, table, buckets=4)
+    assert sorted((r.ref, r.batch) for r in spark.table(seen.name).collect()) == [("w", 2), ("x", 0), ("y", 0), ("z", 1)]
+    assert "dedup" not in "".join(os.listdir(state)) and not os.path.exists(f"{state}/state")  # no state of the stream
+
+
+@pytest.mark.parametrize("size", [64, 300, 1 << 20])
+def test_json_arrays_are_read_in_ranges(spark, tmp_path, size):
+    rows = [{"id": i, "t": 'a"}{[\\' * (i % 5) + "é日" + "x" * (200 if i % 17 == 0 else i % 9), "n": {"d": [{"e": [i]}, {}]}} for i in range(150)]
+    (tmp_path / "one.json").write_text(json.dumps(rows, ensure_ascii=False))
+    (tmp_path / "two.json").write_text("\ufeff \n" + json.dumps(rows[:3], indent=1))
+    (tmp_path / "none.json").write_text("[ ]\n")
+    (tmp_path / "blank.json").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, str(size))
+    try:
+        found = tables.read_records(spark, str(tmp_path), "id long, t string, n struct<d:array<struct<e:array<long>>>>").collect()
+        assert size > 64 or json_arrays.pieces(spark, str(tmp_path / "one.json")).select("start").distinct().count() > 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted((r.id, r.t, tuple(tuple(d.e or ()) for d in r.n.d)) for r in found)
+    assert got == sorted((r["id"], r["t"], ((r["id"],), ())) for r in [*rows, *rows[:3]])
+    sinks.records(spark.createDataFrame([(1, "a"), (2, None)], "id long, t string").repartition(3), str(tmp_path / "out"), "array")
+    files = [json.loads(f.read_text()) for f in (tmp_path / "out").glob("part-*")]
+    assert sorted((r["id"], r.get("t")) for f in files for r in f) == [(1, "a"), (2, None)]
+
+
+def test_ledger_calls_for_what_is_left(spark, tmp_path):
+    log, ledger = str(tmp_path / "log"), str(tmp_path / "ledger")
+    os.makedirs(log)
+    table = spark.createDataFrame([(f"k{i}", f"p{i}") for i in range(60)], "request_key string, prompt string")
+
+    def caller(broken):
+        def call(prompts):
+            if broken and os.path.exists(f"{log}/many") and "p5" not in prompts:
+                raise SystemExit("the executor is lost")
+            for p in prompts:
+                with open(f"{log}/{p}", "a") as f:
+                    f.write("x")
+            if len(os.listdir(log)) > 30:
+                open(f"{log}/many", "w").close()
+            if "p7" in prompts:
+                raise ValueError("p7 is refused")
+            return [p.upper() for p in prompts]
+
+        return call
+
+    with pytest.raises(Exception):
+        L.call_into(table, caller(True), ledger, batch=4, unit=10)
+    done = {r.request_key for r in L.ledger_responses(spark, ledger).where("error is null").collect()}
+    before = {p: os.path.getsize(f"{log}/{p}") for p in os.listdir(log)}
+    assert 0 < len(done) < 59
+    found = {r.request_key: r for r in L.call_into(table, caller(False), ledger, batch=4, unit=10).collect()}
+    assert len(found) == 60 and found["k7"].error == "p7 is refused" and all(found[f"k{i}"].response == f"P{i}" for i in range(60) if i != 7)
+    for key in done:  # no finished call is made again
+        assert os.path.getsize(f"{log}/p{key[1:]}") == before[f"p{key[1:]}"]
+    out = L.model_call(table.where("prompt <> 'p7'"), caller(True), ledger=ledger)  # nothing is left to call for
+    assert out.where("response is null").count() == 0 and out.count() == 59
+
+
+def test_one_bad_row_of_a_batch_fails_alone(spark):
+    def caller(prompts):
+        if "bad" in prompts:
+            raise ValueError("no")
+        return prompts
+
+    table = spark.createDataFrame([(str(i), "bad" if i == 3 else f"p{i}") for i in range(8)], "request_key string, prompt string").coalesce(1)
+    assert [r.request_key for r in L.model_call(table, caller).where("error is not null").collect()] == ["3"]
+
+
 def test_more_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", True, "x", ["f"], "s"), ("b", False, None, ["g", "f"], "s")], "image_id string, skipped boolean, skip_reason string, filter_factor_texts array<string>, stage string")
     sinks.results(rows, rows.agg(F.count("*").alias("n")), str(tmp_path / "r"))
