@@ -43,6 +43,9 @@ def one_object(rows, spark, label) -> str:
     return path
 
 
+TAR_KEYS = "with p as (select * from part where p_partkey % 7 = 0), t as (select format('s{:08d}', p_partkey) \"key\", k || '_image' \"name\", strlen(p_name) + 1 size from p, range(3) r(k) where k <= p_partkey % 3 union all select format('s{:08d}', p_partkey), 'json', strlen('{\"p_partkey\":' || p_partkey || ',\"p_type\":\"' || p_type || '\"}') from p)"
+
+
 # --- parquet tables
 
 
@@ -128,6 +131,33 @@ def s10_s12_u1_read_rank_results(spark, sf):
     return rows.select("image_id", "total_claims", F.lit(0).cast("long").alias("bad")).unionByName(lost)
 
 
+@query("select 's' || s_suppkey image_id, s_nationkey + case when s_suppkey % 10 = 1 then 100 else 0 end total_claims from supplier where s_suppkey % 5 > 0 or s_suppkey % 2 = 0")
+def s10_s12_scan_ledger(spark, sf):
+    """Scanned twice: in between every tenth file is written anew, and half of the broken ones are mended."""
+    path, store = rank_files(spark, sf), new_path(spark, "scans")
+    S.scan_rank_results(spark, path, store)
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    where = F.concat(F.lit("rank_"), (k % 4).cast("string"), F.lit("/failures/"), F.lit("s"), k.cast("string"), F.lit("_result.json"))
+    body = F.to_json(F.struct(F.concat(F.lit("s"), k.cast("string")).alias("image_id"), (F.col("s_nationkey") + F.when(k % 10 == 1, 100).otherwise(0)).cast("long").alias("total_claims")))
+    again = s.where((k % 10 == 1) | ((k % 5 == 0) & (k % 2 == 0)))
+    files.write_files(again.select(where.alias("name"), F.encode(F.concat(body, F.lit("   ")), "UTF-8").alias("data")), path)
+    rows, bad = S.scan_rank_results(spark, path, store)
+    return rows.select("image_id", "total_claims")
+
+
+@query(f"{TAR_KEYS} select * from t")
+def s19_tar_keys(spark, sf):
+    """Every seventh sample by its key, from shards that lost their index and got another."""
+    path = shards(spark, sf)
+    for x in files.listed(path, ".idx")[::2]:
+        store, at = files.store_of(path)
+        store.delete_file(f"{at}/{x}")
+    tar.index_shards(spark, path)
+    keys = table(spark, sf, "part").where("p_partkey % 7 = 0").select(F.format_string("s%08d", "p_partkey").alias("key"))
+    split = spark.read.format("tar_samples").option("path", path).option("splitsize", "5000").load()
+    return split.join(keys, "key", "left_semi").select("key", "name", F.octet_length("data").cast("long").alias("size"))
+
+
 @query("select 's' || s_suppkey image_id, case when s_suppkey % 2 = 0 then 'jpg' else 'png' end kind from supplier where s_suppkey % 5 > 0 and (s_suppkey % 2 = 0 or s_suppkey % 3 = 0)")
 def s11_j10_sidecar_images(spark, sf):
     path = rank_files(spark, sf)

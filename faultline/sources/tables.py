@@ -112,14 +112,55 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return wrapped.unionByName(plain.where("image_id is not null"))
 
 
+def _rank_pattern(spark: SparkSession, root: str) -> str:
+    pattern = f"{root}/rank*/failures/*.json"
+    return pattern if _files(spark, pattern) else f"{root}/failures/*.json"
+
+
+def _parsed_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    rows = spark.read.schema(RESULT + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
+
+
 def read_rank_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Results of all rank folders (else of the root's failures), and the files that can't be read."""
-    pattern = f"{root}/rank*/failures/*.json"
+    rows = materialize(_parsed_results(spark, _rank_pattern(spark, root)), "results")  # parsed once for both parts
+    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("file")
+
+
+SCANNED = "file string, size long, modified timestamp, bad boolean, scan long"
+
+
+def scan_rank_results(spark: SparkSession, root: str, store: str) -> tuple[DataFrame, DataFrame]:
+    """As read_rank_results, but a file is opened once: ``store`` keeps what was read, and of which files.
+
+    A ledger has file, size, time and outcome of each scan; files that it has as they are now aren't opened again. Rows of a
+    scan are written before its part of the ledger, so a scan that breaks off is done anew. Files that have gone, or that
+    have changed, count as they are now. Names of files pass through the driver, as they do in Spark's own listing.
+    """
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "file:///")
+    for part, kind in (("files", SCANNED), ("rows", f"{RESULT}, file string, scan long")):
+        spark.createDataFrame([], kind).write.mode("append").parquet(f"{store}/{part}/scan=-1")
+    ledger = spark.read.schema(SCANNED).parquet(f"{store}/files/scan=*")
+    pattern = _rank_pattern(spark, root)
     if not _files(spark, pattern):
-        pattern = f"{root}/failures/*.json"
-    rows = spark.read.schema(RESULT + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
-    rows = materialize(rows.withColumn("file", F.col("_metadata.file_path")), "results")  # parsed once for both parts
-    return rows.where("_corrupt_record is null").drop("_corrupt_record").orderBy("file"), rows.where("_corrupt_record is not null").select("file")
+        return spark.createDataFrame([], f"{RESULT}, file string"), spark.createDataFrame([], "file string")
+    now = spark.read.format("binaryFile").load(pattern).select(plain(F.col("path")).alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))  # contents aren't read
+    now = materialize(now, "listing")
+    fresh = materialize(now.join(ledger.select("file", "size", "modified"), ["file", "size", "modified"], "left_anti"), "fresh")
+    number = (ledger.agg(F.max("scan")).first()[0] or 0) + 1
+    paths = [r.file for r in fresh.select("file").collect()]
+    if paths:
+        rows = materialize(_parsed_results(spark, paths).withColumn("file", plain(F.col("file"))).withColumn("scan", F.lit(number).cast("long")), "results")
+        rows.where("_corrupt_record is null").drop("_corrupt_record").write.mode("overwrite").parquet(f"{store}/rows/scan={number}")
+        bad = rows.groupBy("file").agg(F.bool_or(F.col("_corrupt_record").isNotNull()).alias("bad"))
+        entry = fresh.join(bad, "file", "left").select("file", "size", "modified", F.coalesce("bad", F.lit(False)).alias("bad"), F.lit(number).cast("long").alias("scan"))
+        entry.write.mode("overwrite").parquet(f"{store}/files/scan={number}")
+        ledger = spark.read.schema(SCANNED).parquet(f"{store}/files/scan=*")
+    last = now.join(ledger, ["file", "size", "modified"]).groupBy("file").agg(F.max_by("bad", "scan").alias("bad"), F.max("scan").alias("scan"))
+    last = materialize(last, "ledger")
+    rows = spark.read.schema(f"{RESULT}, file string, scan long").parquet(f"{store}/rows/scan=*")
+    return rows.join(last.select("file", "scan"), ["file", "scan"]).drop("scan"), last.where("bad").select("file")
 
 
 def with_sidecar(results: DataFrame, root: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "webp")) -> DataFrame:

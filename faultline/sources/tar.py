@@ -1,6 +1,10 @@
 """Tar shards of samples as a data source of Spark.
 
-Reading: one partition for each tar file, streamed; rows are (shard, key, name, size, data). Writing: rows (key, media
+Beside a shard stands its index: key, name, place and size of each member, made at writing or by ``index_shards``. Reading:
+rows are (shard, key, name, size, data). A shard with an index is read in splits of ``splitsize`` bytes, each of whole
+samples; with option ``keys`` (joined by commas) only the members of those keys are fetched; with option ``headers`` data is
+null and nothing but the index is read. A shard without one is streamed as one partition, or for headers read by seeking
+from header to header. Writing: rows (key, media
 array<binary>, json string); each task writes its own shards under passing names, and a shard is closed at ``maxcount``
 samples or ``maxsize`` bytes. Shards get their names, ``subtaskdata-%d.tar``, when the whole job commits: a task that
 runs again, or a job that fails, leaves no shard. Appending numbers on; overwriting removes the shards that were there.
@@ -9,6 +13,7 @@ runs again, or a job that fails, leaves no shard. Appending numbers on; overwrit
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import tarfile
@@ -16,10 +21,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from faultline.sources.files import listed, store_of
+from faultline.sources.files import listed, put, store_of
 
 
 class TarSamples(DataSource):
@@ -37,24 +44,97 @@ class TarSamples(DataSource):
         return TarWriter(self.options, overwrite)
 
 
+INDEX = ".idx"
+
+
+def members(tar: tarfile.TarFile) -> Iterator[tuple[str, str, int, int]]:
+    """key, name, place and size of each member."""
+    for member in tar:
+        key, _, name = os.path.basename(member.name).partition(".")
+        yield key, name, member.offset_data, member.size
+
+
+def index_text(shard_size: int, rows: list[tuple[str, str, int, int]]) -> bytes:
+    return "\n".join([json.dumps(shard_size), *map(json.dumps, rows)]).encode()
+
+
+def read_index(store: fs.FileSystem, shard: str) -> list[list] | None:
+    """The index of a shard; none if there is none, or if it was made of a file of another size."""
+    size, index = store.get_file_info([shard, shard + INDEX])
+    if not index.is_file:
+        return None
+    with store.open_input_stream(shard + INDEX) as source:
+        head, *rows = source.read().decode().split("\n")
+    return [json.loads(r) for r in rows] if json.loads(head) == size.size else None
+
+
+@dataclass
+class Split(InputPartition):
+    name: str
+    low: int
+    high: int
+
+
 class TarReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.folder, self.most = options["path"], int(options.get("samples", 0))
+        self.folder, self.most, self.split = options["path"], int(options.get("samples", 0)), int(options.get("splitsize", 128 << 20))
+        self.keys = set(filter(None, options.get("keys", "").split(",")))
+        self.headers = str(options.get("headers", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(name) for name in listed(self.folder, ".tar")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
         store, path = store_of(self.folder)
-        keys: list[str] = []
-        with store.open_input_stream(f"{path}/{partition.value}") as source, tarfile.open(fileobj=source, mode="r|") as tar:
+        names, indexed = listed(self.folder, ".tar"), set(listed(self.folder, INDEX))
+        sizes = [x.size for x in store.get_file_info([f"{path}/{n}" for n in names])] if names else []
+        out = []
+        for name, size in zip(names, sizes, strict=True):
+            step = self.split if name + INDEX in indexed and not (self.keys or self.most or self.headers) else size + 1
+            out += [Split(name, low, low + step) for low in range(0, size + 1, step)]
+        return out
+
+    def read(self, partition: Split) -> Iterator[tuple]:
+        store, path = store_of(self.folder)
+        shard = f"{path}/{partition.name}"
+        index = read_index(store, shard)
+        if index is None and partition.low:  # the index has gone: the first split reads all
+            return
+        if index is None and self.headers:
+            with store.open_input_file(shard) as source, tarfile.open(fileobj=source, mode="r:") as tar:
+                index = list(members(tar))
+        if index is None:
+            yield from self.chosen(partition.name, self.streamed(store, shard))
+            return
+        begins: dict[str, int] = {}
+        for key, _, at, _ in index:
+            begins.setdefault(key, at)
+        mine = [x for x in index if partition.low <= begins[x[0]] < partition.high]  # a sample lies where it begins
+        with store.open_input_file(shard) as source:
+
+            def fetched() -> Iterator[tuple]:
+                for key, name, at, size in mine:
+                    if self.headers or (self.keys and key not in self.keys):
+                        yield key, name, size, lambda: None
+                    else:
+                        yield key, name, size, lambda at=at, size=size: source.read_at(size, at)
+
+            yield from self.chosen(partition.name, fetched())
+
+    def streamed(self, store: fs.FileSystem, shard: str) -> Iterator[tuple]:
+        with store.open_input_stream(shard) as source, tarfile.open(fileobj=source, mode="r|") as tar:
             for member in tar:
                 key, _, name = os.path.basename(member.name).partition(".")
-                if key not in keys[-1:]:
-                    keys.append(key)
-                    if self.most and len(keys) > self.most:
-                        return
-                yield partition.value, key, name, member.size, tar.extractfile(member).read()
+                yield key, name, member.size, lambda member=member: tar.extractfile(member).read()
+
+    def chosen(self, shard: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """Rows of the keys asked for, of the first samples if so many are asked for; data is read for these only."""
+        keys: list[str] = []
+        for key, name, size, data in rows:
+            if self.keys and key not in self.keys:
+                continue
+            if key not in keys[-1:]:
+                keys.append(key)
+                if self.most and len(keys) > self.most:
+                    return
+            yield shard, key, name, size, None if self.headers else data()
 
 
 @dataclass
@@ -71,16 +151,22 @@ class TarWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Shards:
         store, path = store_of(self.folder)
         store.create_dir(f"{path}/{self.passing}", recursive=True)
-        out, tar, names, count, size = None, None, [], 0, 0
+        out, tar, names, count, size, index = None, None, [], 0, 0, []
 
         def close() -> None:
             tar.close()
+            whole = out.tell()
             out.close()
+            with store.open_output_stream(f"{path}/{names[-1]}{INDEX}") as side:
+                side.write(index_text(whole, index))
+            index.clear()
 
         def add(name: str, data: bytes) -> None:
             info = tarfile.TarInfo(name)
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
+            key, _, rest = name.partition(".")
+            index.append((key, rest, tar.offset - -(-len(data) // tarfile.BLOCKSIZE) * tarfile.BLOCKSIZE, len(data)))
 
         for row in rows:
             media = [bytes(m) for m in row.media or []]
@@ -105,12 +191,16 @@ class TarWriter(DataSourceWriter):
         store, path = store_of(self.folder)
         there = [x for x in listed(self.folder, ".tar") if re.fullmatch(r"subtaskdata-\d+\.tar", x)]
         if self.overwrite:
+            indexed = set(listed(self.folder, INDEX))
             for x in there:
                 store.delete_file(f"{path}/{x}")
+                if x + INDEX in indexed:
+                    store.delete_file(f"{path}/{x}{INDEX}")
             there = []
         number = max([int(re.findall(r"\d+", x)[0]) for x in there], default=-1) + 1
         for message in sorted((m for m in messages if m), key=lambda m: m.task):
             for name in message.names:
+                store.move(f"{path}/{name}{INDEX}", f"{path}/subtaskdata-{number}.tar{INDEX}")
                 store.move(f"{path}/{name}", f"{path}/subtaskdata-{number}.tar")
                 number += 1
         self.abort(messages)
@@ -121,5 +211,28 @@ class TarWriter(DataSourceWriter):
         store.delete_dir(f"{path}/{self.passing}")
 
 
+def index_shards(spark, folder: str) -> int:
+    """Indexes the shards of a folder that have no index, or that of another file; the number of them. Tasks read headers only."""
+    names = listed(folder, ".tar")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = store_of(folder)
+        for frame in frames:
+            made = 0
+            for name in frame["name"]:
+                shard = f"{path}/{name}"
+                if read_index(store, shard) is None:
+                    with store.open_input_file(shard) as source, tarfile.open(fileobj=source, mode="r:") as tar:
+                        text = index_text(source.size(), list(members(tar)))
+                    put(store, shard + INDEX, text)
+                    made += 1
+            yield pd.DataFrame({"n": [made]})
+
+    if not names:
+        return 0
+    rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), 1000))
+    return rows.mapInPandas(work, "n long").groupBy().sum("n").first()[0] or 0
+
+
 def register(spark) -> None:
     spark.dataSource.register(TarSamples)

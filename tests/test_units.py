@@ -127,7 +127,7 @@ def test_tar_round_trip(spark, tmp_path):
     tar.register(spark)
     rows = spark.range(300).repartition(1).select(F.format_string("s%04d", "id").alias("key"), F.array(F.encode(F.col("id").cast("string"), "UTF-8")).alias("media"), F.concat(F.lit('{"id": '), "id", F.lit("}")).alias("json"))
     rows.write.format("tar_samples").option("path", str(tmp_path)).option("maxcount", "128").mode("append").save()
-    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")) == [f"subtaskdata-{k}.tar" for k in range(3)]
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.endswith((".crc", ".idx"))) == [f"subtaskdata-{k}.tar" for k in range(3)]
     back = spark.read.format("tar_samples").option("path", str(tmp_path)).load()
     assert back.where("name = 'json'").count() == 300
     rows.limit(5).write.format("tar_samples").option("path", str(tmp_path)).mode("append").save()
@@ -311,6 +311,71 @@ def test_json_arrays_are_read_in_ranges(spark, tmp_path, size):
     assert sorted((r["id"], r.get("t")) for f in files for r in f) == [(1, "a"), (2, None)]
 
 
+def test_tar_index_opens_one_range(spark, tmp_path, monkeypatch):
+    tar.register(spark)
+    path = str(tmp_path / "t")
+    rows = [(f"k{i}", [bytearray(b"%d" % i * 300), bytearray(b"")], json.dumps({"i": i, "ü" * (i % 150): 1})) for i in range(40)]
+    spark.createDataFrame(rows, "key string, media array<binary>, json string").coalesce(1).write.format("tar_samples").option("path", path).option("maxcount", "25").mode("append").save()
+    assert sorted(x.name for x in (tmp_path / "t").iterdir()) == ["subtaskdata-0.tar", "subtaskdata-0.tar.idx", "subtaskdata-1.tar", "subtaskdata-1.tar.idx"]
+    want = sorted((k, n, d) for k, media, text in rows for n, d in (("0_image", bytes(media[0])), ("1_image", b""), ("json", text.encode())))
+    got = lambda **o: sorted((r.key, r["name"], bytes(r.data)) for r in spark.read.format("tar_samples").options(path=path, **o).load().collect())
+    assert got() == got(splitsize="3000") == want
+    assert len(tar.TarReader({"path": path, "splitsize": "3000"}).partitions()) > 10
+    assert got(keys="k7,k30") == [x for x in want if x[0] in ("k7", "k30")]
+    reads, opened = [], tar.store_of
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def open_input_file(self, name):
+            source = self.inner.open_input_file(name)
+            if name.endswith(".tar"):
+                one = source.read_at
+                return type("Source", (), {"read_at": lambda _, n, at: (reads.append(n), one(n, at))[1], "__enter__": lambda me: me, "__exit__": lambda *a: source.close()})()
+            return source
+
+        def open_input_stream(self, name):
+            assert not name.endswith(".tar"), "a shard is streamed"
+            return self.inner.open_input_stream(name)
+
+    monkeypatch.setattr(tar, "store_of", lambda folder: (Counted(opened(folder)[0]), opened(folder)[1]))
+    for options, n in (({"keys": "k7"}, 3), ({"headers": "true"}, 0)):
+        reads.clear()
+        reader = tar.TarReader({"path": path, **options})
+        found = [r for p in reader.partitions() for r in reader.read(p)]
+        assert len(reads) == n and len(found) == (3 if n else 120)
+    monkeypatch.undo()
+    (tmp_path / "t/subtaskdata-0.tar.idx").unlink()
+    (tmp_path / "t/subtaskdata-1.tar.idx").write_text("5")  # of another file
+    assert got() == want and len(tar.TarReader({"path": path, "splitsize": "3000"}).partitions()) > 1
+    assert tar.index_shards(spark, path) == 2 and got(splitsize="3000") == want and tar.index_shards(spark, path) == 0
+    spark.createDataFrame(rows[:1], "key string, media array<binary>, json string").write.format("tar_samples").option("path", path).mode("overwrite").save()
+    assert len(list((tmp_path / "t").iterdir())) == 2
+
+
+def test_a_second_scan_opens_new_and_changed_files_only(spark, tmp_path):
+    folder = tmp_path / "in/rank_0/failures"
+    folder.mkdir(parents=True)
+    put = lambda name, n: (folder / name).write_text(json.dumps({"image_id": name, "total_claims": n}) if n is not None else "{broken")
+    root, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for i in range(5):
+        put(f"f{i}.json", i)
+    put("bad.json", None)
+    scan = lambda: [sorted(tuple(r)[:: 2 if len(r) == 3 else 1] for r in x.collect()) for x in (lambda rows, bad: (rows.select("image_id", "total_claims"), bad.select(F.regexp_extract("file", "([^/]+)$", 1))))(*tables.scan_rank_results(spark, root, store))]
+    assert scan() == [[(f"f{i}.json", i) for i in range(5)], [("bad.json",)]]
+    put("g.json", 7)
+    put("f1.json", 1000)
+    (folder / "f0.json").unlink()
+    assert scan() == [[("f1.json", 1000), ("f2.json", 2), ("f3.json", 3), ("f4.json", 4), ("g.json", 7)], [("bad.json",)]]
+    opened = spark.read.schema(tables.SCANNED).parquet(f"{store}/files/scan=2")
+    assert sorted(r.file.rsplit("/", 1)[1] for r in opened.collect()) == ["f1.json", "g.json"]
+    assert scan()[1] == [("bad.json",)] and not os.path.exists(f"{store}/files/scan=3")
+
+
 def test_ledger_calls_for_what_is_left(spark, tmp_path):
     log, ledger = str(tmp_path / "log"), str(tmp_path / "ledger")
     os.makedirs(log)
