@@ -149,8 +149,8 @@ def s10_s12_scan_ledger(spark, sf):
 def s19_tar_keys(spark, sf):
     """Every seventh sample by its key, from shards that lost their index and got another."""
     path = shards(spark, sf)
-    for x in files.listed(path, ".idx")[::2]:
-        store, at = files.store_of(path)
+    for x in files.listed(tar.beside(path), ".tar")[::2]:
+        store, at = files.store_of(tar.beside(path))
         store.delete_file(f"{at}/{x}")
     tar.index_shards(spark, path)
     keys = table(spark, sf, "part").where("p_partkey % 7 = 0").select(F.format_string("s%08d", "p_partkey").alias("key"))

@@ -1,6 +1,7 @@
 """Tar shards of samples as a data source of Spark.
 
-Beside a shard stands its index: key, name, place and size of each member, made at writing or by ``index_shards``. Reading:
+A folder's indexes stand beside it, in ``<folder>.index``: key, name, place and size of each member of a shard, made at
+writing or by ``index_shards``. Reading:
 rows are (shard, key, name, size, data). A shard with an index is read in splits of ``splitsize`` bytes, each of whole
 samples; with option ``keys`` (joined by commas) only the members of those keys are fetched; with option ``headers`` data is
 null and nothing but the index is read. A shard without one is streamed as one partition, or for headers read by seeking
@@ -44,7 +45,9 @@ class TarSamples(DataSource):
         return TarWriter(self.options, overwrite)
 
 
-INDEX = ".idx"
+def beside(folder: str) -> str:
+    """The folder of the indexes of a folder's shards, which go by the names of the shards."""
+    return folder.rstrip("/") + ".index"
 
 
 def members(tar: tarfile.TarFile) -> Iterator[tuple[str, str, int, int]]:
@@ -58,12 +61,12 @@ def index_text(shard_size: int, rows: list[tuple[str, str, int, int]]) -> bytes:
     return "\n".join([json.dumps(shard_size), *map(json.dumps, rows)]).encode()
 
 
-def read_index(store: fs.FileSystem, shard: str) -> list[list] | None:
+def read_index(store: fs.FileSystem, path: str, name: str) -> list[list] | None:
     """The index of a shard; none if there is none, or if it was made of a file of another size."""
-    size, index = store.get_file_info([shard, shard + INDEX])
+    size, index = store.get_file_info([f"{path}/{name}", f"{beside(path)}/{name}"])
     if not index.is_file:
         return None
-    with store.open_input_stream(shard + INDEX) as source:
+    with store.open_input_stream(index.path) as source:
         head, *rows = source.read().decode().split("\n")
     return [json.loads(r) for r in rows] if json.loads(head) == size.size else None
 
@@ -83,18 +86,18 @@ class TarReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, path = store_of(self.folder)
-        names, indexed = listed(self.folder, ".tar"), set(listed(self.folder, INDEX))
+        names, indexed = listed(self.folder, ".tar"), set(listed(beside(self.folder), ".tar"))
         sizes = [x.size for x in store.get_file_info([f"{path}/{n}" for n in names])] if names else []
         out = []
         for name, size in zip(names, sizes, strict=True):
-            step = self.split if name + INDEX in indexed and not (self.keys or self.most or self.headers) else size + 1
+            step = self.split if name in indexed and not (self.keys or self.most or self.headers) else size + 1
             out += [Split(name, low, low + step) for low in range(0, size + 1, step)]
         return out
 
     def read(self, partition: Split) -> Iterator[tuple]:
         store, path = store_of(self.folder)
         shard = f"{path}/{partition.name}"
-        index = read_index(store, shard)
+        index = read_index(store, path, partition.name)
         if index is None and partition.low:  # the index has gone: the first split reads all
             return
         if index is None and self.headers:
@@ -150,14 +153,15 @@ class TarWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Shards:
         store, path = store_of(self.folder)
-        store.create_dir(f"{path}/{self.passing}", recursive=True)
+        for at in (path, beside(path)):
+            store.create_dir(f"{at}/{self.passing}", recursive=True)
         out, tar, names, count, size, index = None, None, [], 0, 0, []
 
         def close() -> None:
             tar.close()
             whole = out.tell()
             out.close()
-            with store.open_output_stream(f"{path}/{names[-1]}{INDEX}") as side:
+            with store.open_output_stream(f"{beside(path)}/{names[-1]}") as side:
                 side.write(index_text(whole, index))
             index.clear()
 
@@ -191,24 +195,24 @@ class TarWriter(DataSourceWriter):
         store, path = store_of(self.folder)
         there = [x for x in listed(self.folder, ".tar") if re.fullmatch(r"subtaskdata-\d+\.tar", x)]
         if self.overwrite:
-            indexed = set(listed(self.folder, INDEX))
             for x in there:
                 store.delete_file(f"{path}/{x}")
-                if x + INDEX in indexed:
-                    store.delete_file(f"{path}/{x}{INDEX}")
+            for x in listed(beside(self.folder), ".tar"):
+                store.delete_file(f"{beside(path)}/{x}")
             there = []
         number = max([int(re.findall(r"\d+", x)[0]) for x in there], default=-1) + 1
         for message in sorted((m for m in messages if m), key=lambda m: m.task):
             for name in message.names:
-                store.move(f"{path}/{name}{INDEX}", f"{path}/subtaskdata-{number}.tar{INDEX}")
-                store.move(f"{path}/{name}", f"{path}/subtaskdata-{number}.tar")
+                for at in (beside(path), path):
+                    store.move(f"{at}/{name}", f"{at}/subtaskdata-{number}.tar")
                 number += 1
         self.abort(messages)
 
     def abort(self, messages: list[Shards | None]) -> None:
         store, path = store_of(self.folder)
-        store.create_dir(f"{path}/{self.passing}", recursive=True)  # a job without rows made none
-        store.delete_dir(f"{path}/{self.passing}")
+        for at in (path, beside(path)):
+            store.create_dir(f"{at}/{self.passing}", recursive=True)  # a job without rows made none
+            store.delete_dir(f"{at}/{self.passing}")
 
 
 def index_shards(spark, folder: str) -> int:
@@ -217,14 +221,14 @@ def index_shards(spark, folder: str) -> int:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = store_of(folder)
+        store.create_dir(beside(path), recursive=True)
         for frame in frames:
             made = 0
             for name in frame["name"]:
-                shard = f"{path}/{name}"
-                if read_index(store, shard) is None:
-                    with store.open_input_file(shard) as source, tarfile.open(fileobj=source, mode="r:") as tar:
+                if read_index(store, path, name) is None:
+                    with store.open_input_file(f"{path}/{name}") as source, tarfile.open(fileobj=source, mode="r:") as tar:
                         text = index_text(source.size(), list(members(tar)))
-                    put(store, shard + INDEX, text)
+                    put(store, f"{beside(path)}/{name}", text)
                     made += 1
             yield pd.DataFrame({"n": [made]})
 
