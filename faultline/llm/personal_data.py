@@ -1,7 +1,7 @@
 """Personal data by patterns and by bootstrapped contexts, in DataFrame operations only.
 
-Base spans are the four kinds of PATTERNS. They seed a graph: an instance is a surface form, a pattern the two words
-before it. A pattern's score for a kind is the share of its distinct instances known for that kind, with at least
+Base spans are the four kinds of PATTERNS. They seed a graph: an instance is a surface form; its patterns are the two words
+before it, and the one word before it, which holds for places that no seed has in full. A pattern's score for a kind is the share of its distinct instances known for that kind, with at least
 ``support`` of them; an unknown instance takes the best score of its patterns; once a round adds no instance, mentions of
 identifier-like words and runs of digit groups whose instance reaches ``confidence`` and whose shape suits the kind
 become spans too. Distinct instances count, so copies of a text lend no support. A run that begins with an
@@ -155,10 +155,16 @@ def suits(kind: Column, form: Column) -> Column:
     )
 
 
+def patterns_of(words: Column) -> Column:
+    """The patterns of a place: the two words before it, and a mark with the last of them."""
+    return F.array(words, F.concat(F.lit("~ "), F.regexp_extract(words, "[^ ]+ ?$", 0)))
+
+
 def discover(found: DataFrame, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """doc_id, th, more: the spans that the graph of contexts and instances adds."""
-    each = lambda c: found.select("doc_id", "th", F.explode(c).alias("s")).select("doc_id", "th", "s.*").where("context <> ''")
-    edges = each("base").unionByName(each("other")).groupBy("context", F.lower("form").alias("form")).agg(F.max("kind").alias("kind"))
+    each = lambda c: found.select(F.explode(c).alias("s")).select("s.context", "s.form", "s.kind").where("context <> ''")
+    own = each("base").unionByName(each("other")).groupBy("context", F.lower("form").alias("form")).agg(F.max("kind").alias("kind"))
+    edges = own.withColumn("context", F.explode(patterns_of(F.col("context")))).groupBy("context", "form").agg(F.max("kind").alias("kind"))
     edges = materialize(edges, "contexts")
     # known: score of an instance for a kind; the seeds have 1
     known = edges.where("kind >= 0").select("form", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()

@@ -82,6 +82,56 @@ def test_toxicity_learns_ordered_grades(spark):
     assert toxicity.keep_clean(rest, model).count() == 180
 
 
+def test_toxicity_score_matches_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["Fine", "vileness", "sorry", "don't", "été"][k] for k in rng.integers(0, 5, int(rng.integers(0, 9)))) for _ in range(60)] + [None, ""]
+    model = toxicity.Model({"vilen*": 2.5, "sorry": -1.0, "don't": 0.25, "été": 0.5}, [0.3, 1.9])
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = set((text or "").lower().split())
+        x = 2.5 * ("vileness" in words) - ("sorry" in words) + 0.25 * ("don't" in words) + 0.5 * ("été" in words)
+        p = [1 / (1 + math.exp(t - x)) for t in (0.3, 1.9)]
+        assert math.isclose(got[i].severity, sum(p)) and math.isclose(got[i].p_toxic, p[0]) and got[i].grade == sum(q >= 0.5 for q in p) and got[i].rejected == (p[0] >= 0.5)
+
+
+def test_toxicity_vocabulary_is_chosen_by_likelihood_ratio(spark, monkeypatch):
+    rng, rows, labels = np.random.default_rng(6), [], []
+    for i in range(300):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join([f"w{chr(97 + k // 10)}{chr(97 + k % 10)}" for k in rng.integers(0, 30, 8)] + (["bad"] if toxic and rng.random() < 0.7 else []) + (["nice"] if not toxic and rng.random() < 0.5 else []))))
+        labels.append((i, int(toxic) + int(toxic and i % 8 == 0)))
+    monkeypatch.setattr(toxicity, "LEAST_RATIO", 3.0)
+    seen = {}
+    monkeypatch.setattr(toxicity, "optimise", lambda starts, words, y, n, k: (seen.update(n=n), (np.zeros(n), np.arange(k - 1.0)))[1])
+    chosen = set(toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, grade int"), n_features=5).weights)
+    ratio = {}
+    for w in {w for _, t in rows for w in t.split()}:
+        table = Counter((w in t.split(), g) for (_, t), (_, g) in zip(rows, labels, strict=True))
+        ratio[w] = sum(2 * n * math.log(n * 300 / (sum(v for (a, _), v in table.items() if a == has) * sum(v for (_, b), v in table.items() if b == g))) for (has, g), n in table.items())
+    want = {w for w, r in sorted(ratio.items(), key=lambda x: (-x[1], x[0])) if r >= 3}
+    assert chosen == set(sorted(want, key=lambda w: (-ratio[w], w))[:5]) and {"bad", "nice"} <= chosen
+
+
+def test_toxicity_reaches_the_optimum():
+    rng = np.random.default_rng(9)
+    found = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(900)]
+    true = np.array([1.5, -1.0, 0.5, 0.0, 2.0, -0.5])
+    noise = rng.logistic(size=900)
+    y = np.digitize(np.array([true[f].sum() for f in found]) + noise, [0.5, 2.0])
+    starts, words = np.concatenate([[0], np.cumsum([len(f) for f in found])]), np.concatenate(found)
+    w, theta = toxicity.optimise(starts, words, y, 6, 3)
+
+    def loss(v):
+        x = np.array([v[f].sum() for f in found])
+        up = [np.ones(900), *[1 / (1 + np.exp(t - x)) for t in v[6:]], np.zeros(900)]
+        return -np.log([up[k][i] - up[k + 1][i] for i, k in enumerate(y)]).mean() + 0.5e-5 * (v[:6] ** 2).sum()
+
+    best = np.concatenate([w, theta])
+    slope = [(loss(best + e) - loss(best - e)) / 2e-5 for e in 1e-5 * np.eye(8)]
+    assert np.abs(slope).max() < 2e-4 and theta[0] < theta[1]
+    assert np.abs(w - true).max() < 0.5
+
+
 def test_toxicity_cases(spark, docs, none):
     blank = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, toxicity.grades(blank))
@@ -376,6 +426,14 @@ def test_personal_data_many_mentions_in_one_text(spark):
     assert [s.context.split() for s in row.other if s.start > at[2]] == [words[i - 2 : i] for i in range(3, 3000) if i % 3]
 
 
+def test_personal_data_one_word_before_generalizes(spark):
+    rows = [(i, f"{w} phone: +1 (202) 555-{1000 + i} or leave") for i, w in enumerate(["my", "her", "the", "office", "new"])]
+    rows += [(50, "an unseen phone: 202-555-1234 here"), (51, "an unseen number: 202-555-9999 here"), (52, "PHONE:\n 202-555-1111")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.s for r in personal_data.find(docs).select("doc_id", personal_data.listed(F.col("spans")).alias("s")).collect()}
+    assert found[50] == "phone:17:29" and found[51] == "" and found[52] == ""  # two words stand before a place
+
+
 def test_personal_data_spaced_far_and_chained(spark):
     far = "x" * 90
     rows = [(i, f"please call me +1 (202) 555-{1000 + i} or leave") for i in range(20)] + [(100 + i, f"ring {far} +1 (202) 555-{2000 + i}") for i in range(20)]
@@ -409,8 +467,8 @@ def brute_graph(found, support=3, confidence=0.8):
     edges = {}
     for _, base, other in found:
         for s in [*base, *other]:
-            if s.context:
-                key = s.context, s.form.lower()
+            for pattern in [s.context, "~ " + re.search("[^ ]+ ?$", s.context)[0]] if s.context else []:
+                key = pattern, s.form.lower()
                 edges[key] = max(edges.get(key, -9), s.kind)
     seeds = {(f, k): 1.0 for (_, f), k in edges.items() if k >= 0}
     counted = [(c, f) for (c, f), k in edges.items() if k >= -1]
