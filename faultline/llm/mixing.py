@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import materialize, n_shuffle, only, unused
+from faultline.operators.sampling import numbered_in
 
 WEIGHTS = (5.0, 2.0, 1.0)
 RATE, LIMIT = 1.5, 2.0
@@ -123,7 +124,7 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 7) -> Da
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, rate: float = RATE, limit: float = LIMIT, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, th (hash of the text), size, source_size, target, taken, shards (of each copy), order_key."""
     slim = docs.select("doc_id", "source", F.xxhash64("text").alias("th"), n_words().alias("size"))
-    slim = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    slim = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "th")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     slim = materialize(slim, "mix")
 
     block = slim.groupBy("source", "block").agg(F.sum("size").alias("words"))
@@ -170,9 +171,10 @@ def with_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         return docs.join(rows, same).select(*out)
     key = lambda a, b: a[d].eqNullSafe(b[d]) & a[s].eqNullSafe(b[s]) & (a[t] == b[t])
     single = rows.join(many, key(rows, many), "left_anti")
-    number = F.row_number().over(Window.partitionBy(d, s, t).orderBy(t))  # of rows that are equal here, any order will do
-    some = docs.join(many, same).withColumn(n, number)
-    numbered = rows.join(many, key(rows, many), "left_semi").withColumn(n, number)
+    # Numbered by all columns of each side, so reruns agree; a key of any size is spread over tasks.
+    content = lambda names: F.xxhash64(F.to_json(F.struct(*[F.col(f"`{x}`") for x in names])))
+    some = numbered_in(docs.join(many, same), [d, s, t], [content(docs.columns)], n)
+    numbered = numbered_in(rows.join(many, key(rows, many), "left_semi"), [d, s, t], [content(extra)], n)
     both = some.join(numbered.select(F.col(d).alias(d + "2"), F.col(s).alias(s + "2"), F.col(t).alias(t + "2"), F.col(n).alias(n + "2"), *extra), F.col(d).eqNullSafe(F.col(d + "2")) & F.col(s).eqNullSafe(F.col(s + "2")) & (F.col(t) == F.col(t + "2")) & (F.col(n) == F.col(n + "2")))
     return docs.join(single, same).select(*out).unionByName(both.select(*out))
 

@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.operators.sampling import numbered_in
+
 #: Rows of one Arrow batch. Texts can be long, so batches are kept well below Spark's default of 10,000 rows.
 ARROW_ROWS = 1000
 
@@ -99,32 +101,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def placed(df: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
-    """Adds the place (from 0) of each row in its group, in an order; rows that are equal in it stand as they come.
-
-    Rows are dealt by ranges of group and order, so a group of any size is spread over tasks; only groups that go on from
-    one range to the next have an offset, at most two rows for each range, and these are broadcast.
-    """
-    part, id_, offset = unused(df, "_part", "_id", "_offset")
-    ranged = df.repartitionByRange(n_shuffle(df.sparkSession), *group, *order).sortWithinPartitions(*group, *order)
-    ranged = materialize(ranged.withColumn(id_, F.monotonically_increasing_id()), "placed")
-    ranged = ranged.withColumn(part, F.shiftrightunsigned(id_, 33))
-    counts = ranged.groupBy(part, *group).agg(F.count(F.lit(1)).alias(name))
-    ends = ranged.groupBy(part).agg(F.min(id_).alias("low"), F.max(id_).alias("high")).select(F.explode(F.array("low", "high")).alias(id_))
-    edges = ranged.join(F.broadcast(ends), id_, "left_semi").select(part, *group).distinct()  # two rows for each range
-    same = lambda x, y: F.col(f"{x}.{part}").eqNullSafe(F.col(f"{y}.{part}")) & _all([F.col(f"{x}.{g}").eqNullSafe(F.col(f"{y}.{g}")) for g in group])
-    edges = counts.alias("c").join(F.broadcast(edges).alias("e"), same("c", "e"), "left_semi")
-    before = F.coalesce(F.sum(name).over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = edges.select(part, *group, before.alias(offset)).where(F.col(offset) > 0)
-    own = ranged.withColumn(name, F.row_number().over(Window.partitionBy(part, *group).orderBy(id_)) - 1)
-    joined = own.alias("r").join(F.broadcast(offsets).alias("o"), same("r", "o"), "left")
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col(f"r.{name}") + F.coalesce(F.col(f"o.{offset}"), F.lit(0))).cast("long").alias(name))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+    """Adds the place (from 0) of each row in its group, in an order; a group of any size is spread over tasks."""
+    return numbered_in(df, group, order, name).withColumn(name, F.col(name) - 1)
 
 
 def few(df: DataFrame, most: int) -> DataFrame:

@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import materialize, n_shuffle, only, raw_texts, small_batches
+from faultline.llm.shared import few, materialize, n_shuffle, only, raw_texts, small_batches
 from faultline.llm.tokens import VOCABULARY, encoder
 
 END = 2
 SHARD_TOKENS = 1 << 19
+#: Shards whose places are broadcast; with more of them, images are shuffled to their places.
+FEW_SHARDS = 100_000
 MAGIC = b"WVM2"
 BLOCK = 512
 #: Bytes of a plane that are compressed together.
@@ -218,8 +220,8 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
         if ids:
             yield flush()
 
-    ordered = only(docs, "doc_id", "text").repartitionByRange(n_shuffle(spark), F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")  # different texts of one id may lie in different ranges
+    ordered = only(docs, "doc_id", "text").repartitionByRange(n_shuffle(spark), *order).sortWithinPartitions(*order, "text")
     return materialize(ordered.mapInArrow(shards, SHARDS), "wavelet")
 
 
@@ -236,7 +238,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     sizes = shards.select("part", "shard", "n_tokens")
     own = sizes.withColumn("prior", F.expr("sum(n_tokens) over (partition by part order by shard) - n_tokens"))
     own = own.join(F.broadcast(starts), "part").select("part", "shard", (F.col("before") + F.col("prior")).alias("first"))
-    placed = shards.drop("n_tokens").join(own, ["part", "shard"]).select("first", "doc_ids", "no_id", "image")
+    placed = shards.drop("n_tokens").join(few(own, FEW_SHARDS), ["part", "shard"]).select("first", "doc_ids", "no_id", "image")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

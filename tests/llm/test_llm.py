@@ -648,6 +648,17 @@ def test_mixing_cases(spark, docs, none):
     assert [(r.size, r.taken, r.target) for r in mixing.mix(blank).collect()] == [(0, 0, 0.0)] * 2
 
 
+def test_mixing_gives_equal_rows_the_same_in_reruns(spark):
+    rows = [(None, "the same words here", "a", i) for i in range(60)] + [(None, f"other words {i % 7}", "a", 100 + i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    runs = []
+    for n in (2, 5):
+        dealt = docs.repartition(n, "row")
+        mixed = mixing.materialize(mixing.mix(dealt.select("doc_id", "text", "source"), blocks=16), "mixed")
+        runs.append(Counter((r.row, r.taken) for r in mixing.with_rows(dealt, mixed.select("doc_id", "source", "th", "taken")).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 100 and len({t for _, t in runs[0]}) > 1
+
+
 def test_mixing_writes_and_copies_row_by_row(spark, tmp_path):
     rows = [(i, f"w{i} " * (3 + i % 5), "ab"[i % 2], 0, "x") for i in range(40)]
     rows += [(7, rows[7][1], "b", 1, "again"), (7, rows[7][1], "b", 2, "again"), (7, "another text of the id", "b", 3, "y"), (7, rows[7][1], "a", 4, "other source")]

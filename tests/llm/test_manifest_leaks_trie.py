@@ -157,7 +157,7 @@ def test_leaks_of_questions_and_answers_and_of_nothing(spark):
 # --- 13
 
 
-def brute_trie(conversations, head=lambda c: zlib.crc32(str(c).encode()) % 6, base=lambda c: c - c % 100):
+def brute_trie(conversations, head=lambda c: zlib.crc32(str(c).encode()) % 6, base=lambda c: c - (abs(c) % 100) * (1 if c > 0 else -1)):
     own = defaultdict(list)
     for c, turn, role, text in conversations:
         if c is not None:
