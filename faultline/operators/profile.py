@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Bits of a value's place in the order of doubles that one reading settles.
-DIGIT = 16
+#: Bits of a value's place in the order of doubles that one reading settles, and rows at which it settles all the others.
+DIGIT, FEW_ROWS = 16, 100_000
 
 
 def _places(x: np.ndarray) -> np.ndarray:
@@ -29,39 +29,52 @@ def ranked_values(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str,
     """The values at some ranks (from 0, nulls left out) of columns of numbers, exactly.
 
     A double's bits give its place in an order in which infinities and NaN have theirs. Each reading settles 16 of the 64
-    bits, for all columns and ranks at once, by counting the next bits of the values that begin like the one sought. So
-    there are four readings whatever the values are; no task holds a column, and the driver gets a row for each rank.
+    bits, for all columns and ranks at once, by counting the next bits of the values that begin like the one sought; once
+    few rows begin like any of them, one more reading settles the rest. So there are four readings at most, whatever the
+    values are; no task holds a column, and the driver gets a row for each rank.
     """
-    found = {(c, k): (0, k) for c, ks in ranks.items() for k in ks}  # (column, rank) -> first bits, rank among the values that have them
+    # (column, rank) -> first bits, rank among the values that have them, number of these
+    found = {(c, k): (0, k, FEW_ROWS + 1) for c, ks in ranks.items() for k in ks}
     columns = list(ranks)
     if not found:
         return {}
     read = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    for done in range(0, 64, DIGIT):
-        sought = sorted({(columns.index(c), first) for (c, _), (first, _) in found.items()})  # ranks that agree so far share a count
+    done = 0
+    while done < 64:
+        width = 64 - done if max(n for _, _, n in found.values()) <= FEW_ROWS else DIGIT
+        sought = sorted({(columns.index(c), first) for (c, _), (first, _, _) in found.items()})  # ranks that agree so far share a count
 
-        def counts(batches: Iterator[pa.RecordBatch], done=done, sought=sought) -> Iterator[pa.RecordBatch]:
-            n = np.zeros((len(sought), 1 << DIGIT), np.int64)
+        def counts(batches: Iterator[pa.RecordBatch], done=done, width=width, sought=sought) -> Iterator[pa.RecordBatch]:
+            n = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in sought]
             for batch in batches:
                 for s, (c, first) in enumerate(sought):
                     x = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
                     place = _places(x.astype(np.float64))
                     if done:
                         place = place[place >> np.uint64(64 - done) == np.uint64(first)]
-                    digit = (place >> np.uint64(64 - done - DIGIT)) & np.uint64((1 << DIGIT) - 1)
-                    n[s] += np.bincount(digit.astype(np.int64), minlength=1 << DIGIT)
-            s, d = np.nonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(d, pa.int64()), pa.array(n[s, d])], ["s", "digit", "n"])
+                    digit = ((place >> np.uint64(64 - done - width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    n[s].append(_summed([*n[s], (digit, np.ones(len(digit), np.int64))]))  # as many as there are digits, or few rows
+                    del n[s][:-1]
+            d = [x[0][0] for x in n]
+            s = np.repeat(np.arange(len(d)), [len(x) for x in d])
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(np.concatenate(d)), pa.array(np.concatenate([x[0][1] for x in n]))], ["s", "digit", "n"])
 
         total = read.mapInArrow(counts, "s long, digit long, n long").groupBy("s", "digit").agg(F.sum("n").alias("n"))
         upto = total.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)))
-        wanted = [(key, sought.index((columns.index(key[0]), first)), left) for key, (first, left) in found.items()]
+        wanted = [(key, sought.index((columns.index(key[0]), first)), left) for key, (first, left, _) in found.items()]
         at = F.array(*[F.struct(F.lit(i).alias("key"), F.lit(s).alias("s"), F.lit(left).cast("long").alias("left")) for i, (_, s, left) in enumerate(wanted)])
         hit = upto.select("*", F.explode(F.filter(at, lambda w: (w["s"] == F.col("s")) & (w["left"] >= F.col("upto") - F.col("n")) & (w["left"] < F.col("upto")))).alias("w"))
-        for r in hit.select("w.key", "digit", F.col("w.left") - F.col("upto") + F.col("n")).collect():  # one row for each rank
-            key, (first, _) = wanted[r[0]][0], found[wanted[r[0]][0]]
-            found[key] = (first << DIGIT | r[1], r[2])
-    return {key: _value(place) for key, (place, _) in found.items()}
+        for r in hit.select("w.key", "digit", F.col("w.left") - F.col("upto") + F.col("n"), "n").collect():  # one row for each rank
+            key = wanted[r[0]][0]
+            found[key] = (found[key][0] << width | r[1], r[2], r[3])
+        done += width
+    return {key: _value(place) for key, (place, _, _) in found.items()}
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct digits with the sums of their counts."""
+    digits, at = np.unique(np.concatenate([d for d, _ in parts]), return_inverse=True)
+    return digits, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(digits)).astype(np.int64)
 
 
 def medians(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, float, float]]) -> dict[str, float | None]:

@@ -11,6 +11,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from faultline.functions.seeded import md5_bucket, u
 from faultline.functions.text import failure_weight
@@ -130,40 +131,43 @@ def quotas(counts: DataFrame, ratios: dict[str, float], total: int | None, group
 def mix_groups(df: DataFrame, ratios: dict[str, float], total: int | None, key: str, group: str = "pipeline_name", seed: int = 0) -> DataFrame:
     """R2: the quota of each group by seeded order.
 
-    One reading counts each group's rows by ranges of the hash; that small table gives the quotas and the range in which
-    each ends. A second reading takes the rows of the ranges before. Only the rows of the last ranges are kept aside and
-    counted by key, and only those of the one key where a quota ends are numbered, by partition: no group and no key is
-    gathered in a task.
+    One reading counts each group's rows by ranges of the hash, which gives the quotas and the range in which each ends.
+    A second one counts the rows of those ranges by key, which gives the key in which each ends. Rows before it are taken
+    by a filter; rows of that one key are numbered, where some of them are due and some not. No group and no key is gathered
+    in a task.
     """
     if total is None and ratios:  # every row of the groups that are named
         return df.where(F.col(group).isin(list(ratios)))
+    spark, kind = df.sparkSession, df.schema
     place = u(seed, key)
     at = F.floor(place * RANGES)
-    counts = materialize(df.groupBy(group, at.alias("at")).agg(F.count(F.lit(1)).alias("n")), "ranges")
-    quota = quotas(counts.groupBy(group).agg(F.sum("n").alias("available")), ratios, total, group).select(group, F.col("quota").alias("left"))
 
-    def ends(n: DataFrame, by: list[str]) -> DataFrame:
+    def ends(n: DataFrame, by: list[str]) -> list:
         """For each group the value of ``by`` in whose rows its quota ends (null if none), and what is left of it there. n: group, left, by, n."""
         over = n.withColumn("upto", F.sum("n").over(Window.partitionBy(group).orderBy(*by))).withColumn("over", F.col("upto") > F.col("left"))
         end = F.min(F.when(F.col("over"), F.struct(*by, (F.col("left") - F.col("upto") + F.col("n")).alias("rest"))))
-        return over.groupBy(group).agg(end.alias("_end"))
-
-    cuts = materialize(ends(counts.join(F.broadcast(quota), group), ["at"]), "cuts")  # one row for each group that is named
-    rows = df.join(F.broadcast(cuts), group)
-    whole = rows.where(F.col("_end").isNull() | (at < F.col("_end.at"))).select(*df.columns)
-    edge = rows.where(at == F.col("_end.at")).select(*df.columns, F.col("_end.rest").alias("_left"), place.alias("_u"), F.monotonically_increasing_id().alias("_id"))
-    edge = materialize(edge, "edge")
-    keys = edge.groupBy(group, F.col("_left").alias("left"), F.col("_u").alias("u"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    both = edge.join(F.broadcast(ends(keys, ["u", "k"])), group)  # one row for each group
-    mine, end = F.struct("_u", key), F.struct("_end.u", "_end.k")
-    more = both.where(F.col("_end").isNull() | (mine < end))
-    part = F.shiftrightunsigned("_id", 33)
-    tied = both.where((F.col("_u") == F.col("_end.u")) & F.col(key).eqNullSafe(F.col("_end.k"))).withColumns({"_part": part, "_rest": F.col("_end.rest")})
-    sizes = tied.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).drop("_n")
-    number = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_id")) + F.col("_before")
-    tied = tied.join(F.broadcast(sizes), [group, "_part"]).withColumn("_place", number).where("_place <= _rest")  # a row for each group and partition
-    return whole.unionByName(more.select(*df.columns)).unionByName(tied.select(*df.columns))
+        return over.groupBy(group).agg(end.alias("end")).collect()  # one row for each name in ratios
+
+    counts = df.where(F.col(group).isin(list(ratios))).groupBy(group, at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    quota = quotas(counts.groupBy(group).agg(F.sum("n").alias("available")), ratios, total, group).select(group, F.col("quota").alias("left"))
+    ranges = {r[group]: r.end for r in ends(counts.join(F.broadcast(quota), group), ["at"])}
+
+    def table(rows: list[tuple], columns: list[StructField]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(rows, StructType([StructField(group, kind[group].dataType), *columns])))
+
+    number = lambda name: StructField(name, LongType())
+    cut = table([(g, e.at, e.rest) for g, e in ranges.items() if e], [number("_at"), number("left")])
+    edge = df.join(cut, group).where(at == F.col("_at"))
+    keys = {r[group]: r.end for r in ends(edge.groupBy(group, "left", place.alias("u"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")), ["u", "k"])}
+    last = [(g, e.at, keys[g].u, keys[g].k, keys[g].rest) if e else (g, None, None, None, None) for g, e in ranges.items()]
+    rows = df.join(table(last, [number("_at"), StructField("_u", DoubleType()), StructField("_k", kind[key].dataType), number("_rest")]), group)
+    sooner = (at < F.col("_at")) | ((at == F.col("_at")) & (F.struct(place.alias("u"), F.col(key).alias("k")) < F.struct(F.col("_u").alias("u"), F.col("_k").alias("k"))))
+    whole = rows.where(F.col("_at").isNull() | sooner).select(*df.columns)
+    if not any(r[-1] for r in last):
+        return whole
+    tied = rows.where((F.col("_rest") > 0) & (place == F.col("_u")) & F.col(key).eqNullSafe(F.col("_k"))).select(*df.columns, "_rest")
+    content = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))  # spreads the rows of the key
+    return whole.unionByName(numbered_in(tied, [group], [content], "_place").where("_place <= _rest").select(*df.columns))
 
 
 def question_type(df: DataFrame, key: str, multiple_choice: float = 0.7, fill_in_blank: float = 0.3, seed: int = 0) -> DataFrame:
