@@ -7,7 +7,8 @@ log P(class | state) + log P(symbol | class, state), and for other words + log o
 above zero, and they sum up to one.
 
 ``train`` goes once over all training texts, in ``ROUNDS`` rounds over disjoint parts of them. In a round each task
-starts from the same weights, runs truncated backpropagation over the windows of its texts (long ones in segments, none is left out), and hands over its weights.
+starts from the same weights, runs truncated backpropagation over the windows of its texts, with the state carried from
+window to window through each whole text, and hands over its weights.
 Spark averages them by tokens in blocks of the parameter vector, so neither the driver nor a task holds more than one
 model at a time. ``score`` runs complete texts through the model: lanes of many texts advance side by side, a text's
 state is carried from window to window and starts anew with each text.
@@ -40,10 +41,10 @@ N_FREQUENT, N_CLASSES, HIDDEN = 2000, 44, 16
 SPELLING_BITS = 6
 N_SPELLINGS = 1 << SPELLING_BITS
 N_LISTED = 1 << 17
-ROUNDS, LANES, STEPS = 2, 256, 16
-SCORE_LANES = 1024
+ROUNDS = 2
+#: Texts side by side and tokens of a window, for training (whose gradients reach back so far) and for scoring.
+TRAINING, SCORING = (128, 32), (256, 64)
 HELD_TOKENS = 4_000_000  # texts of so many tokens run side by side, so that a long one doesn't leave lanes idle
-SEGMENT = 2048  # in training, the state starts anew after so many tokens of a text
 BLOCKS = 32
 LARGEST = np.float32(60)  # of a logit
 END = b" "  # no word contains a space
@@ -298,7 +299,7 @@ class Adam:
         weights -= step
 
 
-def lanes(texts: list[np.ndarray], n_lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+def lanes(texts: list[np.ndarray], n_lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts laid end to end in lanes of about equal length: tokens and number of the text, -1 where a lane is over."""
     n_lanes = max(1, min(n_lanes, len(texts)))
     fill, put = np.zeros(n_lanes, np.int64), [[] for _ in range(n_lanes)]
@@ -317,7 +318,7 @@ def lanes(texts: list[np.ndarray], n_lanes: int = LANES) -> tuple[np.ndarray, np
     return token, owner
 
 
-def windows(lex: Lexicon, texts: list[np.ndarray], n_lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(lex: Lexicon, texts: list[np.ndarray], n_lanes: int, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Inputs, text beginnings, targets and owners of each window, for lanes that still have tokens."""
     token, owner = lanes(texts, n_lanes)
     fresh = np.ones(token.shape, bool)
@@ -336,7 +337,7 @@ def windows(lex: Lexicon, texts: list[np.ndarray], n_lanes: int = LANES, steps:
 def run(net: Network, texts: list[np.ndarray], adam: Adam | None = None) -> np.ndarray:
     """Natural log P of each text's symbols. With adam, learns on the way."""
     out, h = np.zeros(len(texts)), None
-    for inputs, fresh, target, owner in windows(net.lex, texts, LANES if adam else SCORE_LANES):
+    for inputs, fresh, target, owner in windows(net.lex, texts, *(TRAINING if adam else SCORING)):
         h = np.zeros((net.hidden, inputs.shape[1]), np.float32) if h is None else np.ascontiguousarray(h[:, : inputs.shape[1]])
         states, kept = net.forward(inputs, fresh, h)
         flat, real = states.reshape(net.hidden + 1, -1), np.flatnonzero(owner.ravel() >= 0)
@@ -394,7 +395,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HID
                 own = batch.column(1).filter(pa.array([bool(k % 10) and k // 10 % rounds == number for k in keys], pa.bool_()))
                 for text in raw_texts(own):
                     ids = reader(tokens(text))[2]
-                    held += [ids[at : at + SEGMENT] for at in range(0, len(ids), SEGMENT)]
+                    held.append(ids)
                     size += len(ids)
                 if size >= HELD_TOKENS:
                     run(net, held, adam)
