@@ -154,7 +154,7 @@ def s19_tar_keys(spark, sf):
         store.delete_file(f"{at}/{x}")
     tar.index_shards(spark, path)
     keys = table(spark, sf, "part").where("p_partkey % 7 = 0").select(F.format_string("s%08d", "p_partkey").alias("key"))
-    split = spark.read.format("tar_samples").option("path", path).option("splitsize", "5000").load()
+    split = spark.read.format("tar_samples").option("path", path).option("splitsize", "100000").load()
     return split.join(keys, "key", "left_semi").select("key", "name", F.octet_length("data").cast("long").alias("size"))
 
 
