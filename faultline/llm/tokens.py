@@ -27,7 +27,7 @@ _plain = re.compile(r"(?= \S)")
 _odd = re.compile(r" (?:\s|$)")
 _known_signs = re.compile(r"(?:[\t-\r\x20-\x7e]|[^\W\d_])*")
 _pattern = regex.compile(public_tokenizers.PATTERN)
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int | None], "Encoder"] = {}
 
 
 def byte_signs() -> dict[int, str]:
@@ -38,7 +38,8 @@ def byte_signs() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, most: int | None = None) -> None:
+        self.most = most
         self.whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.merges = self.whole.model
         self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
@@ -106,7 +107,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > (self.most or MOST_PIECES):
             self.older, self.known = self.known, {}
         if self.added.search(text):
             return self._library(text)
@@ -130,8 +131,8 @@ class Encoder:
         return self._ids(first) + b"".join(out) if first else b"".join(out)
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Encoder:
-    """One for each worker process."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder(vocabulary: str = VOCABULARY, most: int | None = None) -> Encoder:
+    """One for each worker process. most: pieces that it remembers, about 200 bytes each, twice."""
+    if (vocabulary, most) not in _encoders:
+        _encoders[vocabulary, most] = Encoder(vocabulary, most)
+    return _encoders[vocabulary, most]

@@ -32,6 +32,8 @@ END = 2
 SHARD_TOKENS = 1 << 19
 #: Shards whose places are broadcast; with more of them, images are shuffled to their places.
 FEW_SHARDS = 100_000
+#: Pieces of texts that a worker remembers; images leave room for more of them than other operators do.
+PIECES = 700_000
 MAGIC = b"WVM2"
 BLOCK = 512
 #: Bytes of a plane that are compressed together.
@@ -194,7 +196,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
     tail = end.to_bytes(4, "little")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, shard = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        model, part, shard = encoder(vocabulary, PIECES), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         held = 0
