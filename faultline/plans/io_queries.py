@@ -289,14 +289,31 @@ def nations(spark, sf):
 NATION = "from customer join nation on n_nationkey = c_nationkey"
 
 
-@query(f"select c_custkey, 'f' || c_nationkey claim_id, n_name \"name\", 'Is [X] in ' || n_name || '?' claim_template, n_nationkey::bigint pos {NATION}")
+def in_files(rows, value, name):
+    """Rows of supplier, in order of the key, as lists of a thousand ``value`` in files <name>_<number>.json: number, l."""
+    placed = G.numbered(rows, ["s_suppkey"], "n").withColumn("file", F.floor((F.col("n") - 1) / 1000))
+    lists = placed.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", value.alias("v")))).alias("l"))
+    return lists.select(F.format_string(f"{name}_%09d.json", "file").alias("name"), F.transform("l", lambda x: x["v"]).alias("l"))
+
+
+def dealt(spark, sf, listed):
+    """All of a list (pos), each with the customers that it falls to in turn."""
+    n = table(spark, sf, "supplier").count()
+    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % F.lit(n)).alias("pos"))
+    return listed.withColumn("pos", F.col("pos").cast("long")).join(c, "pos", "left")
+
+
+DEALT = "left join customer on c_custkey % (select count(*) from supplier) = pos"
+
+
+@query(f"with c as (select 'c_' || s_suppkey claim_id, s_name \"name\", 'Is [X] in ' || s_name || '?' claim_template, row_number() over (order by s_suppkey) - 1 pos from supplier) select c_custkey, claim_id, \"name\", claim_template, pos from c {DEALT}")
 def s21_read_claims(spark, sf):
-    """The first list is empty, the second has all nations, the third is not reached."""
-    one = F.struct(F.col("f").alias("claim_id"), F.col("n_name").alias("name"), F.concat(F.lit("Is [X] in "), "n_name", F.lit("?")).alias("claim_template"))
-    rows = nations(spark, sf).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("c")))), lambda x: x["c"]).alias("global_templates"))
-    config = rows.select(F.array().cast("array<string>").alias("claim_schemas"), "global_templates", F.array(F.lit("not this")).alias("templates"))
-    claims = S.read_claims(spark, one_object(config, spark, "claims"))
-    return configured(spark, sf, claims, "claim_id").select("c_custkey", "claim_id", "name", "claim_template", F.col("pos").cast("long").alias("pos"))
+    """A claim for each supplier. The first list is empty, the second has all claims, the third is not reached."""
+    path, s = new_path(spark, "claims"), table(spark, sf, "supplier")
+    one = F.struct(F.concat(F.lit("c_"), F.col("s_suppkey").cast("string")).alias("claim_id"), F.col("s_name").alias("name"), F.concat(F.lit("Is [X] in "), "s_name", F.lit("?")).alias("claim_template"))
+    config = F.struct(F.array().cast("array<string>").alias("claim_schemas"), F.col("l").alias("global_templates"), F.array(F.lit("not this")).alias("templates"))
+    files.write_files(in_files(s, one, "claims").select("name", F.encode(F.to_json(config), "UTF-8").alias("data")), path)
+    return dealt(spark, sf, S.read_claims(spark, path)).select("c_custkey", "claim_id", "name", "claim_template", "pos")
 
 
 @query(f"select c_custkey, 'type ' || (n_nationkey % 3) pipeline_type, 'pipe ' || n_regionkey pipeline_name {NATION}")

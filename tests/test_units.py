@@ -554,3 +554,11 @@ def test_prompts_name_what_they_ask(spark):
     first = L.asked(row, "question", "image_id", intent=F.lit("count"), slots="slots", why="why").first().prompt
     assert again.startswith(first) and again.endswith("vague")
     assert set(L.PROMPTS) == set(L.STAGES)
+
+
+def test_claims_of_a_configuration_in_several_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"claim_schemas": [], "global_claims": ["not this"], "templates": [{"claim_id": "x", "claim_template": "", "template": "t"}, '{"is": "a text"}']}))
+    (tmp_path / "b.json").write_text(json.dumps({"templates": ["two", {"text": "three"}, None], "claims": ["nor this"]}))
+    (tmp_path / "c.json").write_text(json.dumps({"claims": ["nor that"]}))
+    rows = tables.read_claims(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r.pos, r.claim_id, r.claim_template) for r in rows] == [(0, "x", "t"), (1, None, '{"is": "a text"}'), (2, None, "two"), (3, None, "three"), (4, None, None)]
