@@ -345,10 +345,11 @@ def s25_read_triggers(spark, sf):
     return configured(spark, sf, S.read_triggers(spark, one_object(rows, spark, "triggers"))).select("c_custkey", "trigger_type")
 
 
-@query(f"select c_custkey, n_nationkey::bigint pos, 'f' || n_nationkey \"text\" {NATION}")
+@query(f"with f as (select row_number() over (order by s_suppkey) - 1 pos, s_name \"text\" from supplier) select c_custkey, pos, \"text\" from f {DEALT}")
 def s26_read_factors(spark, sf):
-    rows = nations(spark, sf).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "f"))), lambda x: x["f"])).alias("x"))
-    return configured(spark, sf, S.read_factors(spark, write_text(rows, "x", new_path(spark, "factors"))), "text").select("c_custkey", F.col("pos").cast("long").alias("pos"), "text")
+    path, rows = new_path(spark, "factors"), table(spark, sf, "supplier")
+    files.write_files(in_files(rows, F.col("s_name"), "factors").select("name", F.encode(F.to_json("l"), "UTF-8").alias("data")), path)
+    return dealt(spark, sf, S.read_factors(spark, path)).select("c_custkey", "pos", "text")
 
 
 @query(f"select c_custkey, k pos, case k when 0 then 'seen' else '[optional] ' || n_regionkey end criterion {NATION}, range(2) r(k) where k <= n_nationkey % 2")

@@ -562,3 +562,9 @@ def test_claims_of_a_configuration_in_several_files(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"claims": ["nor that"]}))
     rows = tables.read_claims(spark, str(tmp_path)).orderBy("pos").collect()
     assert [(r.pos, r.claim_id, r.claim_template) for r in rows] == [(0, "x", "t"), (1, None, '{"is": "a text"}'), (2, None, "two"), (3, None, "three"), (4, None, None)]
+
+
+def test_factors_in_several_files(spark, tmp_path):
+    for name, texts in (("a", ["p", "q"]), ("b", []), ("c", ["r", "p"])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(texts))
+    assert sorted(tuple(r) for r in tables.read_factors(spark, str(tmp_path)).collect()) == [(0, "p"), (1, "q"), (2, "r"), (3, "p")]
