@@ -249,7 +249,7 @@ def shards(spark, sf):
     tar.register(spark)
     path = new_path(spark, "shards")
     p = table(spark, sf, "part").select(F.format_string("s%08d", "p_partkey").alias("key"), F.transform(F.sequence(F.lit(0), (F.col("p_partkey") % 3).cast("int")), lambda i: F.encode(F.concat("p_name", i.cast("string")), "UTF-8")).alias("media"), F.to_json(F.struct("p_partkey", "p_type")).alias("json"))
-    p.write.format("tar_samples").option("path", path).option("maxcount", "100").mode("append").save()
+    sinks.tar_shards(p, path, 100)
     return path
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.text import safe_name
 from faultline.sources.files import write_files
 from faultline.sources.json_arrays import write_arrays
+from faultline.sources.shared import spread
 
 
 def results(rows: DataFrame, summary: DataFrame, path: str) -> None:
@@ -64,6 +65,11 @@ def export_media(rows: DataFrame, folder: str) -> int:
     return write_files(rows.select(F.explode(both).alias("x")).select("x.*"), folder)
 
 
+def tar_shards(rows: DataFrame, path: str, most: int = 128) -> None:
+    """Tar shards of at most so many samples, beside those that are there. rows: key, media (array<binary>), json."""
+    spread(rows, "key").write.format("tar_samples").option("path", path).option("maxcount", str(most)).mode("append").save()
+
+
 def annotations(rows: DataFrame, path: str) -> None:
     """Annotations, and their sorted distinct factors."""
     rows.write.json(f"{path}/annotations")

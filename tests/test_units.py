@@ -568,3 +568,12 @@ def test_factors_in_several_files(spark, tmp_path):
     for name, texts in (("a", ["p", "q"]), ("b", []), ("c", ["r", "p"])):
         (tmp_path / f"{name}.json").write_text(json.dumps(texts))
     assert sorted(tuple(r) for r in tables.read_factors(spark, str(tmp_path)).collect()) == [(0, "p"), (1, "q"), (2, "r"), (3, "p")]
+
+
+def test_tar_shards_are_written_by_tasks_that_follow_the_rows(spark, tmp_path):
+    tar.register(spark)
+    rows = spark.range(0, 2500, 1, 1).select(F.format_string("s%04d", "id").alias("key"), F.array(F.encode(F.col("id").cast("string"), "UTF-8")).alias("media"), F.lit("{}").alias("json"))
+    sinks.tar_shards(rows, str(tmp_path / "t"), 2000)
+    assert len(list((tmp_path / "t").glob("*.tar"))) == 3  # a shard of each task; one task made two
+    back = spark.read.format("tar_samples").option("path", str(tmp_path / "t")).load().where("name = '0_image'")
+    assert sorted((r.key, bytes(r.data)) for r in back.collect()) == [(f"s{i:04d}", str(i).encode()) for i in range(2500)]
