@@ -3,7 +3,7 @@
 A folder's indexes stand beside it, in ``<folder>.index``: key, name, place and size of each member of a shard, made at
 writing or by ``index_shards``. Reading:
 rows are (shard, key, name, size, data). A shard with an index is read in splits of ``splitsize`` bytes, each of whole
-samples; with option ``keys`` (joined by commas) only the members of those keys are fetched; with option ``headers`` data is
+samples; small shards share a task up to that size, and beyond ``MOST_PARTITIONS`` neighbouring splits do; with option ``keys`` (joined by commas) only the members of those keys are fetched; with option ``headers`` data is
 null and nothing but the index is read. A shard without one is streamed as one partition, or for headers read by seeking
 from header to header. Writing: rows (key, media
 array<binary>, json string); each task writes its own shards under passing names, and a shard is closed at ``maxcount``
@@ -20,6 +20,7 @@ import re
 import tarfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -30,6 +31,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from faultline.sources.files import listed, put, store_of
 
 
+#: Tasks of a scan at most, and what opening a shard costs, as bytes; a task reads its splits one after another.
+MOST_PARTITIONS, OPEN_COST = 1000, 4 << 20
+#: Shards that the driver names at once when a job commits.
+MOVERS = 16
+
+
 class TarSamples(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -72,12 +79,36 @@ def read_index(store: fs.FileSystem, path: str, name: str) -> list[list] | None:
 
 
 @dataclass
-class Split(InputPartition):
+class Split:
     name: str
     low: int
     high: int
 
 
+@dataclass
+class Splits(InputPartition):
+    splits: list[Split]
+
+
+def packed(splits: list[Split], sizes: list[int], most: int) -> list[Splits]:
+    """Neighbouring splits together, up to ``most`` bytes, or more where there would be more than MOST_PARTITIONS; those of one shard become one."""
+    costs = [n + OPEN_COST for n in sizes]
+    most = max(most, -(-sum(costs) // MOST_PARTITIONS))
+    out: list[Splits] = []
+    held = 0
+    for split, cost in zip(splits, costs, strict=True):
+        if not out or held + cost > most:
+            out.append(Splits([]))
+            held = 0
+        mine = out[-1].splits
+        if mine and mine[-1].name == split.name:
+            mine[-1] = Split(split.name, mine[-1].low, split.high)
+        else:
+            mine.append(split)
+        held += cost
+    return out
+
+
 class TarReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.folder, self.most, self.split = options["path"], int(options.get("samples", 0)), int(options.get("splitsize", 128 << 20))
@@ -88,14 +119,19 @@ class TarReader(DataSourceReader):
         store, path = store_of(self.folder)
         names, indexed = listed(self.folder, ".tar"), set(listed(beside(self.folder), ".tar"))
         sizes = [x.size for x in store.get_file_info([f"{path}/{n}" for n in names])] if names else []
-        out = []
+        out, bytes_ = [], []
         for name, size in zip(names, sizes, strict=True):
             step = self.split if name in indexed and not (self.keys or self.most or self.headers) else size + 1
             out += [Split(name, low, low + step) for low in range(0, size + 1, step)]
-        return out
+            bytes_ += [0 if self.keys or self.headers else min(step, size - low) for low in range(0, size + 1, step)]
+        return packed(out, bytes_, self.split)
 
-    def read(self, partition: Split) -> Iterator[tuple]:
+    def read(self, partition: Splits) -> Iterator[tuple]:
         store, path = store_of(self.folder)
+        for split in partition.splits:
+            yield from self.of_split(store, path, split)
+
+    def of_split(self, store: fs.FileSystem, path: str, partition: Split) -> Iterator[tuple]:
         shard = f"{path}/{partition.name}"
         index = read_index(store, path, partition.name)
         if index is None and partition.low:  # the index has gone: the first split reads all
@@ -201,11 +237,14 @@ class TarWriter(DataSourceWriter):
                 store.delete_file(f"{beside(path)}/{x}")
             there = []
         number = max([int(re.findall(r"\d+", x)[0]) for x in there], default=-1) + 1
-        for message in sorted((m for m in messages if m), key=lambda m: m.task):
-            for name in message.names:
-                for at in (beside(path), path):
-                    store.move(f"{at}/{name}", f"{at}/subtaskdata-{number}.tar")
-                number += 1
+        names = [name for message in sorted((m for m in messages if m), key=lambda m: m.task) for name in message.names]
+
+        def named(place: int) -> None:
+            for at in (beside(path), path):
+                store.move(f"{at}/{names[place]}", f"{at}/subtaskdata-{number + place}.tar")
+
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(named, range(len(names))))
         self.abort(messages)
 
     def abort(self, messages: list[Shards | None]) -> None:

@@ -577,3 +577,18 @@ def test_tar_shards_are_written_by_tasks_that_follow_the_rows(spark, tmp_path):
     assert len(list((tmp_path / "t").glob("*.tar"))) == 3  # a shard of each task; one task made two
     back = spark.read.format("tar_samples").option("path", str(tmp_path / "t")).load().where("name = '0_image'")
     assert sorted((r.key, bytes(r.data)) for r in back.collect()) == [(f"s{i:04d}", str(i).encode()) for i in range(2500)]
+
+
+def test_small_shards_share_a_task(spark, tmp_path, monkeypatch):
+    tar.register(spark)
+    path = str(tmp_path / "t")
+    rows = [(f"k{i:02d}", [bytearray(b"x" * i)], "{}") for i in range(40)]
+    spark.createDataFrame(rows, "key string, media array<binary>, json string").coalesce(1).write.format("tar_samples").option("path", path).option("maxcount", "1").mode("append").save()
+    for options, most in (({}, 2), ({"headers": "true"}, 2), ({"splitsize": "1000"}, 200)):
+        reader = tar.TarReader({"path": path, **options})
+        assert len(reader.partitions()) <= most and len(list(tmp_path.glob("t/*.tar"))) == 40
+        assert sorted(r[1] for p in reader.partitions() for r in reader.read(p) if r[2] == "json") == [r[0] for r in rows]
+    monkeypatch.setattr(tar, "MOST_PARTITIONS", 7)
+    reader = tar.TarReader({"path": path, "splitsize": "1000"})
+    assert len(reader.partitions()) <= 7
+    assert sorted((r[1], r[4]) for p in reader.partitions() for r in reader.read(p) if r[2] != "json") == [(k, bytes(m[0])) for k, m, _ in rows]
