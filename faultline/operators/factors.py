@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from faultline.operators.sampling import numbered
 from faultline.sources.shared import materialize
 
-#: Vectors of a block, reference vectors, and what a bound on angles allows for rounding.
+#: Vectors of a block at least, reference vectors, and what a bound on angles allows for rounding.
 BLOCK_ROWS, PIVOTS, SLACK = 2048, 64, 1e-6
+#: Where no bound rules a block out, each vector is sent once for each block: blocks grow so that there are about so many,
+#: up to so many vectors and products held at once, which bound a task's memory.
+MANY_BLOCKS, MOST_ROWS, PRODUCTS = 40, 32_768, 4_000_000
 #: Edges that one task joins to components at most.
 FEW_EDGES = 200_000
 #: Matrices that the driver sums without nodes between.
@@ -47,12 +50,14 @@ def blocks(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     same bound; only blocks of cells that are left are joined.
     """
     spark = vectors.sparkSession
-    vectors = materialize(vectors.where("v is not null").select("id", F.transform("v", lambda x: x.cast("double")).alias("v")), "vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    real = vectors.schema["v"].dataType.elementType.typeName() == "float"  # sent as they are; products are of doubles
+    vectors = materialize(vectors.where("v is not null").select("id", (F.col("v") if real else F.transform("v", lambda x: x.cast("double"))).alias("v")), "vectors")
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, largest = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(square), F.lit(0.0))).first()
     # A product of at least the threshold needs this cosine; without a positive threshold nothing is ruled out.
     reach = float(np.arccos(min(1.0, threshold / max(1e-300, largest)))) + SLACK if threshold > 0 else 4.0
-    several = -(-n // BLOCK_ROWS)
+    size = max(BLOCK_ROWS, min(MOST_ROWS, -(-n // MANY_BLOCKS)))
+    several = -(-n // size)
     if several <= 1:
         one = spark.range(1).select(F.lit("0").alias("lo"), F.lit("0").alias("hi"))
         return vectors.withColumn("block", F.lit("0")), one
@@ -67,14 +72,14 @@ def blocks(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell])], ["id", "v", "cell", "angle"])
 
     kind = vectors.schema["id"].dataType.simpleString()
-    placed = materialize(vectors.mapInArrow(cells, f"id {kind}, v array<double>, cell int, angle double"), "cells")
-    shells = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("k"), F.percentile_approx("angle", [i / 256 for i in range(1, 256)], 10_000).alias("q"))
+    placed = materialize(vectors.mapInArrow(cells, f"id {kind}, v {vectors.schema['v'].dataType.simpleString()}, cell int, angle double"), "cells")
+    shells = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("k"), F.percentile_approx("angle", [i / 256 for i in range(1, 256)], 10_000).alias("q"))
     # Up to 256 shells of a cell; a shell of more rows than a block has, as of equal angles, is cut by hash.
     cut = F.broadcast(shells)  # PIVOTS rows at most
     step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("k"))).cast("int")
     shell = F.floor(F.size(F.filter("q", lambda x: x < F.col("angle"))) / step).cast("int")
     shelled = placed.join(cut, "cell").withColumn("shell", shell).drop("q", "k")
-    sizes = shelled.groupBy("cell", "shell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
+    sizes = shelled.groupBy("cell", "shell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     dealt = shelled.join(F.broadcast(sizes), ["cell", "shell"])  # 256 * PIVOTS rows at most
     dealt = materialize(dealt.select("id", "v", "cell", F.concat_ws("/", "cell", "shell", part).alias("block")), "blocks")
@@ -109,29 +114,41 @@ def blocks(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
 
 def _compared(vectors: DataFrame, threshold: float, found) -> DataFrame:
-    """i, j of what ``found`` takes from the similar pairs (places in the block's ids) of each pair of blocks."""
+    """i, j of what ``found`` takes from the similar pairs of each pair of blocks; of all of them, as they come, if it is None."""
     kind = vectors.schema["id"].dataType.simpleString()
     dealt, pairs = blocks(vectors, threshold)
     mine = pairs.select(F.col("lo").alias("block"), "lo", "hi").unionByName(pairs.where("lo <> hi").select(F.col("hi").alias("block"), "lo", "hi"))
     spread = dealt.join(mine, "block").select("id", "v", (F.col("block") == F.col("lo")).alias("left"), "lo", "hi")
 
-    def edges(key, table):
+    def edges(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = (k.as_py() for k in key)
+        table = pa.Table.from_batches(list(batches))
         ids, left, v = np.array(table["id"].to_numpy()), table["left"].to_numpy(zero_copy_only=False), _matrix(table["v"])
         a, c = np.flatnonzero(left), np.flatnonzero(left if lo == hi else ~left)
+        others, step = v[c].T, max(1, PRODUCTS // max(1, len(c)))
         out, held, most = [np.zeros((2, 0), ids.dtype)], 0, 1_000_000
-        for at in range(0, len(a), 512):
-            i, j = np.nonzero(v[a[at : at + 512]] @ v[c].T >= threshold)
+
+        def made(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, pairs.shape[1], 1_000_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0, at : at + 1_000_000]), pa.array(pairs[1, at : at + 1_000_000])], ["i", "j"])
+
+        for at in range(0, len(a), step):
+            i, j = np.nonzero(v[a[at : at + step]] @ others >= threshold)
             x, y = ids[a[i + at]], ids[c[j]]
             keep = x < y if lo == hi else x != y
             out.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]]))
             held += out[-1].shape[1]
             if held > most:
-                out = [found(np.concatenate(out, axis=1))]
-                held = out[0].shape[1]
-                most = max(most, 2 * held)
-        x, y = found(np.concatenate(out, axis=1))
-        return pa.table({"i": pa.array(x), "j": pa.array(y)})
+                pairs = np.concatenate(out, axis=1)
+                if found is None:
+                    yield from made(pairs)
+                    out, held = [pairs[:, :0]], 0
+                else:
+                    out = [found(pairs)]
+                    held = out[0].shape[1]
+                    most = max(most, 2 * held)
+        pairs = np.concatenate(out, axis=1)
+        yield from made(pairs if found is None else found(pairs))
 
     return spread.groupBy("lo", "hi").applyInArrow(edges, f"i {kind}, j {kind}")
 
@@ -142,7 +159,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.75) -> DataFrame:
     Pairs of blocks that a bound leaves meet in one group each and are a matrix product; the threshold applies inside
     the task. Null vectors have no pair. Where only components are needed, ``similar_links`` hands on far fewer rows.
     """
-    return _compared(vectors, threshold, lambda pairs: pairs)
+    return _compared(vectors, threshold, None)
 
 
 def similar_links(vectors: DataFrame, threshold: float = 0.75) -> DataFrame:

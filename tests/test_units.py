@@ -592,3 +592,16 @@ def test_small_shards_share_a_task(spark, tmp_path, monkeypatch):
     reader = tar.TarReader({"path": path, "splitsize": "1000"})
     assert len(reader.partitions()) <= 7
     assert sorted((r[1], r[4]) for p in reader.partitions() for r in reader.read(p) if r[2] != "json") == [(k, bytes(m[0])) for k, m, _ in rows]
+
+
+def test_blocks_grow_so_that_copies_of_vectors_do_not(spark, monkeypatch):
+    """Where nothing can be ruled out, a vector goes to each block, so there are some tens of them."""
+    monkeypatch.setattr(O, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(O, "PRODUCTS", 500)
+    v = np.random.default_rng(1).normal(size=(1200, 32))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>").repartition(3)
+    dealt, _ = O.blocks(df, 0.4)
+    assert dealt.schema["v"] == df.schema["v"] and dealt.select("block").distinct().count() <= 3 * O.MANY_BLOCKS
+    exact = v.astype(np.float64) @ v.astype(np.float64).T
+    assert sorted(tuple(r) for r in O.similar_pairs(df, 0.4).collect()) == sorted((i, j) for i, j in np.argwhere(exact >= 0.4).tolist() if i < j)
