@@ -9,6 +9,8 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from faultline.sources.shared import spread
+
 
 def store_of(folder: str) -> tuple[fs.FileSystem, str]:
     """The store of a folder, and the folder's path in it."""
@@ -26,18 +28,22 @@ def put(store: fs.FileSystem, path: str, data: bytes) -> None:
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
-    """One file for each row (name, data binary); the number of rows."""
+    """One file for each row (name, data binary), by tasks whose number follows the rows; the number of rows."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = store_of(folder)
+        there: set[str] = set()
         for f in frames:
             for name, data in zip(f["name"], f["data"], strict=True):
                 target = f"{path}/{name}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
+                if (within := target.rpartition("/")[0]) not in there:
+                    store.create_dir(within, recursive=True)
+                    if len(there) < 1000:
+                        there.add(within)
                 put(store, target, bytes(data))
             yield pd.DataFrame({"n": [len(f)]})
 
-    return rows.select("name", "data").mapInPandas(write, "n long").groupBy().sum("n").first()[0] or 0
+    return spread(rows.select("name", "data"), "name").mapInPandas(write, "n long").groupBy().sum("n").first()[0] or 0
 
 
 def listed(folder: str, ending: str) -> list[str]:

@@ -605,3 +605,17 @@ def test_blocks_grow_so_that_copies_of_vectors_do_not(spark, monkeypatch):
     assert dealt.schema["v"] == df.schema["v"] and dealt.select("block").distinct().count() <= 3 * O.MANY_BLOCKS
     exact = v.astype(np.float64) @ v.astype(np.float64).T
     assert sorted(tuple(r) for r in O.similar_pairs(df, 0.4).collect()) == sorted((i, j) for i, j in np.argwhere(exact >= 0.4).tolist() if i < j)
+
+
+def test_files_are_written_in_many_tasks_and_listed_by_folder(spark, tmp_path):
+    from faultline.sources import files
+
+    rows = spark.range(0, 2100, 1, 1).select(F.concat(F.lit("rank_0/failures/f"), "id", F.lit(".json")).alias("name"), F.encode(F.concat(F.lit('{"image_id": "'), "id", F.lit('"}')), "UTF-8").alias("data"))
+    assert files.spread(rows, "name").rdd.getNumPartitions() == 3 and files.write_files(rows, str(tmp_path)) == 2100
+    (tmp_path / "rank_0/failures/f1.png").write_bytes(b"x")
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    good, bad = tables.read_rank_results(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup("listing") for s in seen.getJobInfo(j).stageIds]
+    assert good.select("image_id").distinct().count() == 2100 and bad.count() == 0 and max(tasks) < 1500
