@@ -6,6 +6,9 @@ its share follows its count. Frequent symbols form classes of about equal mass,
 log P(class | state) + log P(symbol | class, state), and for other words + log of its share: every word has a probability
 above zero, and they sum up to one.
 
+``encode`` splits each text into words once more and writes its symbols and what its score takes of counts; Arrow finds the
+distinct words of many texts, so Python handles a word once in these, not once a token. Training and scoring read symbols.
+
 ``train`` goes once over all training texts, in ``ROUNDS`` rounds over disjoint parts of them. In a round each task
 starts from the same weights, runs truncated backpropagation over the windows of its texts, with the state carried from
 window to window through each whole text, and hands over its weights.
@@ -24,18 +27,18 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import materialize, only, raw_texts, small_batches
+from faultline.llm.shared import materialize, only, small_batches
 
 N_FREQUENT, N_CLASSES, HIDDEN = 2000, 44, 16
 SPELLING_BITS = 6
@@ -45,8 +48,11 @@ ROUNDS = 2
 #: Texts side by side and tokens of a window, for training (whose gradients reach back so far) and for scoring.
 TRAINING, SCORING = (128, 32), (256, 64)
 HELD_TOKENS = 4_000_000  # texts of so many tokens run side by side, so that a long one doesn't leave lanes idle
+PART_BYTES = 8_000_000  # texts are split into words so many bytes at a time, with the rest of the last text
+N_COUNTED = 1_000_000  # rows that a task's counts hold before they are summed up
 BLOCKS = 32
 LARGEST = np.float32(60)  # of a logit
+LOGITS = 1 << 17  # of several softmaxes taken at once, so that they stay in a core's cache
 END = b" "  # no word contains a space
 
 
@@ -56,8 +62,54 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+def distinct_tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, the number among them of each token, text after text, and how many each text has.
+
+    The tokens are those of ``tokens``; Arrow's functions work on ASCII bytes alone. The last distinct one is the end.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # blanks before the first and after the last word leave empty ones
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())[real.to_numpy(zero_copy_only=False)]
+    coded = words.filter(real).dictionary_encode()
+    found = coded.dictionary.cast(pa.binary() if pa.types.is_string(words.type) else pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    codes = np.full(len(owner) + len(texts), len(found), np.int32)
+    codes[np.arange(len(owner)) + owner] = coded.indices.to_numpy()
+    return [*found, END], codes, np.bincount(owner, minlength=len(texts)) + 1
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts, about PART_BYTES of text at a time: in more texts at once fewer words are distinct."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> tuple[list[int | None], pa.Array]:
+        ids, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+        held.clear()
+        return ids.to_pylist(), texts
+
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            had = int(sizes[at - 1]) if at else 0
+            end = min(int(np.searchsorted(sizes, had + PART_BYTES - size)) + 1, batch.num_rows)
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[end - 1]) - had
+            at = end
+            if size >= PART_BYTES:
+                yield out()
+                size = 0
+    if held:
+        yield out()
+
+
+def hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the spelling of each word."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    last = pa.array([w[-2:] for w in words], pa.binary()).dictionary_encode()
+    spelled = np.array([spelling(x) for x in last.dictionary.to_pylist()], np.int32)
+    return (h ^ np.uint64(1 << 63)).view(np.int64), spelled[last.indices.to_numpy()]
 
 
 def spelling(word: bytes) -> int:
@@ -73,18 +125,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     """Hash, spelling and count of each distinct token of the training texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter[bytes] = Counter()
+        own: list[tuple[np.ndarray, ...]] = []
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in own], pa.int64()), pa.array([spelling(w) for w in own], pa.int32()), pa.array(own.values(), pa.int64())], ["h", "s", "c"])
+            h, s, c = (np.concatenate(x) for x in zip(*own, strict=True))
             own.clear()
-            return got
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                if fold(doc_id) % 10:
-                    own.update(tokens(text))
-            if len(own) > 700_000:
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(h[begins]), pa.array(s[order][begins]), pa.array(np.add.reduceat(c[order], begins))], ["h", "s", "c"])
+
+        for ids, texts in parts(batches):
+            learnt = texts.filter(pa.array([fold(x) % 10 > 0 for x in ids], pa.bool_()))
+            if not len(learnt):
+                continue
+            words, codes, _ = distinct_tokens(learnt)
+            c = np.bincount(codes, minlength=len(words))
+            own.append((*hashes(words), c))
+            if sum(len(x[0]) for x in own) > N_COUNTED:
                 yield out()
         if own:
             yield out()
@@ -145,7 +203,6 @@ class Network:
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.ones = np.ones(max(k, c), np.float32)
         self.cls_of = lex.classes.astype(np.uint8 if c < 256 else np.uint16)
-        self.range = np.zeros(0, np.int64)
         self.all = np.zeros(size, np.float32) if weights is None else weights
         self.grad = np.zeros(size, np.float32)
         self.w, self.g, at = {}, {}, 0
@@ -188,60 +245,72 @@ class Network:
             states[:hid, t] = h
         return states, kept
 
-    def _expected(self, w: np.ndarray, s: np.ndarray, at: np.ndarray, weight: np.float32 | None, cut: bool) -> tuple[np.ndarray, np.ndarray]:
-        """log P of row at[i] in column i of a softmax over w @ s, and, with a weight, the gradient of the mean loss by the logits."""
-        logits = w @ s
-        if cut:
-            np.minimum(logits, LARGEST, out=logits)  # exp() stays in range without taking out each column's largest logit
-        n = logits.shape[1]
-        if n > len(self.range):
-            self.range = np.arange(n)
-        place = at * np.int64(n)
-        place += self.range[:n]
-        out = logits.ravel().take(place)
-        e = np.exp(logits, out=logits)
-        total = self.ones[: len(e)] @ e  # a product is faster than a sum
-        out -= np.log(total)
-        if weight is not None:
-            e *= weight / total
-            e.ravel()[place] -= weight
-        return out, e
-
     def outputs(self, s: np.ndarray, target: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log P of the target symbols in states s, (hidden + 1) x targets.
 
         With learn, also the gradient of the mean loss by s without its last row, and the output weights' gradients in self.g.
+        Targets are put in order of class, so each softmax is a product over neighbouring columns: that of classes over
+        some at a time, that of a class's symbols over its own. Logits of several stand side by side in a core's cache.
         """
-        hid, last, n = self.hidden, len(self.lex.bounds), s.shape[1]
-        weight = np.float32(1 / max(1, n)) if learn else None
+        hid, n, w_class = self.hidden, s.shape[1], self.w["out_class"]
         cls = self.cls_of[target]
         order = np.argsort(cls, kind="stable")  # short keys: a radix sort
         cls, target, s = cls[order], target[order], s.take(order, axis=1)
-        ends = np.searchsorted(cls, np.arange(last + 1)).tolist()
+        ends = np.searchsorted(cls, np.arange(len(w_class) + 1)).tolist()
         cut = max(float(np.abs(self.w[x]).sum(axis=1).max()) for x in ("out_class", "out_word")) > LARGEST  # states lie in -1 to 1
-        gain, e = self._expected(self.w["out_class"], s, cls, weight, cut)
-        ds = None
-        if learn:
-            np.matmul(e, s.T, out=self.g["out_class"])
-            ds = self.w["out_class"][:, :hid].T @ e
-            self.g["out_word"][:] = 0
-        for c, (a, b) in enumerate(self.lex.bounds):
-            lo, hi = ends[c], ends[c + 1]
-            if lo == hi:
-                continue
-            w, part = self.w["out_word"][a:b], s[:, lo:hi]
-            more, e = self._expected(w, part, target[lo:hi] - a, weight, cut)
-            gain[lo:hi] += more
-            if learn:
-                np.matmul(e, part.T, out=self.g["out_word"][a:b])
-                ds[:, lo:hi] += w[:, :hid].T @ e
-        out = np.empty_like(gain)
-        out[order] = gain
-        if not learn:
-            return out, None
-        back = np.empty_like(ds)
-        back[:, order] = ds
-        return out, back
+        out, ds = np.zeros(n, np.float32), np.zeros((hid, n), np.float32) if learn else None
+        self.g["out_class"][:] = 0
+        self.g["out_word"][:] = 0
+        step = max(1, LOGITS // len(w_class))
+        for lo in range(0, n, step):
+            self._softmaxes([("out_class", 0, len(w_class), lo, min(n, lo + step))], s, cls, out, ds, cut)
+        held, size = [], 0
+        for (a, b), lo, hi in zip(self.lex.bounds, ends, ends[1:], strict=False):
+            if lo < hi:
+                held.append(("out_word", a, b, lo, hi))
+                size += (b - a) * (hi - lo)
+            if size >= LOGITS:
+                self._softmaxes(held, s, target, out, ds, cut)
+                held, size = [], 0
+        if held:
+            self._softmaxes(held, s, target, out, ds, cut)
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        return out.take(back), ds.take(back, axis=1) if learn else None
+
+    def _softmaxes(self, jobs: list[tuple[str, int, int, int, int]], s: np.ndarray, rows: np.ndarray, out: np.ndarray, ds: np.ndarray | None, cut: bool) -> None:
+        """Softmaxes over rows a to b of output weights in columns lo to hi of s, the jobs' columns side by side.
+
+        Adds log P of rows[i] in column i to out and, with ds, the gradients. A gradient by logits is
+        (exp(logit) - [target] * total) / (total * targets); the division is made in the states, which have fewer rows.
+        """
+        first, last, hid = jobs[0][3], jobs[-1][4], self.hidden
+        own = np.empty(sum((b - a) * (hi - lo) for _, a, b, lo, hi in jobs), np.float32)
+        place, total, blocks, at = np.arange(last - first), np.empty(last - first, np.float32), [], 0
+        for name, a, b, lo, hi in jobs:
+            blocks.append(own[at : at + (b - a) * (hi - lo)].reshape(b - a, hi - lo))
+            np.matmul(self.w[name][a:b], s[:, lo:hi], out=blocks[-1])
+            place[lo - first : hi - first] += (rows[lo:hi] - np.int64(a)) * (hi - lo) + (at - lo + first)
+            at += blocks[-1].size
+        if cut:
+            np.minimum(own, LARGEST, out=own)  # exp() stays in range without taking out each column's largest logit
+        gain = own.take(place)
+        np.exp(own, out=own)
+        for block, (_, a, b, lo, hi) in zip(blocks, jobs, strict=True):
+            np.matmul(self.ones[: b - a], block, out=total[lo - first : hi - first])  # a product is faster than a sum
+        gain -= np.log(total)
+        out[first:last] += gain
+        if ds is None:
+            return
+        own[place] -= total
+        np.reciprocal(total, out=total)
+        total *= np.float32(1 / s.shape[1])
+        scaled, back = s[:, first:last] * total, np.empty((hid, last - first), np.float32)
+        for block, (name, a, b, lo, hi) in zip(blocks, jobs, strict=True):
+            self.g[name][a:b] += block @ scaled[:, lo - first : hi - first].T
+            np.matmul(self.w[name][a:b, :hid].T, block, out=back[:, lo - first : hi - first])
+        back *= total
+        ds[:, first:last] += back
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, ds: np.ndarray) -> None:
         """Through the steps of one window; ds: gradient by the states, hidden x steps x lanes."""
@@ -278,7 +347,7 @@ class Network:
         flat = flat[order]
         begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         self.g["inputs"][:] = 0
-        self.g["inputs"][flat[begins]] = np.add.reduceat(gx.transpose(0, 2, 1).reshape(-1, 3 * hid)[order], begins, axis=0)
+        self.g["inputs"][flat[begins]] = np.add.reduceat(gx.transpose(0, 2, 1).reshape(-1, 3 * hid).take(order, axis=0), begins, axis=0)
 
 
 class Adam:
@@ -356,47 +425,81 @@ def run(net: Network, texts: list[np.ndarray], adam: Adam | None = None) -> np.n
 
 
 class Reader:
-    """Places and spellings of words, remembered by worker."""
+    """Looks words up in a lexicon."""
 
     def __init__(self, lex: Lexicon) -> None:
-        self.lex, self.known = lex, {}
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word its place among the listed ones (-1 for others), its spelling and its symbol."""
-        out = list(map(self.known.get, words))
-        if None in out:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            for i, p in enumerate(out):
-                if p is None:
-                    w = words[i]
-                    out[i] = self.known[w] = self.lex.places.get(word_hash(w), -1) * N_SPELLINGS + spelling(w)
-        both = np.array(out, dtype=np.int32)
-        places, spelled = both >> SPELLING_BITS, both & (N_SPELLINGS - 1)
-        return places, spelled, np.where((places < 0) | (places >= self.lex.frequent), self.lex.frequent + spelled, places)
-
-
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HIDDEN) -> np.ndarray:
-    """The averaged weights after one pass over all training texts."""
+        self.lex = lex
+        listed = np.fromiter(lex.places, np.int64, len(lex.places))
+        self.order = np.argsort(listed)
+        self.listed = listed[self.order]
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of each word its place among the listed ones (-1 for others), its spelling, its symbol and its hash."""
+        h, spelled = hashes(words)
+        places = np.full(len(words), -1, np.int64)
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
+            places = np.where(self.listed[at] == h, self.order[at], -1)
+        return places, spelled, np.where((places < 0) | (places >= self.lex.frequent), self.lex.frequent + spelled, places), h
+
+
+ENCODED = "row long, doc_id long, n_tokens long, n_listed long, listed double, rare double, other array<long>, times array<int>, symbols binary"
+
+
+def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """The symbols of each text, two bytes each, and what its score takes of counts; training and scoring read texts from here."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        reader, row = Reader(lex), TaskContext.get().partitionId() << 32
+        logs, mass = np.log10(lex.counts + 0.1), np.log10(lex.mass)
+        for ids, texts in parts(batches):
+            words, codes, sizes = distinct_tokens(texts)
+            places, spelled, symbols, h = reader(words)
+            of_list = places >= 0
+            listed = np.zeros(len(words))
+            listed[of_list] = logs[places[of_list]]
+            rare = np.where(symbols >= lex.frequent, listed - mass[spelled], 0)  # unlisted words' counts come later
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            total = lambda x: np.bincount(owner, weights=x[codes], minlength=len(ids))  # noqa: B023, E731
+            unlisted = ~of_list[codes]
+            pairs, times = np.unique(owner[unlisted] * len(words) + codes[unlisted], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(ids) + 1) * len(words)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h[pairs % len(words)], times.astype(np.int32))]
+            coded, at = symbols.astype("<u2")[codes].tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * 2
+            texts_ = pa.array([coded[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            columns = [np.arange(row, row + len(ids)), pa.array(ids, pa.int64()), sizes, total(of_list).astype(np.int64), total(listed), total(rare), *lists, texts_]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [x.split()[0] for x in ENCODED.split(", ")])
+
+    return materialize(only(docs, "doc_id", "text").mapInArrow(rows, ENCODED), "encoded")
+
+
+def symbols_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in column.to_pylist()]
+
+
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HIDDEN, encoded: DataFrame | None = None) -> np.ndarray:
+    """The averaged weights after one pass over all training texts; encoded: those of encode, if at hand."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lex)
     weights = Network(lex, hidden).all
     if not lex.total:
         return weights
+    encoded = encode(docs, lex) if encoded is None else encoded
     for number in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], number: int = number, start=start) -> Iterator[pa.RecordBatch]:
             lex = shared.value
-            net, reader = Network(lex, hidden, start.value.copy()), Reader(lex)
+            net = Network(lex, hidden, start.value.copy())
             adam, held, size, seen = Adam(len(net.all)), [], 0, 0
             for batch in batches:
                 keys = [fold(x) for x in batch.column(0).to_pylist()]
                 own = batch.column(1).filter(pa.array([bool(k % 10) and k // 10 % rounds == number for k in keys], pa.bool_()))
-                for text in raw_texts(own):
-                    ids = reader(tokens(text))[2]
-                    held.append(ids)
-                    size += len(ids)
+                held += symbols_of(own)
+                size = sum(map(len, held))
                 if size >= HELD_TOKENS:
                     run(net, held, adam)
                     held, size, seen = [], 0, seen + size
@@ -416,7 +519,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HID
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array([x[0] for x in sums.values()], pa.float64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], ["block", "n", "w"])
 
         kind = "block long, n double, w binary"
-        own = only(docs, "doc_id", "text").mapInArrow(learn, kind)
+        own = encoded.select("doc_id", "symbols").mapInArrow(learn, kind)
         found = own.repartition("block").sortWithinPartitions("block", "n", F.crc32("w")).mapInArrow(add, kind).collect()  # one model
         weights = weights.copy()
         for r in found:
@@ -424,47 +527,39 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, hidden: int = HID
     return weights
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_listed long, listed double, rare double, neural double, other array<long>, times array<int>"
+SCORED = "row long, doc_id long, n_tokens long, n_listed long, listed double, rare double, neural double"
 
 
-def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray, hidden: int = HIDDEN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray, hidden: int = HIDDEN, encoded: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); encoded: as for train."""
     spark = docs.sparkSession
+    encoded = encode(docs, lex) if encoded is None else encoded
     shared, model = spark.sparkContext.broadcast(lex), spark.sparkContext.broadcast(weights)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        net, reader = Network(lex, hidden, model.value), Reader(lex)
-        row = TaskContext.get().partitionId() << 32
-        logs, mass = np.log10(lex.counts + 0.1), np.log10(lex.mass)
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
-        held: list[list] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            for x, p in zip(held, run(net, [x.pop() for x in held]), strict=True):
-                x[6] = float(p) / np.log(10)
-            got = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
+        net = Network(shared.value, hidden, model.value)
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        held: list[pa.RecordBatch] = []
+        texts: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            at, p = 0, run(net, texts) / np.log(10)
+            for batch in held:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[at : at + batch.num_rows])], names)
+                at += batch.num_rows
             held.clear()
-            return got
+            texts.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                words = tokens(text)
-                places, spelled, ids = reader(words)
-                listed = places[places >= 0]
-                rare = float(logs[listed[listed >= lex.frequent]].sum() - mass[spelled[ids >= lex.frequent]].sum())  # unlisted words' counts come later
-                other = Counter(words[i] for i in np.flatnonzero(places < 0))
-                held.append([row, doc_id, len(words), len(listed), float(logs[listed].sum()), rare, None, [word_hash(w) for w in other], list(other.values()), ids])
-                size, row = size + len(words), row + 1
-            if size >= HELD_TOKENS:
-                yield out()
-                size = 0
+            held.append(batch.select(names[:-1]))
+            texts += symbols_of(batch.column("symbols"))
+            if sum(map(len, texts)) >= HELD_TOKENS:
+                yield from out()
         if held:
-            yield out()
+            yield from out()
 
-    done = materialize(only(docs, "doc_id", "text").mapInArrow(rows, SCORED), "scored")
-    others = done.select("row", F.explode(F.arrays_zip("other", "times")).alias("z")).select("row", F.col("z.other").alias("h"), F.col("z.times").alias("times"))
+    done = materialize(encoded.drop("other", "times").mapInArrow(rows, SCORED), "scored")
+    others = encoded.select("row", F.explode(F.arrays_zip("other", "times")).alias("z")).select("row", F.col("z.other").alias("h"), F.col("z.times").alias("times"))
     found = others.join(counted, "h", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("unlisted"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
@@ -472,7 +567,7 @@ def score(docs: DataFrame, counted: DataFrame, lex: Lexicon, weights: np.ndarray
     base = float(np.log10(lex.total + 0.1 * (lex.distinct + 1)))
     unlisted = F.coalesce("unlisted", F.lit(0.0))
     fold_ = F.when(F.col("doc_id").isNull(), 0).otherwise(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10)
-    return done.drop("other", "times").join(found, "row", "left").select(
+    return done.join(found, "row", "left").select(
         "doc_id",
         (fold_ == 0).alias("held_out"),
         "n_tokens",
@@ -488,4 +583,5 @@ def op9_recurrent_lm(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
     counted = count_words(docs)
     lex = lexicon(counted)
-    return score(docs, counted, lex, train(docs, lex))
+    encoded = encode(docs, lex)
+    return score(docs, counted, lex, train(docs, lex, encoded=encoded), encoded=encoded)

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -765,6 +766,50 @@ def test_language_model_cases(docs, none):
     assert all(math.isfinite(r.score) for r in recurrent_lm.score(docs, counted, lex, recurrent_lm.train(none, lex)).collect())
 
 
+ODD = [None, "", " \t\r\n", " A b\x0bB  a ", "\u0130 A\u00a0a\x1c b\x00 \u00c9", LONG, "b"]
+
+
+def test_language_model_splits_texts_by_part(monkeypatch):
+    words, codes, sizes = recurrent_lm.distinct_tokens(pa.array(ODD))
+    want = [recurrent_lm.tokens((t or "").encode()) for t in ODD]
+    assert sizes.tolist() == [len(w) for w in want] and [words[c] for c in codes] == [w for t in want for w in t]
+    words, codes, _ = recurrent_lm.distinct_tokens(pa.array(["a b a"] * 1000))
+    assert sorted(words) == [b" ", b"a", b"b"] and len(codes) == 4000  # a word is looked up once in a part, not once a token
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(ODD))), pa.array(ODD)], ["doc_id", "text"]) for k in (0, 100)]
+    for most in (1, 20, 10**9):
+        monkeypatch.setattr(recurrent_lm, "PART_BYTES", most)
+        found = list(recurrent_lm.parts(iter(batches)))
+        assert [x for ids, _ in found for x in ids] == [*range(len(ODD)), *range(100, 100 + len(ODD))] and [t for _, x in found for t in x.to_pylist()] == ODD * 2
+        assert all(sum(len((t or "").encode()) for t in x.to_pylist()[:-1]) < most for _, x in found)
+    assert len(found) == 1
+
+
+def test_language_model_reads_texts_once_for_training_and_scoring(small):
+    counted = recurrent_lm.count_words(small)
+    lex = recurrent_lm.lexicon(counted, listed=500, frequent=200, n_classes=10)
+    encoded, bare = recurrent_lm.encode(small, lex), small.select("doc_id")  # texts are out of reach from here
+    weights = recurrent_lm.train(bare, lex, encoded=encoded)
+    rows = {r.doc_id: r for r in recurrent_lm.score(bare, counted, lex, weights, encoded=encoded).collect()}
+    plain = {r.doc_id: r for r in recurrent_lm.score(small, counted, lex, weights).collect()}
+    assert rows.keys() == plain.keys() and all(math.isclose(a, b, rel_tol=1e-5) for d in rows for a, b in zip(rows[d], plain[d], strict=True))
+    read = recurrent_lm.Reader(lex)
+    coded = {r.doc_id: np.frombuffer(r.symbols, "<u2").tolist() for r in encoded.select("doc_id", "symbols").collect()}
+    assert all(coded[r.doc_id] == read(recurrent_lm.tokens((r.text or "").encode()))[2].tolist() for r in small.collect())
+
+
+def test_language_model_groups_of_softmaxes(spark, small, monkeypatch):
+    lex = recurrent_lm.lexicon(recurrent_lm.count_words(small), listed=300, frequent=100, n_classes=9)
+    rng, found = np.random.default_rng(6), []
+    s, target = rng.normal(0, 0.4, (recurrent_lm.HIDDEN + 1, 700)).astype(np.float32), rng.integers(0, len(lex.classes), 700)
+    s[-1] = 1
+    for most in (1, 900, 10**9):
+        monkeypatch.setattr(recurrent_lm, "LOGITS", most)
+        net = recurrent_lm.Network(lex)
+        net.all += rng.normal(0, 0.3, net.all.shape).astype(np.float32) if not found else found[0][0] - net.all
+        found.append((net.all.copy(), *net.outputs(s, target, learn=True), net.grad.copy()))
+    assert all(np.allclose(x, y, rtol=1e-3, atol=1e-5) for f in found[1:] for x, y in zip(f, found[0], strict=True))
+
+
 # --- 10
 
 
